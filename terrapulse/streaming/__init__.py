@@ -1,0 +1 @@
+"""No streaming operator is part of the inventory; every job here is a batch DataFrame job."""
