@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 EPS = 1e-9
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _vector(e: Column) -> tuple[Column, Column]:
+    return e.getField("x2") - e.getField("x1"), e.getField("y2") - e.getField("y1")
+
+
 def ring_edges(ring: Column) -> Column:
     """Edge array of one path given as ``array<struct<x,y>>``."""
     n = F.size(ring)
@@ -77,8 +86,10 @@ def _cross_term(e: Column, ox: Column, oy: Column) -> Column:
 
 
 def signed_area(edges: Column) -> Column:
-    ox, oy = _first(edges)
-    return _total(edges, lambda e: _cross_term(e, ox, oy)) / F.lit(2.0)
+    return let(
+        F.element_at(edges, 1),
+        lambda o: _total(edges, lambda e: _cross_term(e, o.getField("x1"), o.getField("y1"))),
+    ) / F.lit(2.0)
 
 
 def area(edges: Column) -> Column:
@@ -95,37 +106,46 @@ def length(edges: Column) -> Column:
 
 
 def bounds(edges: Column) -> dict[str, Column]:
-    def ends(axis: str) -> Column:
-        return F.concat(
-            F.transform(edges, lambda e: e.getField(f"{axis}1")),
-            F.transform(edges, lambda e: e.getField(f"{axis}2")),
-        )
+    def ends(axis: str, pick: Callable[..., Column]) -> Column:
+        return F.transform(edges, lambda e: pick(e.getField(f"{axis}1"), e.getField(f"{axis}2")))
 
-    xs, ys = ends("x"), ends("y")
     return {
-        "minx": F.array_min(xs),
-        "miny": F.array_min(ys),
-        "maxx": F.array_max(xs),
-        "maxy": F.array_max(ys),
+        "minx": F.array_min(ends("x", F.least)),
+        "miny": F.array_min(ends("y", F.least)),
+        "maxx": F.array_max(ends("x", F.greatest)),
+        "maxy": F.array_max(ends("y", F.greatest)),
     }
 
 
 def centroid(edges: Column) -> tuple[Column, Column]:
     """Area centroid (shoelace weights around the first vertex)."""
-    ox, oy = _first(edges)
-    twice = _total(edges, lambda e: _cross_term(e, ox, oy))
-
-    def axis(name: str, origin: Column) -> Column:
-        moment = _total(
-            edges,
-            lambda e: (
-                (e.getField(f"{name}1") - origin + e.getField(f"{name}2") - origin)
-                * _cross_term(e, ox, oy)
-            ),
-        )
-        return origin + moment / F.nullif(F.lit(3.0) * twice, F.lit(0.0))
 
-    return axis("x", ox), axis("y", oy)
+    def axis(name: str) -> Column:
+        def around(o: Column) -> Column:
+            origin = o.getField(f"{name}1")
+
+            def add(acc: Column, e: Column) -> Column:
+                reach = e.getField(f"{name}1") - origin + e.getField(f"{name}2") - origin
+                return let(
+                    _cross_term(e, o.getField("x1"), o.getField("y1")),
+                    lambda c: F.struct(
+                        (acc.getField("a") + c).alias("a"),
+                        (acc.getField("m") + reach * c).alias("m"),
+                    ),
+                )
+
+            start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m"))
+            ratio = F.aggregate(
+                edges,
+                start,
+                add,
+                lambda t: t.getField("m") / F.nullif(F.lit(3.0) * t.getField("a"), F.lit(0.0)),
+            )
+            return origin + ratio
+
+        return let(F.element_at(edges, 1), around)
+
+    return axis("x"), axis("y")
 
 
 def contains_point(edges: Column, x: Column, y: Column) -> Column:
@@ -142,12 +162,22 @@ def contains_point(edges: Column, x: Column, y: Column) -> Column:
 
 
 def _point_segment(e: Column, x: Column, y: Column) -> Column:
-    dx = e.getField("x2") - e.getField("x1")
-    dy = e.getField("y2") - e.getField("y1")
-    along = (x - e.getField("x1")) * dx + (y - e.getField("y1")) * dy
-    t = F.coalesce(along / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return F.hypot(x - e.getField("x1") - t * dx, y - e.getField("y1") - t * dy)
+    dx, dy = _vector(e)
+
+    def measured(v: Column) -> Column:
+        dx, dy, wx, wy = (v.getField(c) for c in ("dx", "dy", "wx", "wy"))
+        along = (wx * dx + wy * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        # greatest and least skip the NULL of a degenerate segment, leaving its first end.
+        t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+        return let(t, lambda t: F.hypot(wx - t * dx, wy - t * dy))
+
+    vectors = F.struct(
+        dx.alias("dx"),
+        dy.alias("dy"),
+        (x - e.getField("x1")).alias("wx"),
+        (y - e.getField("y1")).alias("wy"),
+    )
+    return let(vectors, measured)
 
 
 def outline_distance(edges: Column, x: Column, y: Column) -> Column:
@@ -159,18 +189,33 @@ def point_distance(edges: Column, x: Column, y: Column) -> Column:
     return F.when(contains_point(edges, x, y), F.lit(0.0)).otherwise(outline_distance(edges, x, y))
 
 
-def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def _side(line: Column, x: Column, y: Column) -> Column:
+    """Sign of the side of ``line`` the point lies on."""
+    dx, dy = _vector(line)
+    return F.signum(dx * (y - line.getField("y1")) - dy * (x - line.getField("x1")))
+
+
+def _sides_product(line: Column, other: Column) -> Column:
+    """-1 when the ends of ``other`` lie on both sides of ``line``, 0 when one lies on it."""
+    return _side(line, other.getField("x1"), other.getField("y1")) * _side(
+        line, other.getField("x2"), other.getField("y2")
+    )
 
 
 def _cross_properly(a: Column, b: Column) -> Column:
     """The two segments cross at a point interior to both."""
-    g = lambda s, f: s.getField(f)
-    d1 = _side(g(b, "x1"), g(b, "y1"), g(b, "x2"), g(b, "y2"), g(a, "x1"), g(a, "y1"))
-    d2 = _side(g(b, "x1"), g(b, "y1"), g(b, "x2"), g(b, "y2"), g(a, "x2"), g(a, "y2"))
-    d3 = _side(g(a, "x1"), g(a, "y1"), g(a, "x2"), g(a, "y2"), g(b, "x1"), g(b, "y1"))
-    d4 = _side(g(a, "x1"), g(a, "y1"), g(a, "x2"), g(a, "y2"), g(b, "x2"), g(b, "y2"))
-    return (d1 * d2 < 0) & (d3 * d4 < 0)
+    return (_sides_product(b, a) < 0) & (_sides_product(a, b) < 0)
+
+
+def _meet(a: Column, b: Column) -> Column:
+    """The two segments share a point, touching included."""
+
+    def overlap(axis: str) -> Column:
+        a1, a2 = a.getField(f"{axis}1"), a.getField(f"{axis}2")
+        b1, b2 = b.getField(f"{axis}1"), b.getField(f"{axis}2")
+        return (F.least(a1, a2) <= F.greatest(b1, b2)) & (F.least(b1, b2) <= F.greatest(a1, a2))
+
+    return overlap("x") & overlap("y") & (_sides_product(b, a) <= 0) & (_sides_product(a, b) <= 0)
 
 
 def _segment_distance(a: Column, b: Column) -> Column:
@@ -200,7 +245,13 @@ def distance(a: Column, b: Column, a_filled: bool = True, b_filled: bool = True)
 
 
 def intersects(a: Column, b: Column, a_filled: bool = True, b_filled: bool = True) -> Column:
-    return distance(a, b, a_filled, b_filled) <= F.lit(EPS)
+    """The features share at least one point: outlines meet, or one lies inside the other."""
+    out = F.exists(a, lambda e: F.exists(b, lambda f: _meet(e, f)))
+    if b_filled:
+        out = out | contains_point(b, *_first(a))
+    if a_filled:
+        out = out | contains_point(a, *_first(b))
+    return out
 
 
 def is_valid(ring: Column) -> Column:
@@ -222,34 +273,41 @@ def drop_z(coordinates: Column) -> Column:
 
 
 def _crossing_params(edge: Column, others: Column) -> Column:
-    """Parameters in (0,1) at which ``edge`` meets the lines of ``others`` or passes their ends."""
-    ex, ey = edge.getField("x2") - edge.getField("x1"), edge.getField("y2") - edge.getField("y1")
-    norm = F.nullif(ex * ex + ey * ey, F.lit(0.0))
+    """Parameters in (0,1) at which ``edge`` meets ``others`` or passes abreast of their ends."""
+    ex, ey = _vector(edge)
 
     def meet(f: Column) -> Column:
-        fx, fy = f.getField("x2") - f.getField("x1"), f.getField("y2") - f.getField("y1")
-        wx, wy = f.getField("x1") - edge.getField("x1"), f.getField("y1") - edge.getField("y1")
-        det = F.nullif(ex * fy - ey * fx, F.lit(0.0))
-        t, u = (wx * fy - wy * fx) / det, (wx * ey - wy * ex) / det
-        return F.when((u >= -EPS) & (u <= 1 + EPS), t)
-
-    def project(f: Column) -> Column:
-        return (
-            (f.getField("x1") - edge.getField("x1")) * ex
-            + (f.getField("y1") - edge.getField("y1")) * ey
-        ) / norm
-
-    met = F.concat(F.transform(others, meet), F.transform(others, project))
-    return F.filter(met, lambda t: t.isNotNull() & (t > EPS) & (t < 1 - EPS))
-
-
-def _aligned(f: Column, edge: Column, x: Column, y: Column) -> Column:
-    """+1 / -1 when the point lies on ``f`` and the edges run the same / opposite way, else 0."""
-    ex, ey = edge.getField("x2") - edge.getField("x1"), edge.getField("y2") - edge.getField("y1")
-    fx, fy = f.getField("x2") - f.getField("x1"), f.getField("y2") - f.getField("y1")
-    return F.when(
-        _point_segment(f, x, y) <= F.lit(1e-7), F.signum(ex * fx + ey * fy)
-    ).otherwise(F.lit(0.0))
+        fx, fy = _vector(f)
+        vectors = F.struct(
+            ex.alias("ex"),
+            ey.alias("ey"),
+            fx.alias("fx"),
+            fy.alias("fy"),
+            (f.getField("x1") - edge.getField("x1")).alias("wx"),
+            (f.getField("y1") - edge.getField("y1")).alias("wy"),
+        )
+
+        def solve(v: Column) -> Column:
+            ex, ey, fx, fy, wx, wy = (v.getField(c) for c in ("ex", "ey", "fx", "fy", "wx", "wy"))
+
+            def params(det: Column) -> Column:
+                u = (wx * ey - wy * ex) / det
+                return F.when(u.between(-EPS, 1 + EPS), (wx * fy - wy * fx) / det)
+
+            beside = (wx * ex + wy * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0))
+            return F.array(let(F.nullif(ex * fy - ey * fx, F.lit(0.0)), params), beside)
+
+        return let(vectors, solve)
+
+    found = F.flatten(F.transform(others, meet))
+    return F.filter(found, lambda t: (t > EPS) & (t < 1 - EPS))
+
+
+def _aligned(f: Column, edge: Column) -> Column:
+    """+1 / -1 when the edges run the same / opposite way."""
+    ex, ey = _vector(edge)
+    fx, fy = _vector(f)
+    return F.signum(ex * fx + ey * fy)
 
 
 def inside_spans(edge: Column, polygon: Column, shared: str = "none") -> Column:
@@ -258,40 +316,48 @@ def inside_spans(edge: Column, polygon: Column, shared: str = "none") -> Column:
     A part running along the polygon's outline is kept according to ``shared``: ``none`` drops it,
     ``same`` / ``opposite`` keep it when both outlines run the same / opposite way, ``any`` always.
     """
-    cuts = F.array_sort(
-        F.array_distinct(
-            F.concat(F.array(F.lit(0.0), F.lit(1.0)), _crossing_params(edge, polygon))
-        )
-    )
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.size(cuts) - 1),
-        lambda i: F.struct(
-            F.element_at(cuts, i).alias("t0"), F.element_at(cuts, i + 1).alias("t1")
-        ),
-    )
+    ends = F.array(F.lit(0.0), F.lit(1.0))
+    cuts = F.array_sort(F.array_distinct(F.concat(ends, _crossing_params(edge, polygon))))
 
     def keep(p: Column) -> Column:
         mid = (p.getField("t0") + p.getField("t1")) / F.lit(2.0)
-        x = edge.getField("x1") + mid * (edge.getField("x2") - edge.getField("x1"))
-        y = edge.getField("y1") + mid * (edge.getField("y2") - edge.getField("y1"))
-        along = F.aggregate(
-            polygon, F.lit(0.0), lambda acc, f: acc + _aligned(f, edge, x, y)
+        dx, dy = _vector(edge)
+        point = F.struct(
+            (edge.getField("x1") + mid * dx).alias("x"), (edge.getField("y1") + mid * dy).alias("y")
+        )
+
+        def decide(m: Column) -> Column:
+            x, y = m.getField("x"), m.getField("y")
+            along = F.filter(polygon, lambda f: _point_segment(f, x, y) <= F.lit(1e-7))
+
+            def judge(touched: Column) -> Column:
+                way = F.aggregate(touched, F.lit(0.0), lambda acc, f: acc + _aligned(f, edge))
+                on_line = {
+                    "none": F.lit(False),
+                    "same": way > 0,
+                    "opposite": way < 0,
+                    "any": F.lit(True),
+                }[shared]
+                return F.when(F.size(touched) > 0, on_line).otherwise(contains_point(polygon, x, y))
+
+            return let(along, judge)
+
+        return let(point, decide)
+
+    def pieces(cuts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(cuts) - 1),
+            lambda i: F.struct(
+                F.element_at(cuts, i).alias("t0"), F.element_at(cuts, i + 1).alias("t1")
+            ),
         )
-        touching = F.exists(polygon, lambda f: _point_segment(f, x, y) <= F.lit(1e-7))
-        on_line = {
-            "none": F.lit(False),
-            "same": along > 0,
-            "opposite": along < 0,
-            "any": F.lit(True),
-        }[shared]
-        return F.when(touching, on_line).otherwise(contains_point(polygon, x, y))
 
-    return F.filter(pieces, keep)
+    return F.filter(let(cuts, pieces), keep)
 
 
 def cut(edge: Column, span: Column) -> Column:
     """The stretch ``span`` (``t0``, ``t1``) of an edge as a segment."""
-    dx, dy = edge.getField("x2") - edge.getField("x1"), edge.getField("y2") - edge.getField("y1")
+    dx, dy = _vector(edge)
     t0, t1 = span.getField("t0"), span.getField("t1")
     return segment(
         edge.getField("x1") + t0 * dx,
@@ -321,83 +387,157 @@ def overlap(a: Column, b: Column) -> Column:
 
 def overlap_area(a: Column, b: Column) -> Column:
     """Area of the intersection of two counter-clockwise polygons (Green's theorem)."""
-    common = overlap(a, b)
+    return let(overlap(a, b), footprint_area)
+
+
+def footprint_area(common: Column) -> Column:
+    """Area of an outline made by :func:`overlap`, 0 when empty."""
     return F.when(F.size(common) == 0, F.lit(0.0)).otherwise(
         F.greatest(signed_area(common), F.lit(0.0))
     )
 
 
+def scan_hits(edges: Column, y: Column) -> Column:
+    """Sorted abscissas where the horizontal line at ``y`` crosses the outline."""
+
+    def hit(e: Column) -> Column:
+        spans = (e.getField("y1") > y) != (e.getField("y2") > y)
+        dx, dy = _vector(e)
+        return F.when(
+            spans, e.getField("x1") + (y - e.getField("y1")) * dx / F.nullif(dy, F.lit(0.0))
+        )
+
+    return F.array_sort(F.filter(F.transform(edges, hit), lambda v: v.isNotNull()))
+
+
+def span_pairs(xs: Column) -> Column:
+    """Consecutive pairs of a sorted array of even size as ``array<struct<a,b>>``."""
+
+    def pairs(xs: Column) -> Column:
+        last = F.greatest(F.floor(F.size(xs) / 2).cast("int"), F.lit(0))
+        spans = F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+            lambda i: F.struct(
+                F.get(xs, i * 2 - 2).alias("a"), F.get(xs, i * 2 - 1).alias("b")
+            ),
+        )
+        return F.slice(spans, F.lit(1), last)
+
+    return let(xs, pairs)
+
+
 def representative_point(edges: Column) -> tuple[Column, Column]:
     """The centroid when inside, else the middle of the widest interior span on its scan-line."""
     cx, cy = centroid(edges)
 
-    def hit(e: Column) -> Column:
-        spans = (e.getField("y1") > cy) != (e.getField("y2") > cy)
-        return F.when(
-            spans,
-            e.getField("x1")
-            + (cy - e.getField("y1"))
-            * (e.getField("x2") - e.getField("x1"))
-            / F.nullif(e.getField("y2") - e.getField("y1"), F.lit(0.0)),
+    def place(c: Column) -> Column:
+        x, y = c.getField("x"), c.getField("y")
+        spans = F.transform(
+            span_pairs(scan_hits(edges, y)),
+            lambda s: F.struct(
+                (s.getField("b") - s.getField("a")).alias("width"),
+                ((s.getField("a") + s.getField("b")) / F.lit(2.0)).alias("mid"),
+            ),
         )
+        widest = F.coalesce(F.array_max(spans).getField("mid"), x)
+        return F.when(contains_point(edges, x, y), x).otherwise(widest)
 
-    hits = F.array_sort(F.filter(F.transform(edges, hit), lambda v: v.isNotNull()))
-    spans = F.transform(
-        F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(hits) - 1, F.lit(1))),
-            lambda i: (i % 2 == 1) & (i < F.size(hits)),
-        ),
-        lambda i: F.struct(
-            (F.element_at(hits, i + 1) - F.element_at(hits, i)).alias("width"),
-            ((F.element_at(hits, i + 1) + F.element_at(hits, i)) / F.lit(2.0)).alias("mid"),
-        ),
-    )
-    widest = F.array_max(spans).getField("mid")
-    inside = contains_point(edges, cx, cy)
-    return F.when(inside, cx).otherwise(F.coalesce(widest, cx)), cy
+    return let(F.struct(cx.alias("x"), cy.alias("y")), place), cy
 
 
 def near_span(edge: Column, obstacle: Column, radius: float) -> Column:
     """The one interval of ``edge`` within ``radius`` of the segment ``obstacle`` (NULL if none).
 
-    The set of points within ``radius`` of a segment is convex, so the part of a line inside it is
-    a single interval: the hull of its parts in the two end discs and in the central slab.
+    The points within ``radius`` of a segment form a convex set, so a line meets it in a single
+    interval: the hull of its parts in the two end discs and in the slab between them.
     """
     r = F.lit(float(radius))
-    ex, ey = edge.getField("x2") - edge.getField("x1"), edge.getField("y2") - edge.getField("y1")
-    ee = F.nullif(ex * ex + ey * ey, F.lit(0.0))
-
-    def disc(px: Column, py: Column) -> tuple[Column, Column]:
-        wx, wy = px - edge.getField("x1"), py - edge.getField("y1")
-        mid = (wx * ex + wy * ey) / ee
-        gap2 = (wx * ey - wy * ex) * (wx * ey - wy * ex) / ee
-        half = F.when(gap2 <= r * r, F.sqrt((r * r - gap2) / ee))
-        return mid - half, mid + half
-
-    ox, oy = obstacle.getField("x1"), obstacle.getField("y1")
-    fx, fy = obstacle.getField("x2") - ox, obstacle.getField("y2") - oy
-    ff = F.nullif(fx * fx + fy * fy, F.lit(0.0))
-    flen = F.sqrt(ff)
-
-    def linear(at0: Column, slope: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-        """t-range with lo <= at0 + slope*t <= hi."""
-        s = F.nullif(slope, F.lit(0.0))
-        a, b = (lo - at0) / s, (hi - at0) / s
-        flat_ok = (at0 >= lo) & (at0 <= hi)
-        low = F.when(s.isNull(), F.when(flat_ok, F.lit(0.0))).otherwise(F.least(a, b))
-        high = F.when(s.isNull(), F.when(flat_ok, F.lit(1.0))).otherwise(F.greatest(a, b))
-        return low, high
-
-    wx, wy = edge.getField("x1") - ox, edge.getField("y1") - oy
-    along = linear((wx * fx + wy * fy) / ff, (ex * fx + ey * fy) / ff, F.lit(0.0), F.lit(1.0))
-    across = linear((wx * fy - wy * fx) / flen, (ex * fy - ey * fx) / flen, -r, r)
-    slab_lo = F.when(along[0].isNotNull() & across[0].isNotNull(), F.greatest(along[0], across[0]))
-    slab_hi = F.when(along[0].isNotNull() & across[0].isNotNull(), F.least(along[1], across[1]))
-    slab_ok = slab_lo <= slab_hi
-
-    d1, d2 = disc(ox, oy), disc(obstacle.getField("x2"), obstacle.getField("y2"))
-    lo = F.least(d1[0], d2[0], F.when(slab_ok, slab_lo))
-    hi = F.greatest(d1[1], d2[1], F.when(slab_ok, slab_hi))
-    lo, hi = F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0))
-    found = F.coalesce(d1[0], d2[0], F.when(slab_ok, slab_lo)).isNotNull() & (hi > lo)
-    return F.when(found, F.struct(lo.alias("t0"), hi.alias("t1")))
+    ex, ey = _vector(edge)
+    fx, fy = _vector(obstacle)
+    empty = F.lit(None).cast("struct<lo:double,hi:double>")
+
+    def interval(lo: Column, hi: Column) -> Column:
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def disc(wx: Column, wy: Column, ex: Column, ey: Column, ee: Column) -> Column:
+        """Interval in the disc around the point at offset (wx, wy) from the edge start."""
+        parts = F.struct(
+            ((wx * ex + wy * ey) / ee).alias("mid"),
+            ((r * r - (wx * ey - wy * ex) * (wx * ey - wy * ex) / ee) / ee).alias("half2"),
+        )
+
+        def solve(p: Column) -> Column:
+            half = F.sqrt(p.getField("half2"))
+            return F.when(
+                p.getField("half2") >= 0,
+                interval(p.getField("mid") - half, p.getField("mid") + half),
+            )
+
+        return let(parts, solve)
+
+    def strip(at0: Column, slope: Column, lo: Column, hi: Column) -> Column:
+        """Interval with lo <= at0 + slope * t <= hi; the whole edge when the slope is 0."""
+
+        def solve(s: Column) -> Column:
+            return F.when(
+                s == 0, F.when(at0.between(lo, hi), interval(F.lit(0.0), F.lit(1.0)))
+            ).otherwise(
+                let(
+                    interval((lo - at0) / s, (hi - at0) / s),
+                    lambda i: interval(
+                        F.least(i.getField("lo"), i.getField("hi")),
+                        F.greatest(i.getField("lo"), i.getField("hi")),
+                    ),
+                )
+            )
+
+        return let(slope, solve)
+
+    def common(a: Column, b: Column) -> Column:
+        both = interval(
+            F.greatest(a.getField("lo"), b.getField("lo")),
+            F.least(a.getField("hi"), b.getField("hi")),
+        )
+        return F.when(a.isNotNull() & b.isNotNull(), both)
+
+    def solve(v: Column) -> Column:
+        ex, ey, fx, fy, wx, wy, ee, ff = (
+            v.getField(c) for c in ("ex", "ey", "fx", "fy", "wx", "wy", "ee", "ff")
+        )
+        slab = let(
+            F.struct(
+                strip((wx * fx + wy * fy) / ff, (ex * fx + ey * fy) / ff, F.lit(0.0), F.lit(1.0))
+                .alias("along"),
+                strip(
+                    (wx * fy - wy * fx) / F.sqrt(ff), (ex * fy - ey * fx) / F.sqrt(ff), -r, r
+                ).alias("across"),
+            ),
+            lambda s: common(s.getField("along"), s.getField("across")),
+        )
+        discs = [disc(-wx, -wy, ex, ey, ee), disc(fx - wx, fy - wy, ex, ey, ee)]
+        found = F.filter(
+            F.array(*discs, F.when(ff > 0, slab).otherwise(empty)),
+            lambda i: i.isNotNull() & (i.getField("lo") <= i.getField("hi")),
+        )
+
+        def hull(parts: Column) -> Column:
+            lo = F.array_min(F.transform(parts, lambda i: i.getField("lo")))
+            hi = F.array_max(F.transform(parts, lambda i: i.getField("hi")))
+            return F.struct(
+                F.greatest(lo, F.lit(0.0)).alias("t0"), F.least(hi, F.lit(1.0)).alias("t1")
+            )
+
+        return F.when(F.size(found) > 0, let(found, hull))
+
+    vectors = F.struct(
+        ex.alias("ex"),
+        ey.alias("ey"),
+        fx.alias("fx"),
+        fy.alias("fy"),
+        (edge.getField("x1") - obstacle.getField("x1")).alias("wx"),
+        (edge.getField("y1") - obstacle.getField("y1")).alias("wy"),
+        F.nullif(ex * ex + ey * ey, F.lit(0.0)).alias("ee"),
+        F.nullif(fx * fx + fy * fy, F.lit(0.0)).alias("ff"),
+    )
+    span = let(vectors, solve)
+    return let(span, lambda s: F.when(s.getField("t1") > s.getField("t0"), s))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrapulse.functions.geometry import let
+
 # Mean cell areas in m2 of the grains used, and the edge each one implies.
 GRAIN_AREA_M2 = {7: 5.0e6, 8: 0.7e6, 9: 0.1e6}
 JOIN_GRAIN = 9
@@ -27,15 +29,24 @@ def cell_of(x: Column, y: Column, edge: float) -> Column:
     """
     q = (x * F.lit(SQRT3 / 3.0) - y / F.lit(3.0)) / F.lit(edge)
     r = y * F.lit(2.0 / 3.0) / F.lit(edge)
-    s = -q - r
-    rq, rr, rs = (F.floor(v + F.lit(0.5)) for v in (q, r, s))
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    q_is_worst = (dq > dr) & (dq > ds)
-    r_is_worst = ~q_is_worst & (dr > ds)
-    return F.struct(
-        F.when(q_is_worst, -rr - rs).otherwise(rq).cast("bigint").alias("q"),
-        F.when(r_is_worst, -rq - rs).otherwise(rr).cast("bigint").alias("r"),
-    )
+
+    def rounded(c: Column) -> Column:
+        q, r = c.getField("q"), c.getField("r")
+        s = -q - r
+        near = [F.floor(v + F.lit(0.5)).alias(n) for v, n in ((q, "q"), (r, "r"), (s, "s"))]
+
+        def repaired(n: Column) -> Column:
+            nq, nr, ns = (n.getField(c) for c in "qrs")
+            dq, dr, ds = F.abs(nq - q), F.abs(nr - r), F.abs(ns - s)
+            worst_q = (dq > dr) & (dq > ds)
+            return F.struct(
+                F.when(worst_q, -nr - ns).otherwise(nq).alias("q"),
+                F.when(~worst_q & (dr > ds), -nq - ns).otherwise(nr).alias("r"),
+            )
+
+        return let(F.struct(*near), repaired)
+
+    return let(F.struct(q.alias("q"), r.alias("r")), rounded)
 
 
 def cell_distance(a: Column, b: Column) -> Column:
@@ -67,14 +78,22 @@ def cell_boundary(cell: Column, edge: float) -> Column:
 
 def disk(cell: Column, k: int) -> Column:
     """Array of the cells within ``k`` steps of ``cell``."""
-    q, r = cell.getField("q"), cell.getField("r")
-    offsets = [
-        (dq, dr)
-        for dq in range(-k, k + 1)
-        for dr in range(max(-k, -dq - k), min(k, -dq + k) + 1)
-    ]
-    return F.array(
-        *[F.struct((q + dq).alias("q"), (r + dr).alias("r")) for dq, dr in offsets]
+    steps = F.array(
+        *[
+            F.struct(F.lit(dq).alias("q"), F.lit(dr).alias("r"))
+            for dq in range(-k, k + 1)
+            for dr in range(max(-k, -dq - k), min(k, -dq + k) + 1)
+        ]
+    )
+    return let(
+        cell,
+        lambda c: F.transform(
+            steps,
+            lambda o: F.struct(
+                (c.getField("q") + o.getField("q")).alias("q"),
+                (c.getField("r") + o.getField("r")).alias("r"),
+            ),
+        ),
     )
 
 

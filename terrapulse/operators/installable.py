@@ -22,30 +22,6 @@ def _rows(lo: Column, hi: Column, step: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
 
 
-def _hits(edges: Column, y: Column) -> Column:
-    """Sorted abscissas where the scan-line crosses the outline."""
-
-    def hit(e: Column) -> Column:
-        spans = (e.getField("y1") > y) != (e.getField("y2") > y)
-        slope = (e.getField("x2") - e.getField("x1")) / F.nullif(
-            e.getField("y2") - e.getField("y1"), F.lit(0.0)
-        )
-        return F.when(spans, e.getField("x1") + (y - e.getField("y1")) * slope)
-
-    return F.array_sort(F.filter(F.transform(edges, hit), lambda v: v.isNotNull()))
-
-
-def _pairs(xs: Column) -> Column:
-    """Consecutive pairs of a sorted array of even size as ``array<struct<a,b>>``."""
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1))),
-        lambda i: (i % 2 == 1) & (i < F.size(xs)),
-    )
-    return F.transform(
-        starts, lambda i: F.struct(F.element_at(xs, i).alias("a"), F.element_at(xs, i + 1).alias("b"))
-    )
-
-
 def setback_spans(parcels: DataFrame, key: str, geom: str, setback: float, step: float) -> DataFrame:
     """``(key, row, a, b)``: stretches of each scan-line inside the parcel and off its outline."""
     b = G.bounds(F.col(geom))
@@ -70,7 +46,7 @@ def setback_spans(parcels: DataFrame, key: str, geom: str, setback: float, step:
         ),
         lambda s: F.struct(to_x(s.getField("t0")).alias("a"), to_x(s.getField("t1")).alias("b")),
     )
-    outside = _pairs(F.concat(F.array("_lo"), _hits(F.col(geom), y), F.array("_hi")))
+    outside = G.span_pairs(F.concat(F.array("_lo"), G.scan_hits(F.col(geom), y), F.array("_hi")))
     blocked = F.array_sort(F.concat(near, outside))
     none = F.expr("cast(array() as array<struct<a:double,b:double>>)")
 
@@ -93,7 +69,7 @@ def footprint_spans(footprints: DataFrame, key: str, geom: str, step: float) ->
     b = G.bounds(F.col(geom))
     lined = footprints.select(key, geom, _rows(b["miny"], b["maxy"], step).alias("row"))
     spans = lined.select(
-        key, "row", F.explode(_pairs(_hits(F.col(geom), _line_y(step)))).alias("s")
+        key, "row", F.explode(G.span_pairs(G.scan_hits(F.col(geom), _line_y(step)))).alias("s")
     ).select(key, "row", "s.a", "s.b")
     order = Window.partitionBy(key, "row").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -46,8 +46,11 @@ def _edge_box() -> tuple[Column, Column, Column, Column]:
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
-    """Union of the intervals ``(t0, t1)`` of each edge as disjoint rows ``(fid, eid, e, t0, t1)``."""
-    order = Window.partitionBy("fid", "eid").orderBy("t0", "t1")
+    """Union of the intervals ``(t0, t1)`` of each edge as disjoint rows ``(fid, eid, e, t0, t1)``.
+
+    An edge may come in several pieces under one number, so the piece itself is part of the key.
+    """
+    order = Window.partitionBy("fid", "eid", "e").orderBy("t0", "t1")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("t1").over(before), F.lit(0.0))
     opened = spans.withColumn("reach", reach)
@@ -115,7 +118,7 @@ def clip_edges(edges: DataFrame, polygons: DataFrame, geom: str, cell: float) ->
     return kept.select(
         "fid",
         (F.col("eid").cast("bigint") * 1_000 + F.row_number().over(
-            Window.partitionBy("fid", "eid").orderBy("t0")
+            Window.partitionBy("fid", "eid", "e").orderBy("t0")
         )).alias("eid"),
         G.cut(F.col("e"), F.struct("t0", "t1")).alias("e"),
     )

@@ -53,3 +53,12 @@ def heatmap_gap(heatmap: DataFrame, eligible: DataFrame) -> DataFrame:
 
 def at_least_one(df: DataFrame) -> DataFrame:
     return df.agg((F.count(F.lit(1)) > 0).alias("ok"))
+
+
+def department_coverage(df: DataFrame) -> DataFrame:
+    """Per department: rows, passing rows and rows whose free area exceeds their area."""
+    return df.groupBy("dept").agg(
+        F.count(F.lit(1)).alias("n_parcels"),
+        F.count_if("eligible").alias("n_passing"),
+        F.count_if(F.col("surface_libre_m2") > F.col("surface_m2")).alias("n_free_above_area"),
+    )

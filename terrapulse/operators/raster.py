@@ -59,30 +59,15 @@ def _scan_rows(df: DataFrame, geom: str, step: float) -> DataFrame:
 def burn_centers(df: DataFrame, geom: str, step: float) -> DataFrame:
     """``df`` (without ``geom``) once per cell whose centre lies in the polygon."""
     y = (F.col("row") + F.lit(0.5)) * F.lit(float(step))
-
-    def hit(e: Column) -> Column:
-        spans = (e.getField("y1") > y) != (e.getField("y2") > y)
-        at = e.getField("x1") + (y - e.getField("y1")) * (
-            e.getField("x2") - e.getField("x1")
-        ) / F.nullif(e.getField("y2") - e.getField("y1"), F.lit(0.0))
-        return F.when(spans, at)
-
-    hits = F.array_sort(F.filter(F.transform(F.col(geom), hit), lambda v: v.isNotNull()))
-    lined = _scan_rows(df, geom, step).withColumn("_hits", hits).drop(geom)
-    pairs = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size("_hits"), F.lit(1))),
-        lambda i: (i % 2 == 1) & (i < F.size("_hits")),
-    )
-    spans = lined.withColumn("_i", F.explode(pairs)).withColumns(
+    lined = _scan_rows(df, geom, step)
+    spans = lined.withColumn("_s", F.explode(G.span_pairs(G.scan_hits(F.col(geom), y)))).drop(geom)
+    bounded = spans.withColumns(
         {
-            "_lo": _first_center(F.element_at("_hits", F.col("_i")), step),
-            "_hi": _first_center(F.element_at("_hits", F.col("_i") + 1), step) - 1,
+            "_lo": _first_center(F.col("_s.a"), step),
+            "_hi": _first_center(F.col("_s.b"), step) - 1,
         }
-    )
-    filled = spans.where(F.col("_lo") <= F.col("_hi"))
-    return filled.withColumn("col", F.explode(F.sequence("_lo", "_hi"))).drop(
-        "_hits", "_i", "_lo", "_hi"
-    )
+    ).where(F.col("_lo") <= F.col("_hi"))
+    return bounded.withColumn("col", F.explode(F.sequence("_lo", "_hi"))).drop("_s", "_lo", "_hi")
 
 
 def burn_edges(df: DataFrame, geom: str, step: float) -> DataFrame:

@@ -80,14 +80,12 @@ def building_pairs(parcels: DataFrame, buildings: DataFrame, attributes: list[st
     right = buildings.select("id_batiment", F.col("geom").alias("bgeom"), *attributes)
     met = intersecting_pairs(left, right, "geom", "bgeom", PAIR_CELL_M)
     common = met.withColumn("footprint", G.overlap(F.col("geom"), F.col("bgeom")))
-    empty = F.size("footprint") == 0
-    area = F.greatest(G.signed_area(F.col("footprint")), F.lit(0.0))
     return common.select(
         "id_parcelle",
         "id_batiment",
         *attributes,
         "footprint",
-        F.when(empty, F.lit(0.0)).otherwise(area).alias("footprint_m2"),
+        G.footprint_area(F.col("footprint")).alias("footprint_m2"),
     )
 
 
