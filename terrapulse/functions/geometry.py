@@ -1,543 +1,498 @@
 """Geometry expressions over an edge array.
 
 A polygon, multi-part polygon or line is one column ``array<struct<x1,y1,x2,y2>>``: every segment
-of every ring, outer rings counter-clockwise and holes clockwise. The expressions below are pure
+of every ring, outer rings counter-clockwise and holes clockwise. The expressions are pure
 functions of such columns, so measuring a feature never explodes or shuffles it.
+
+Arguments are SQL text (a column name or an expression) and the result is a Column; ``f.sql`` gives
+the text itself for use inside another expression. Each function names its own lambda variables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-9
+ON_LINE = 1e-7
+EDGES_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` applied to ``value``, which is evaluated once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def expression(fn: Callable[..., str]) -> Callable[..., Column]:
+    """Turn a function returning SQL text into one returning a Column; the text stays as ``.sql``."""
 
+    @wraps(fn)
+    def column(*args, **kwargs) -> Column:
+        return F.expr(fn(*args, **kwargs))
 
-def _vector(e: Column) -> tuple[Column, Column]:
-    return e.getField("x2") - e.getField("x1"), e.getField("y2") - e.getField("y1")
+    column.sql = fn
+    return column
 
 
-def ring_edges(ring: Column) -> Column:
-    """Edge array of one path given as ``array<struct<x,y>>``."""
-    n = F.size(ring)
-    return F.when(
-        n >= 2,
-        F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.struct(
-                F.element_at(ring, i).getField("x").alias("x1"),
-                F.element_at(ring, i).getField("y").alias("y1"),
-                F.element_at(ring, i + 1).getField("x").alias("x2"),
-                F.element_at(ring, i + 1).getField("y").alias("y2"),
-            ),
-        ),
-    ).otherwise(F.expr("cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)"))
-
-
-def rings_edges(rings: Column) -> Column:
-    """Edge array of ``array<array<struct<x,y>>>``."""
-    return F.flatten(F.transform(rings, ring_edges))
+def let(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def num(value: float) -> str:
+    """SQL double literal."""
+    return f"{float(value)!r}D"
 
 
-def segment(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.struct(
-        x1.cast("double").alias("x1"),
-        y1.cast("double").alias("y1"),
-        x2.cast("double").alias("x2"),
-        y2.cast("double").alias("y2"),
+def _segment(x1: str, y1: str, x2: str, y2: str) -> str:
+    return (
+        f"named_struct('x1', double({x1}), 'y1', double({y1}), "
+        f"'x2', double({x2}), 'y2', double({y2}))"
     )
 
 
-def line_edges(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.array(segment(x1, y1, x2, y2))
+segment = expression(_segment)
 
 
-def box_edges(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
-    """Counter-clockwise edges of an axis-aligned box."""
-    return F.array(
-        segment(minx, miny, maxx, miny),
-        segment(maxx, miny, maxx, maxy),
-        segment(maxx, maxy, minx, maxy),
-        segment(minx, maxy, minx, miny),
+@expression
+def ring_edges(ring: str) -> str:
+    """Edge array of one path given as ``array<struct<x,y>>``."""
+    here, there = f"get({ring}, i_re - 1)", f"get({ring}, i_re)"
+    edge = _segment(f"{here}.x", f"{here}.y", f"{there}.x", f"{there}.y")
+    return (
+        f"CASE WHEN size({ring}) >= 2 THEN transform(sequence(1, size({ring}) - 1), i_re -> {edge}) "
+        f"ELSE cast(array() AS {EDGES_TYPE}) END"
     )
 
 
-def _total(edges: Column, term: Callable[[Column], Column]) -> Column:
-    return F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + term(e))
+@expression
+def rings_edges(rings: str) -> str:
+    """Edge array of ``array<array<struct<x,y>>>``."""
+    return f"flatten(transform({rings}, g_rs -> {ring_edges.sql('g_rs')}))"
+
+
+@expression
+def line_edges(x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"array({_segment(x1, y1, x2, y2)})"
 
 
-def _first(edges: Column) -> tuple[Column, Column]:
-    head = F.element_at(edges, 1)
-    return head.getField("x1"), head.getField("y1")
+@expression
+def box_edges(minx: str, miny: str, maxx: str, maxy: str) -> str:
+    """Counter-clockwise edges of an axis-aligned box."""
+    corners = [(minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy), (minx, miny)]
+    return f"array({', '.join(_segment(*a, *b) for a, b in zip(corners, corners[1:]))})"
 
 
-def _cross_term(e: Column, ox: Column, oy: Column) -> Column:
-    """Shoelace term of an edge around a local origin, which keeps large coordinates precise."""
-    return (e.getField("x1") - ox) * (e.getField("y2") - oy) - (e.getField("x2") - ox) * (
-        e.getField("y1") - oy
+def _turn(e: str, o: str) -> str:
+    """Shoelace term of edge ``e`` around ``o.x1, o.y1``, which keeps large coordinates precise."""
+    return (
+        f"({e}.x1 - {o}.x1) * ({e}.y2 - {o}.y1) - ({e}.x2 - {o}.x1) * ({e}.y1 - {o}.y1)"
     )
 
 
-def signed_area(edges: Column) -> Column:
-    return let(
-        F.element_at(edges, 1),
-        lambda o: _total(edges, lambda e: _cross_term(e, o.getField("x1"), o.getField("y1"))),
-    ) / F.lit(2.0)
+@expression
+def signed_area(edges: str) -> str:
+    total = f"aggregate({edges}, 0D, (acc_sa, e_sa) -> acc_sa + {_turn('e_sa', 'o_sa')})"
+    return f"{let('o_sa', f'element_at({edges}, 1)', total)} / 2D"
 
 
-def area(edges: Column) -> Column:
-    return F.abs(signed_area(edges))
+@expression
+def area(edges: str) -> str:
+    return f"abs({signed_area.sql(edges)})"
 
 
-def length(edges: Column) -> Column:
-    return _total(
-        edges,
-        lambda e: F.hypot(
-            e.getField("x2") - e.getField("x1"), e.getField("y2") - e.getField("y1")
-        ),
+@expression
+def length(edges: str) -> str:
+    return (
+        f"aggregate({edges}, 0D, (acc_le, e_le) -> "
+        "acc_le + hypot(e_le.x2 - e_le.x1, e_le.y2 - e_le.y1))"
     )
 
 
-def bounds(edges: Column) -> dict[str, Column]:
-    def ends(axis: str, pick: Callable[..., Column]) -> Column:
-        return F.transform(edges, lambda e: pick(e.getField(f"{axis}1"), e.getField(f"{axis}2")))
-
+def bounds_sql(edges: str) -> dict[str, str]:
     return {
-        "minx": F.array_min(ends("x", F.least)),
-        "miny": F.array_min(ends("y", F.least)),
-        "maxx": F.array_max(ends("x", F.greatest)),
-        "maxy": F.array_max(ends("y", F.greatest)),
+        f"{side}{axis}": (
+            f"array_{side}(transform({edges}, e_bo -> {pick}(e_bo.{axis}1, e_bo.{axis}2)))"
+        )
+        for side, pick in (("min", "least"), ("max", "greatest"))
+        for axis in "xy"
     }
 
 
-def centroid(edges: Column) -> tuple[Column, Column]:
-    """Area centroid (shoelace weights around the first vertex)."""
+def bounds(edges: str) -> dict[str, Column]:
+    return {k: F.expr(v) for k, v in bounds_sql(edges).items()}
 
-    def axis(name: str) -> Column:
-        def around(o: Column) -> Column:
-            origin = o.getField(f"{name}1")
 
-            def add(acc: Column, e: Column) -> Column:
-                reach = e.getField(f"{name}1") - origin + e.getField(f"{name}2") - origin
-                return let(
-                    _cross_term(e, o.getField("x1"), o.getField("y1")),
-                    lambda c: F.struct(
-                        (acc.getField("a") + c).alias("a"),
-                        (acc.getField("m") + reach * c).alias("m"),
-                    ),
-                )
-
-            start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m"))
-            ratio = F.aggregate(
-                edges,
-                start,
-                add,
-                lambda t: t.getField("m") / F.nullif(F.lit(3.0) * t.getField("a"), F.lit(0.0)),
-            )
-            return origin + ratio
+@expression
+def center(edges: str) -> str:
+    """Area centroid as ``struct<x,y>`` (shoelace weights around the first vertex)."""
+    step = let(
+        "c_ce",
+        _turn("e_ce", "o_ce"),
+        "named_struct('a', acc_ce.a + c_ce, "
+        "'x', acc_ce.x + (e_ce.x1 - o_ce.x1 + e_ce.x2 - o_ce.x1) * c_ce, "
+        "'y', acc_ce.y + (e_ce.y1 - o_ce.y1 + e_ce.y2 - o_ce.y1) * c_ce)",
+    )
+    done = (
+        "named_struct('x', o_ce.x1 + t_ce.x / nullif(3D * t_ce.a, 0D), "
+        "'y', o_ce.y1 + t_ce.y / nullif(3D * t_ce.a, 0D))"
+    )
+    folded = (
+        f"aggregate({edges}, named_struct('a', 0D, 'x', 0D, 'y', 0D), "
+        f"(acc_ce, e_ce) -> {step}, t_ce -> {done})"
+    )
+    return let("o_ce", f"element_at({edges}, 1)", folded)
 
-        return let(F.element_at(edges, 1), around)
 
-    return axis("x"), axis("y")
+def centroid(edges: str) -> tuple[Column, Column]:
+    c = center(edges)
+    return c.getField("x"), c.getField("y")
 
 
-def contains_point(edges: Column, x: Column, y: Column) -> Column:
+@expression
+def contains_point(edges: str, x: str, y: str) -> str:
     """Crossing parity of a ray to the right of the point."""
+    crossed = (
+        f"CASE WHEN (e_cp.y1 > {y}) != (e_cp.y2 > {y}) AND {x} < e_cp.x1 + ({y} - e_cp.y1) "
+        "* (e_cp.x2 - e_cp.x1) / nullif(e_cp.y2 - e_cp.y1, 0D) THEN 1 ELSE 0 END"
+    )
+    return f"(aggregate({edges}, 0, (acc_cp, e_cp) -> acc_cp + {crossed}) % 2 = 1)"
 
-    def crossed(e: Column) -> Column:
-        spans = (e.getField("y1") > y) != (e.getField("y2") > y)
-        at = e.getField("x1") + (y - e.getField("y1")) * (
-            e.getField("x2") - e.getField("x1")
-        ) / F.nullif(e.getField("y2") - e.getField("y1"), F.lit(0.0))
-        return F.when(spans & (x < at), 1).otherwise(0)
-
-    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossed(e)) % 2 == 1
-
-
-def _point_segment(e: Column, x: Column, y: Column) -> Column:
-    dx, dy = _vector(e)
-
-    def measured(v: Column) -> Column:
-        dx, dy, wx, wy = (v.getField(c) for c in ("dx", "dy", "wx", "wy"))
-        along = (wx * dx + wy * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-        # greatest and least skip the NULL of a degenerate segment, leaving its first end.
-        t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-        return let(t, lambda t: F.hypot(wx - t * dx, wy - t * dy))
 
-    vectors = F.struct(
-        dx.alias("dx"),
-        dy.alias("dy"),
-        (x - e.getField("x1")).alias("wx"),
-        (y - e.getField("y1")).alias("wy"),
+def _point_segment(e: str, x: str, y: str) -> str:
+    """Distance of a point to an edge; greatest/least skip the NULL of a degenerate edge."""
+    vectors = (
+        f"named_struct('dx', {e}.x2 - {e}.x1, 'dy', {e}.y2 - {e}.y1, "
+        f"'wx', {x} - {e}.x1, 'wy', {y} - {e}.y1)"
+    )
+    t = (
+        "least(greatest((v_ps.wx * v_ps.dx + v_ps.wy * v_ps.dy) "
+        "/ nullif(v_ps.dx * v_ps.dx + v_ps.dy * v_ps.dy, 0D), 0D), 1D)"
     )
-    return let(vectors, measured)
+    reach = "hypot(v_ps.wx - t_ps * v_ps.dx, v_ps.wy - t_ps * v_ps.dy)"
+    return let("v_ps", vectors, let("t_ps", t, reach))
 
 
-def outline_distance(edges: Column, x: Column, y: Column) -> Column:
-    return F.array_min(F.transform(edges, lambda e: _point_segment(e, x, y)))
+@expression
+def outline_distance(edges: str, x: str, y: str) -> str:
+    return f"array_min(transform({edges}, e_od -> {_point_segment('e_od', x, y)}))"
 
 
-def point_distance(edges: Column, x: Column, y: Column) -> Column:
+@expression
+def point_distance(edges: str, x: str, y: str) -> str:
     """Distance from a polygon to a point, 0 inside."""
-    return F.when(contains_point(edges, x, y), F.lit(0.0)).otherwise(outline_distance(edges, x, y))
+    inside = contains_point.sql(edges, x, y)
+    return f"CASE WHEN {inside} THEN 0D ELSE {outline_distance.sql(edges, x, y)} END"
 
 
-def _side(line: Column, x: Column, y: Column) -> Column:
+def _side(line: str, x: str, y: str) -> str:
     """Sign of the side of ``line`` the point lies on."""
-    dx, dy = _vector(line)
-    return F.signum(dx * (y - line.getField("y1")) - dy * (x - line.getField("x1")))
+    return (
+        f"signum(({line}.x2 - {line}.x1) * ({y} - {line}.y1) "
+        f"- ({line}.y2 - {line}.y1) * ({x} - {line}.x1))"
+    )
 
 
-def _sides_product(line: Column, other: Column) -> Column:
+def _sides(line: str, other: str) -> str:
     """-1 when the ends of ``other`` lie on both sides of ``line``, 0 when one lies on it."""
-    return _side(line, other.getField("x1"), other.getField("y1")) * _side(
-        line, other.getField("x2"), other.getField("y2")
+    return (
+        f"{_side(line, f'{other}.x1', f'{other}.y1')} * {_side(line, f'{other}.x2', f'{other}.y2')}"
     )
 
 
-def _cross_properly(a: Column, b: Column) -> Column:
+def _cross_properly(a: str, b: str) -> str:
     """The two segments cross at a point interior to both."""
-    return (_sides_product(b, a) < 0) & (_sides_product(a, b) < 0)
+    return f"({_sides(b, a)} < 0 AND {_sides(a, b)} < 0)"
 
 
-def _meet(a: Column, b: Column) -> Column:
+def _meet(a: str, b: str) -> str:
     """The two segments share a point, touching included."""
+    boxes = " AND ".join(
+        f"least({p}.{k}1, {p}.{k}2) <= greatest({q}.{k}1, {q}.{k}2)"
+        for k in "xy"
+        for p, q in ((a, b), (b, a))
+    )
+    return f"({boxes} AND {_sides(b, a)} <= 0 AND {_sides(a, b)} <= 0)"
 
-    def overlap(axis: str) -> Column:
-        a1, a2 = a.getField(f"{axis}1"), a.getField(f"{axis}2")
-        b1, b2 = b.getField(f"{axis}1"), b.getField(f"{axis}2")
-        return (F.least(a1, a2) <= F.greatest(b1, b2)) & (F.least(b1, b2) <= F.greatest(a1, a2))
 
-    return overlap("x") & overlap("y") & (_sides_product(b, a) <= 0) & (_sides_product(a, b) <= 0)
+def _segment_distance(a: str, b: str) -> str:
+    ends = [
+        _point_segment(line, f"{p}.x{i}", f"{p}.y{i}")
+        for line, p in ((b, a), (a, b))
+        for i in (1, 2)
+    ]
+    return f"CASE WHEN {_cross_properly(a, b)} THEN 0D ELSE least({', '.join(ends)}) END"
 
 
-def _segment_distance(a: Column, b: Column) -> Column:
-    apart = F.least(
-        _point_segment(b, a.getField("x1"), a.getField("y1")),
-        _point_segment(b, a.getField("x2"), a.getField("y2")),
-        _point_segment(a, b.getField("x1"), b.getField("y1")),
-        _point_segment(a, b.getField("x2"), b.getField("y2")),
-    )
-    return F.when(_cross_properly(a, b), F.lit(0.0)).otherwise(apart)
+@expression
+def outlines_distance(a: str, b: str) -> str:
+    inner = f"array_min(transform({b}, f_ld -> {_segment_distance('e_ld', 'f_ld')}))"
+    return f"array_min(transform({a}, e_ld -> {inner}))"
 
 
-def outlines_distance(a: Column, b: Column) -> Column:
-    return F.array_min(
-        F.transform(a, lambda e: F.array_min(F.transform(b, lambda f: _segment_distance(e, f))))
-    )
+def _holds_start(polygon: str, other: str) -> str:
+    head = f"element_at({other}, 1)"
+    return contains_point.sql(polygon, f"{head}.x1", f"{head}.y1")
 
 
-def distance(a: Column, b: Column, a_filled: bool = True, b_filled: bool = True) -> Column:
+@expression
+def distance(a: str, b: str, a_filled: bool = True, b_filled: bool = True) -> str:
     """Distance between two features; a filled (polygon) side absorbs what lies inside it."""
-    out = outlines_distance(a, b)
-    if b_filled:
-        out = F.when(contains_point(b, *_first(a)), F.lit(0.0)).otherwise(out)
-    if a_filled:
-        out = F.when(contains_point(a, *_first(b)), F.lit(0.0)).otherwise(out)
-    return out
+    absorbed = [_holds_start(b, a)] * b_filled + [_holds_start(a, b)] * a_filled
+    apart = outlines_distance.sql(a, b)
+    return f"CASE WHEN {' OR '.join(absorbed)} THEN 0D ELSE {apart} END" if absorbed else apart
 
 
-def intersects(a: Column, b: Column, a_filled: bool = True, b_filled: bool = True) -> Column:
+@expression
+def intersects(a: str, b: str, a_filled: bool = True, b_filled: bool = True) -> str:
     """The features share at least one point: outlines meet, or one lies inside the other."""
-    out = F.exists(a, lambda e: F.exists(b, lambda f: _meet(e, f)))
-    if b_filled:
-        out = out | contains_point(b, *_first(a))
-    if a_filled:
-        out = out | contains_point(a, *_first(b))
-    return out
+    met = f"exists({a}, e_in -> exists({b}, f_in -> {_meet('e_in', 'f_in')}))"
+    absorbed = [_holds_start(b, a)] * b_filled + [_holds_start(a, b)] * a_filled
+    return f"({' OR '.join([met, *absorbed])})"
 
 
-def is_valid(ring: Column) -> Column:
+@expression
+def is_valid(ring: str) -> str:
     """Closed, at least four vertices, positive area, no edge crossing another."""
-    edges = ring_edges(ring)
-    closed = F.element_at(ring, 1) == F.element_at(ring, -1)
-    simple = ~F.exists(edges, lambda e: F.exists(edges, lambda f: _cross_properly(e, f)))
-    return F.when(
-        F.size(ring) >= 4, closed & (area(edges) > 0) & simple
-    ).otherwise(F.lit(False))
+    simple = f"NOT exists(r_va, e_va -> exists(r_va, f_va -> {_cross_properly('e_va', 'f_va')}))"
+    sound = let("r_va", ring_edges.sql("g_va"), f"{area.sql('r_va')} > 0 AND {simple}")
+    closed = "element_at(g_va, 1) = element_at(g_va, -1)"
+    return let("g_va", ring, f"CASE WHEN size(g_va) >= 4 THEN {closed} AND {sound} ELSE false END")
 
 
-def drop_z(coordinates: Column) -> Column:
+@expression
+def drop_z(coordinates: str) -> str:
     """``array<array<double>>`` positions of any arity to ``array<struct<x,y>>``."""
-    return F.transform(
-        coordinates,
-        lambda c: F.struct(F.element_at(c, 1).alias("x"), F.element_at(c, 2).alias("y")),
-    )
-
-
-def _crossing_params(edge: Column, others: Column) -> Column:
-    """Parameters in (0,1) at which ``edge`` meets ``others`` or passes abreast of their ends."""
-    ex, ey = _vector(edge)
+    return f"transform({coordinates}, c_dz -> named_struct('x', c_dz[0], 'y', c_dz[1]))"
 
-    def meet(f: Column) -> Column:
-        fx, fy = _vector(f)
-        vectors = F.struct(
-            ex.alias("ex"),
-            ey.alias("ey"),
-            fx.alias("fx"),
-            fy.alias("fy"),
-            (f.getField("x1") - edge.getField("x1")).alias("wx"),
-            (f.getField("y1") - edge.getField("y1")).alias("wy"),
-        )
-
-        def solve(v: Column) -> Column:
-            ex, ey, fx, fy, wx, wy = (v.getField(c) for c in ("ex", "ey", "fx", "fy", "wx", "wy"))
-
-            def params(det: Column) -> Column:
-                u = (wx * ey - wy * ex) / det
-                return F.when(u.between(-EPS, 1 + EPS), (wx * fy - wy * fx) / det)
-
-            beside = (wx * ex + wy * ey) / F.nullif(ex * ex + ey * ey, F.lit(0.0))
-            return F.array(let(F.nullif(ex * fy - ey * fx, F.lit(0.0)), params), beside)
-
-        return let(vectors, solve)
 
-    found = F.flatten(F.transform(others, meet))
-    return F.filter(found, lambda t: (t > EPS) & (t < 1 - EPS))
+def _crossing_params(edge: str, others: str) -> str:
+    """Parameters in (0,1) at which ``edge`` crosses an edge of ``others``.
 
-
-def _aligned(f: Column, edge: Column) -> Column:
-    """+1 / -1 when the edges run the same / opposite way."""
-    ex, ey = _vector(edge)
-    fx, fy = _vector(f)
-    return F.signum(ex * fx + ey * fy)
+    A parallel edge has no crossing; it gives the parameter abreast of its start, so that a shared
+    stretch begins and ends at a cut (its end is the start of the next edge).
+    """
+    vectors = (
+        f"named_struct('ex', {edge}.x2 - {edge}.x1, 'ey', {edge}.y2 - {edge}.y1, "
+        "'fx', f_cr.x2 - f_cr.x1, 'fy', f_cr.y2 - f_cr.y1, "
+        f"'wx', f_cr.x1 - {edge}.x1, 'wy', f_cr.y1 - {edge}.y1)"
+    )
+    met = let(
+        "d_cr",
+        "v_cr.ex * v_cr.fy - v_cr.ey * v_cr.fx",
+        "CASE WHEN abs(d_cr) < 1e-12D THEN (v_cr.wx * v_cr.ex + v_cr.wy * v_cr.ey) "
+        "/ nullif(v_cr.ex * v_cr.ex + v_cr.ey * v_cr.ey, 0D) "
+        f"WHEN (v_cr.wx * v_cr.ey - v_cr.wy * v_cr.ex) / d_cr BETWEEN {num(-EPS)} AND {num(1 + EPS)} "
+        "THEN (v_cr.wx * v_cr.fy - v_cr.wy * v_cr.fx) / d_cr END",
+    )
+    found = f"transform({others}, f_cr -> {let('v_cr', vectors, met)})"
+    return f"filter({found}, t_cr -> t_cr > {num(EPS)} AND t_cr < {num(1 - EPS)})"
+
+
+def _touches(f: str, x: str, y: str) -> str:
+    """The point lies on the edge, within a tolerance; most edges fail the first, cheap, test."""
+    return (
+        f"(abs(({f}.x2 - {f}.x1) * ({y} - {f}.y1) - ({f}.y2 - {f}.y1) * ({x} - {f}.x1)) "
+        f"<= {num(ON_LINE)} * (abs({f}.x2 - {f}.x1) + abs({f}.y2 - {f}.y1)) "
+        f"AND {x} BETWEEN least({f}.x1, {f}.x2) - {num(ON_LINE)} "
+        f"AND greatest({f}.x1, {f}.x2) + {num(ON_LINE)} "
+        f"AND {y} BETWEEN least({f}.y1, {f}.y2) - {num(ON_LINE)} "
+        f"AND greatest({f}.y1, {f}.y2) + {num(ON_LINE)})"
+    )
 
 
-def inside_spans(edge: Column, polygon: Column, shared: str = "none") -> Column:
+@expression
+def inside_spans(edge: str, polygon: str, shared: str = "none") -> str:
     """Parts of ``edge`` inside ``polygon`` as ``array<struct<t0,t1>>``.
 
     A part running along the polygon's outline is kept according to ``shared``: ``none`` drops it,
     ``same`` / ``opposite`` keep it when both outlines run the same / opposite way, ``any`` always.
     """
-    ends = F.array(F.lit(0.0), F.lit(1.0))
-    cuts = F.array_sort(F.array_distinct(F.concat(ends, _crossing_params(edge, polygon))))
-
-    def keep(p: Column) -> Column:
-        mid = (p.getField("t0") + p.getField("t1")) / F.lit(2.0)
-        dx, dy = _vector(edge)
-        point = F.struct(
-            (edge.getField("x1") + mid * dx).alias("x"), (edge.getField("y1") + mid * dy).alias("y")
-        )
+    way = (
+        "aggregate(n_is, 0D, (acc_is, f_is) -> acc_is + signum("
+        f"({edge}.x2 - {edge}.x1) * (f_is.x2 - f_is.x1) "
+        f"+ ({edge}.y2 - {edge}.y1) * (f_is.y2 - f_is.y1)))"
+    )
+    on_line = {
+        "none": "false", "same": f"{way} > 0", "opposite": f"{way} < 0", "any": "true",
+    }[shared]
+    touched = f"filter({polygon}, g_is -> {_touches('g_is', 'm_is.x', 'm_is.y')})"
+    judged = let(
+        "n_is",
+        touched,
+        f"CASE WHEN size(n_is) > 0 THEN {on_line} "
+        f"ELSE {contains_point.sql(polygon, 'm_is.x', 'm_is.y')} END",
+    )
+    at = "(p_is.t0 + p_is.t1) / 2D"
+    middle = (
+        f"named_struct('x', {edge}.x1 + {at} * ({edge}.x2 - {edge}.x1), "
+        f"'y', {edge}.y1 + {at} * ({edge}.y2 - {edge}.y1))"
+    )
+    cuts = (
+        "array_sort(array_distinct(concat(array(0D, 1D), "
+        f"{_crossing_params(edge, polygon)})))"
+    )
+    pieces = let(
+        "c_is",
+        cuts,
+        "transform(sequence(1, size(c_is) - 1), i_is -> "
+        "named_struct('t0', c_is[i_is - 1], 't1', c_is[i_is]))",
+    )
+    return f"filter({pieces}, p_is -> {let('m_is', middle, judged)})"
 
-        def decide(m: Column) -> Column:
-            x, y = m.getField("x"), m.getField("y")
-            along = F.filter(polygon, lambda f: _point_segment(f, x, y) <= F.lit(1e-7))
-
-            def judge(touched: Column) -> Column:
-                way = F.aggregate(touched, F.lit(0.0), lambda acc, f: acc + _aligned(f, edge))
-                on_line = {
-                    "none": F.lit(False),
-                    "same": way > 0,
-                    "opposite": way < 0,
-                    "any": F.lit(True),
-                }[shared]
-                return F.when(F.size(touched) > 0, on_line).otherwise(contains_point(polygon, x, y))
-
-            return let(along, judge)
-
-        return let(point, decide)
-
-    def pieces(cuts: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(cuts) - 1),
-            lambda i: F.struct(
-                F.element_at(cuts, i).alias("t0"), F.element_at(cuts, i + 1).alias("t1")
-            ),
-        )
 
-    return F.filter(let(cuts, pieces), keep)
+@expression
+def cut(edge: str, span: str) -> str:
+    """The stretch ``span`` (``t0``, ``t1``) of an edge as a segment."""
 
+    def at(axis: str, t: str) -> str:
+        return f"{edge}.{axis}1 + {span}.{t} * ({edge}.{axis}2 - {edge}.{axis}1)"
 
-def cut(edge: Column, span: Column) -> Column:
-    """The stretch ``span`` (``t0``, ``t1``) of an edge as a segment."""
-    dx, dy = _vector(edge)
-    t0, t1 = span.getField("t0"), span.getField("t1")
-    return segment(
-        edge.getField("x1") + t0 * dx,
-        edge.getField("y1") + t0 * dy,
-        edge.getField("x1") + t1 * dx,
-        edge.getField("y1") + t1 * dy,
-    )
+    return _segment(at("x", "t0"), at("y", "t0"), at("x", "t1"), at("y", "t1"))
 
 
-def parts_inside(edges: Column, polygon: Column, shared: str = "none") -> Column:
+@expression
+def parts_inside(edges: str, polygon: str, shared: str = "none") -> str:
     """Edge array of the stretches of ``edges`` inside ``polygon``."""
-    return F.flatten(
-        F.transform(
-            edges, lambda e: F.transform(inside_spans(e, polygon, shared), lambda s: cut(e, s))
-        )
-    )
+    spans = inside_spans.sql("e_pi", polygon, shared)
+    return f"flatten(transform({edges}, e_pi -> transform({spans}, s_pi -> {cut.sql('e_pi', 's_pi')})))"
 
 
-def overlap(a: Column, b: Column) -> Column:
+@expression
+def overlap(a: str, b: str) -> str:
     """Edge array of the intersection of two counter-clockwise polygons (empty when apart).
 
-    Its outline is made of the parts of each outline inside the other polygon; a shared stretch is
-    taken once, from ``a``, when both run the same way.
+    When the outlines do not meet, it is the inner polygon. Else its outline is made of the parts of
+    each outline inside the other polygon; a shared stretch is taken once, from ``a``, when both run
+    the same way.
     """
-    return F.concat(parts_inside(a, b, "same"), parts_inside(b, a, "none"))
+    met = f"exists({a}, e_ov -> exists({b}, f_ov -> {_meet('e_ov', 'f_ov')}))"
+    parts = f"concat({parts_inside.sql(a, b, 'same')}, {parts_inside.sql(b, a, 'none')})"
+    return (
+        f"CASE WHEN {met} THEN {parts} WHEN {_holds_start(a, b)} THEN {b} "
+        f"WHEN {_holds_start(b, a)} THEN {a} ELSE cast(array() AS {EDGES_TYPE}) END"
+    )
 
 
-def overlap_area(a: Column, b: Column) -> Column:
-    """Area of the intersection of two counter-clockwise polygons (Green's theorem)."""
-    return let(overlap(a, b), footprint_area)
+@expression
+def footprint_area(common: str) -> str:
+    """Area of an outline made by ``overlap``, 0 when empty."""
+    return f"CASE WHEN size({common}) = 0 THEN 0D ELSE greatest({signed_area.sql(common)}, 0D) END"
 
 
-def footprint_area(common: Column) -> Column:
-    """Area of an outline made by :func:`overlap`, 0 when empty."""
-    return F.when(F.size(common) == 0, F.lit(0.0)).otherwise(
-        F.greatest(signed_area(common), F.lit(0.0))
-    )
+@expression
+def overlap_area(a: str, b: str) -> str:
+    """Area of the intersection of two counter-clockwise polygons (Green's theorem)."""
+    return let("c_oa", overlap.sql(a, b), footprint_area.sql("c_oa"))
 
 
-def scan_hits(edges: Column, y: Column) -> Column:
+@expression
+def scan_hits(edges: str, y: str) -> str:
     """Sorted abscissas where the horizontal line at ``y`` crosses the outline."""
-
-    def hit(e: Column) -> Column:
-        spans = (e.getField("y1") > y) != (e.getField("y2") > y)
-        dx, dy = _vector(e)
-        return F.when(
-            spans, e.getField("x1") + (y - e.getField("y1")) * dx / F.nullif(dy, F.lit(0.0))
-        )
-
-    return F.array_sort(F.filter(F.transform(edges, hit), lambda v: v.isNotNull()))
+    hit = (
+        f"CASE WHEN (e_sh.y1 > {y}) != (e_sh.y2 > {y}) THEN e_sh.x1 + ({y} - e_sh.y1) "
+        "* (e_sh.x2 - e_sh.x1) / nullif(e_sh.y2 - e_sh.y1, 0D) END"
+    )
+    return f"array_sort(filter(transform({edges}, e_sh -> {hit}), h_sh -> h_sh IS NOT NULL))"
 
 
-def span_pairs(xs: Column) -> Column:
+@expression
+def span_pairs(xs: str) -> str:
     """Consecutive pairs of a sorted array of even size as ``array<struct<a,b>>``."""
+    pairs = (
+        "CASE WHEN size(x_sp) >= 2 THEN transform(sequence(1, size(x_sp) div 2), i_sp -> "
+        "named_struct('a', x_sp[int(i_sp * 2 - 2)], 'b', x_sp[int(i_sp * 2 - 1)])) "
+        "ELSE cast(array() AS array<struct<a:double,b:double>>) END"
+    )
+    return let("x_sp", xs, pairs)
 
-    def pairs(xs: Column) -> Column:
-        last = F.greatest(F.floor(F.size(xs) / 2).cast("int"), F.lit(0))
-        spans = F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-            lambda i: F.struct(
-                F.get(xs, i * 2 - 2).alias("a"), F.get(xs, i * 2 - 1).alias("b")
-            ),
-        )
-        return F.slice(spans, F.lit(1), last)
 
-    return let(xs, pairs)
+@expression
+def representative_x(edges: str, c: str) -> str:
+    spans = (
+        f"transform({span_pairs.sql(scan_hits.sql(edges, f'{c}.y'))}, s_rp -> "
+        "named_struct('width', s_rp.b - s_rp.a, 'mid', (s_rp.a + s_rp.b) / 2D))"
+    )
+    inside = contains_point.sql(edges, f"{c}.x", f"{c}.y")
+    return f"CASE WHEN {inside} THEN {c}.x ELSE coalesce(array_max({spans}).mid, {c}.x) END"
 
 
-def representative_point(edges: Column) -> tuple[Column, Column]:
+def representative_point(edges: str) -> tuple[Column, Column]:
     """The centroid when inside, else the middle of the widest interior span on its scan-line."""
-    cx, cy = centroid(edges)
-
-    def place(c: Column) -> Column:
-        x, y = c.getField("x"), c.getField("y")
-        spans = F.transform(
-            span_pairs(scan_hits(edges, y)),
-            lambda s: F.struct(
-                (s.getField("b") - s.getField("a")).alias("width"),
-                ((s.getField("a") + s.getField("b")) / F.lit(2.0)).alias("mid"),
-            ),
-        )
-        widest = F.coalesce(F.array_max(spans).getField("mid"), x)
-        return F.when(contains_point(edges, x, y), x).otherwise(widest)
-
-    return let(F.struct(cx.alias("x"), cy.alias("y")), place), cy
+    x = let("c_rp", center.sql(edges), representative_x.sql(edges, "c_rp"))
+    return F.expr(x), center(edges).getField("y")
 
 
-def near_span(edge: Column, obstacle: Column, radius: float) -> Column:
+@expression
+def near_span(edge: str, obstacle: str, radius: float) -> str:
     """The one interval of ``edge`` within ``radius`` of the segment ``obstacle`` (NULL if none).
 
     The points within ``radius`` of a segment form a convex set, so a line meets it in a single
     interval: the hull of its parts in the two end discs and in the slab between them.
     """
-    r = F.lit(float(radius))
-    ex, ey = _vector(edge)
-    fx, fy = _vector(obstacle)
-    empty = F.lit(None).cast("struct<lo:double,hi:double>")
+    r = num(radius)
+    vectors = (
+        f"named_struct('ex', {edge}.x2 - {edge}.x1, 'ey', {edge}.y2 - {edge}.y1, "
+        f"'fx', {obstacle}.x2 - {obstacle}.x1, 'fy', {obstacle}.y2 - {obstacle}.y1, "
+        f"'wx', {edge}.x1 - {obstacle}.x1, 'wy', {edge}.y1 - {obstacle}.y1)"
+    )
+    sizes = (
+        "named_struct('ee', nullif(v_ns.ex * v_ns.ex + v_ns.ey * v_ns.ey, 0D), "
+        "'ff', nullif(v_ns.fx * v_ns.fx + v_ns.fy * v_ns.fy, 0D))"
+    )
 
-    def interval(lo: Column, hi: Column) -> Column:
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
+    def interval(lo: str, hi: str) -> str:
+        return f"named_struct('lo', {lo}, 'hi', {hi})"
 
-    def disc(wx: Column, wy: Column, ex: Column, ey: Column, ee: Column) -> Column:
+    def disc(wx: str, wy: str) -> str:
         """Interval in the disc around the point at offset (wx, wy) from the edge start."""
-        parts = F.struct(
-            ((wx * ex + wy * ey) / ee).alias("mid"),
-            ((r * r - (wx * ey - wy * ex) * (wx * ey - wy * ex) / ee) / ee).alias("half2"),
+        cross = f"(({wx}) * v_ns.ey - ({wy}) * v_ns.ex)"
+        parts = (
+            f"named_struct('m', (({wx}) * v_ns.ex + ({wy}) * v_ns.ey) / l_ns.ee, "
+            f"'h', ({r} * {r} - {cross} * {cross} / l_ns.ee) / l_ns.ee)"
         )
+        found = interval("d_ns.m - sqrt(d_ns.h)", "d_ns.m + sqrt(d_ns.h)")
+        return let("d_ns", parts, f"CASE WHEN d_ns.h >= 0 THEN {found} END")
 
-        def solve(p: Column) -> Column:
-            half = F.sqrt(p.getField("half2"))
-            return F.when(
-                p.getField("half2") >= 0,
-                interval(p.getField("mid") - half, p.getField("mid") + half),
-            )
-
-        return let(parts, solve)
-
-    def strip(at0: Column, slope: Column, lo: Column, hi: Column) -> Column:
+    def strip(at0: str, slope: str, lo: str, hi: str) -> str:
         """Interval with lo <= at0 + slope * t <= hi; the whole edge when the slope is 0."""
-
-        def solve(s: Column) -> Column:
-            return F.when(
-                s == 0, F.when(at0.between(lo, hi), interval(F.lit(0.0), F.lit(1.0)))
-            ).otherwise(
-                let(
-                    interval((lo - at0) / s, (hi - at0) / s),
-                    lambda i: interval(
-                        F.least(i.getField("lo"), i.getField("hi")),
-                        F.greatest(i.getField("lo"), i.getField("hi")),
-                    ),
-                )
-            )
-
-        return let(slope, solve)
-
-    def common(a: Column, b: Column) -> Column:
-        both = interval(
-            F.greatest(a.getField("lo"), b.getField("lo")),
-            F.least(a.getField("hi"), b.getField("hi")),
+        ends = f"named_struct('a', ({lo} - k_ns.a) / k_ns.s, 'b', ({hi} - k_ns.a) / k_ns.s)"
+        sloped = let("j_ns", ends, interval("least(j_ns.a, j_ns.b)", "greatest(j_ns.a, j_ns.b)"))
+        flat = f"CASE WHEN k_ns.a BETWEEN {lo} AND {hi} THEN {interval('0D', '1D')} END"
+        return let(
+            "k_ns",
+            f"named_struct('a', {at0}, 's', {slope})",
+            f"CASE WHEN k_ns.s = 0 THEN {flat} ELSE {sloped} END",
         )
-        return F.when(a.isNotNull() & b.isNotNull(), both)
 
-    def solve(v: Column) -> Column:
-        ex, ey, fx, fy, wx, wy, ee, ff = (
-            v.getField(c) for c in ("ex", "ey", "fx", "fy", "wx", "wy", "ee", "ff")
-        )
-        slab = let(
-            F.struct(
-                strip((wx * fx + wy * fy) / ff, (ex * fx + ey * fy) / ff, F.lit(0.0), F.lit(1.0))
-                .alias("along"),
-                strip(
-                    (wx * fy - wy * fx) / F.sqrt(ff), (ex * fy - ey * fx) / F.sqrt(ff), -r, r
-                ).alias("across"),
-            ),
-            lambda s: common(s.getField("along"), s.getField("across")),
-        )
-        discs = [disc(-wx, -wy, ex, ey, ee), disc(fx - wx, fy - wy, ex, ey, ee)]
-        found = F.filter(
-            F.array(*discs, F.when(ff > 0, slab).otherwise(empty)),
-            lambda i: i.isNotNull() & (i.getField("lo") <= i.getField("hi")),
-        )
-
-        def hull(parts: Column) -> Column:
-            lo = F.array_min(F.transform(parts, lambda i: i.getField("lo")))
-            hi = F.array_max(F.transform(parts, lambda i: i.getField("hi")))
-            return F.struct(
-                F.greatest(lo, F.lit(0.0)).alias("t0"), F.least(hi, F.lit(1.0)).alias("t1")
-            )
-
-        return F.when(F.size(found) > 0, let(found, hull))
-
-    vectors = F.struct(
-        ex.alias("ex"),
-        ey.alias("ey"),
-        fx.alias("fx"),
-        fy.alias("fy"),
-        (edge.getField("x1") - obstacle.getField("x1")).alias("wx"),
-        (edge.getField("y1") - obstacle.getField("y1")).alias("wy"),
-        F.nullif(ex * ex + ey * ey, F.lit(0.0)).alias("ee"),
-        F.nullif(fx * fx + fy * fy, F.lit(0.0)).alias("ff"),
-    )
-    span = let(vectors, solve)
-    return let(span, lambda s: F.when(s.getField("t1") > s.getField("t0"), s))
+    along = strip(
+        "(v_ns.wx * v_ns.fx + v_ns.wy * v_ns.fy) / l_ns.ff",
+        "(v_ns.ex * v_ns.fx + v_ns.ey * v_ns.fy) / l_ns.ff", "0D", "1D",
+    )
+    across = strip(
+        "(v_ns.wx * v_ns.fy - v_ns.wy * v_ns.fx) / sqrt(l_ns.ff)",
+        "(v_ns.ex * v_ns.fy - v_ns.ey * v_ns.fx) / sqrt(l_ns.ff)", f"-{r}", r,
+    )
+    common = interval("greatest(b_ns.p.lo, b_ns.q.lo)", "least(b_ns.p.hi, b_ns.q.hi)")
+    slab = let(
+        "b_ns",
+        f"named_struct('p', {along}, 'q', {across})",
+        f"CASE WHEN b_ns.p IS NOT NULL AND b_ns.q IS NOT NULL THEN {common} END",
+    )
+    candidates = (
+        f"array({disc('-v_ns.wx', '-v_ns.wy')}, {disc('v_ns.fx - v_ns.wx', 'v_ns.fy - v_ns.wy')}, "
+        f"CASE WHEN l_ns.ff > 0 THEN {slab} END)"
+    )
+    kept = f"filter({candidates}, i_ns -> i_ns IS NOT NULL AND i_ns.lo <= i_ns.hi)"
+    hull = (
+        "named_struct('t0', greatest(array_min(transform(h_ns, x_ns -> x_ns.lo)), 0D), "
+        "'t1', least(array_max(transform(h_ns, x_ns -> x_ns.hi)), 1D))"
+    )
+    clipped = let("h_ns", kept, f"CASE WHEN size(h_ns) > 0 THEN {hull} END")
+    whole = let("v_ns", vectors, let("l_ns", sizes, clipped))
+    # Most pairs are out of reach already by their boxes.
+    apart = " OR ".join(
+        f"least({p}.{k}1, {p}.{k}2) - {r} > greatest({q}.{k}1, {q}.{k}2)"
+        for k in "yx"
+        for p, q in ((edge, obstacle), (obstacle, edge))
+    )
+    spanned = let("s_ns", whole, "CASE WHEN s_ns.t1 > s_ns.t0 THEN s_ns END")
+    return f"CASE WHEN NOT ({apart}) THEN {spanned} END"

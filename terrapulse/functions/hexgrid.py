@@ -1,4 +1,7 @@
-"""Planar hexagonal cells on projected metres (pointy-top, axial coordinates)."""
+"""Planar hexagonal cells on projected metres (pointy-top, axial coordinates).
+
+Positions are SQL text, cells are Columns of ``struct<q: bigint, r: bigint>``.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrapulse.functions.geometry import let
+from terrapulse.functions.geometry import expression, let, num
 
 # Mean cell areas in m2 of the grains used, and the edge each one implies.
 GRAIN_AREA_M2 = {7: 5.0e6, 8: 0.7e6, 9: 0.1e6}
@@ -21,32 +24,31 @@ def edge_of(grain: int) -> float:
     return float(round(math.sqrt(GRAIN_AREA_M2[grain] * 2.0 / (3.0 * SQRT3))))
 
 
-def cell_of(x: Column, y: Column, edge: float) -> Column:
-    """Struct<q: bigint, r: bigint> of the cell holding (x, y).
+@expression
+def cell_of(x: str, y: str, edge: float) -> str:
+    """Cell holding (x, y).
 
     Cube rounding: each of the three cube coordinates is rounded, and the one rounded furthest is
     rebuilt from the other two.
     """
-    q = (x * F.lit(SQRT3 / 3.0) - y / F.lit(3.0)) / F.lit(edge)
-    r = y * F.lit(2.0 / 3.0) / F.lit(edge)
-
-    def rounded(c: Column) -> Column:
-        q, r = c.getField("q"), c.getField("r")
-        s = -q - r
-        near = [F.floor(v + F.lit(0.5)).alias(n) for v, n in ((q, "q"), (r, "r"), (s, "s"))]
-
-        def repaired(n: Column) -> Column:
-            nq, nr, ns = (n.getField(c) for c in "qrs")
-            dq, dr, ds = F.abs(nq - q), F.abs(nr - r), F.abs(ns - s)
-            worst_q = (dq > dr) & (dq > ds)
-            return F.struct(
-                F.when(worst_q, -nr - ns).otherwise(nq).alias("q"),
-                F.when(~worst_q & (dr > ds), -nq - ns).otherwise(nr).alias("r"),
-            )
-
-        return let(F.struct(*near), repaired)
-
-    return let(F.struct(q.alias("q"), r.alias("r")), rounded)
+    axial = (
+        f"named_struct('q', (({x}) * {num(SQRT3 / 3.0)} - ({y}) / 3D) / {num(edge)}, "
+        f"'r', ({y}) * {num(2.0 / 3.0)} / {num(edge)})"
+    )
+    near = (
+        "named_struct('q', floor(c_hx.q + 0.5D), 'r', floor(c_hx.r + 0.5D), "
+        "'s', floor(-c_hx.q - c_hx.r + 0.5D))"
+    )
+    off = (
+        "named_struct('q', abs(n_hx.q - c_hx.q), 'r', abs(n_hx.r - c_hx.r), "
+        "'s', abs(n_hx.s - (-c_hx.q - c_hx.r)))"
+    )
+    worst_q = "d_hx.q > d_hx.r AND d_hx.q > d_hx.s"
+    repaired = (
+        f"named_struct('q', CASE WHEN {worst_q} THEN -n_hx.r - n_hx.s ELSE n_hx.q END, "
+        f"'r', CASE WHEN NOT ({worst_q}) AND d_hx.r > d_hx.s THEN -n_hx.q - n_hx.s ELSE n_hx.r END)"
+    )
+    return let("c_hx", axial, let("n_hx", near, let("d_hx", off, repaired)))
 
 
 def cell_distance(a: Column, b: Column) -> Column:
@@ -63,38 +65,31 @@ def cell_center(cell: Column, edge: float) -> tuple[Column, Column]:
     )
 
 
-def cell_boundary(cell: Column, edge: float) -> Column:
+@expression
+def cell_boundary(cell: str, edge: float) -> str:
     """Closed ring of the cell, counter-clockwise."""
-    cx, cy = cell_center(cell, edge)
-    corners = [math.radians(60.0 * i - 30.0) for i in range(6)]
+    corners = [math.radians(60.0 * (i % 6) - 30.0) for i in range(7)]
     points = [
-        F.struct(
-            (cx + F.lit(edge * math.cos(a))).alias("x"), (cy + F.lit(edge * math.sin(a))).alias("y")
-        )
-        for a in (*corners, corners[0])
+        f"named_struct('x', p_cb.x + {num(edge * math.cos(a))}, 'y', p_cb.y + {num(edge * math.sin(a))})"
+        for a in corners
     ]
-    return F.array(*points)
+    middle = (
+        f"named_struct('x', {num(edge * SQRT3)} * (double(k_cb.q) + double(k_cb.r) / 2D), "
+        f"'y', {num(edge * 1.5)} * double(k_cb.r))"
+    )
+    return let("k_cb", cell, let("p_cb", middle, f"array({', '.join(points)})"))
 
 
-def disk(cell: Column, k: int) -> Column:
+@expression
+def disk(cell: str, k: int) -> str:
     """Array of the cells within ``k`` steps of ``cell``."""
-    steps = F.array(
-        *[
-            F.struct(F.lit(dq).alias("q"), F.lit(dr).alias("r"))
-            for dq in range(-k, k + 1)
-            for dr in range(max(-k, -dq - k), min(k, -dq + k) + 1)
-        ]
-    )
-    return let(
-        cell,
-        lambda c: F.transform(
-            steps,
-            lambda o: F.struct(
-                (c.getField("q") + o.getField("q")).alias("q"),
-                (c.getField("r") + o.getField("r")).alias("r"),
-            ),
-        ),
+    steps = ", ".join(
+        f"named_struct('q', {dq}, 'r', {dr})"
+        for dq in range(-k, k + 1)
+        for dr in range(max(-k, -dq - k), min(k, -dq + k) + 1)
     )
+    moved = "named_struct('q', k_di.q + o_di.q, 'r', k_di.r + o_di.r)"
+    return let("k_di", cell, f"transform(array({steps}), o_di -> {moved})")
 
 
 def inner_radius(k: int, edge: float) -> float:

@@ -11,66 +11,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
+from terrapulse.operators.unnest import unnest
 
 
-def _line_y(step: float) -> Column:
-    return (F.col("row") + F.lit(0.5)) * F.lit(float(step))
+def _line_y(step: float) -> str:
+    return f"((row + 0.5D) * {G.num(step)})"
 
 
 def _rows(lo: Column, hi: Column, step: float) -> Column:
     cell = F.lit(float(step))
-    return F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    return F.sequence(F.floor(lo / cell), F.floor(hi / cell))
 
 
 def setback_spans(parcels: DataFrame, key: str, geom: str, setback: float, step: float) -> DataFrame:
     """``(key, row, a, b)``: stretches of each scan-line inside the parcel and off its outline."""
-    b = G.bounds(F.col(geom))
-    lined = parcels.select(
-        key,
-        geom,
-        (b["minx"] - 1.0).alias("_lo"),
-        (b["maxx"] + 1.0).alias("_hi"),
-        _rows(b["miny"], b["maxy"], step).alias("row"),
+    b = G.bounds(geom)
+    framed = parcels.select(
+        key, geom, (b["minx"] - 1.0).alias("_lo"), (b["maxx"] + 1.0).alias("_hi")
     )
+    lined = unnest(framed, _rows(b["miny"], b["maxy"], step), "row")
     y = _line_y(step)
-    line = G.segment(F.col("_lo"), y, F.col("_hi"), y)
-    width = F.col("_hi") - F.col("_lo")
-
-    def to_x(t: Column) -> Column:
-        return F.col("_lo") + t * width
-
-    near = F.transform(
-        F.filter(
-            F.transform(F.col(geom), lambda e: G.near_span(line, e, setback)),
-            lambda s: s.isNotNull(),
-        ),
-        lambda s: F.struct(to_x(s.getField("t0")).alias("a"), to_x(s.getField("t1")).alias("b")),
+    ruled = lined.withColumn("_line", G.segment("_lo", y, "_hi", y))
+    spans = f"transform({geom}, e_sb -> {G.near_span.sql('_line', 'e_sb', setback)})"
+    near = (
+        f"transform(filter({spans}, s_sb -> s_sb IS NOT NULL), s_sb -> named_struct("
+        "'a', _lo + s_sb.t0 * (_hi - _lo), 'b', _lo + s_sb.t1 * (_hi - _lo)))"
     )
-    outside = G.span_pairs(F.concat(F.array("_lo"), G.scan_hits(F.col(geom), y), F.array("_hi")))
-    blocked = F.array_sort(F.concat(near, outside))
-    none = F.expr("cast(array() as array<struct<a:double,b:double>>)")
-
-    def step_on(acc: Column, s: Column) -> Column:
-        gap = F.array(F.struct(acc.getField("reach").alias("a"), s.getField("a").alias("b")))
-        free = F.when(
-            s.getField("a") > acc.getField("reach"), F.concat(acc.getField("free"), gap)
-        ).otherwise(acc.getField("free"))
-        return F.struct(
-            F.greatest(acc.getField("reach"), s.getField("b")).alias("reach"), free.alias("free")
-        )
-
-    start = F.struct(F.col("_lo").alias("reach"), none.alias("free"))
-    free = F.aggregate(blocked, start, step_on).getField("free")
-    return lined.select(key, "row", F.explode(free).alias("s")).select(key, "row", "s.a", "s.b")
+    outside = G.span_pairs.sql(f"concat(array(_lo), {G.scan_hits.sql(geom, y)}, array(_hi))")
+    # Running end of the blocked stretches; a gap before the next one is free.
+    step_on = (
+        "named_struct('reach', greatest(acc_sb.reach, s_sb.b), 'free', "
+        "CASE WHEN s_sb.a > acc_sb.reach THEN concat(acc_sb.free, "
+        "array(named_struct('a', acc_sb.reach, 'b', s_sb.a))) ELSE acc_sb.free END)"
+    )
+    start = (
+        "named_struct('reach', _lo, 'free', cast(array() AS array<struct<a:double,b:double>>))"
+    )
+    free = F.expr(
+        f"aggregate(array_sort(concat({near}, {outside})), {start}, "
+        f"(acc_sb, s_sb) -> {step_on}, acc_sb -> acc_sb.free)"
+    )
+    return unnest(ruled, free, "s").select(key, "row", "s.a", "s.b")
 
 
 def footprint_spans(footprints: DataFrame, key: str, geom: str, step: float) -> DataFrame:
     """``(key, row, a, b)``: disjoint built stretches of each scan-line of each parcel."""
-    b = G.bounds(F.col(geom))
-    lined = footprints.select(key, geom, _rows(b["miny"], b["maxy"], step).alias("row"))
-    spans = lined.select(
-        key, "row", F.explode(G.span_pairs(G.scan_hits(F.col(geom), _line_y(step)))).alias("s")
-    ).select(key, "row", "s.a", "s.b")
+    b = G.bounds(geom)
+    lined = unnest(footprints.select(key, geom), _rows(b["miny"], b["maxy"], step), "row")
+    hits = G.scan_hits.sql(geom, _line_y(step))
+    spans = unnest(lined, G.span_pairs(hits), "s").select(key, "row", "s.a", "s.b")
     order = Window.partitionBy(key, "row").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("_reach", reach)
@@ -84,7 +73,7 @@ def _measure(spans: DataFrame, key: str, step: float, sign: float) -> DataFrame:
     return spans.groupBy(key).agg(
         F.sum(size).alias("m"),
         F.sum(size * (F.col("a") + F.col("b")) / F.lit(2.0)).alias("mx"),
-        F.sum(size * _line_y(step)).alias("my"),
+        F.sum(size * F.expr(_line_y(step))).alias("my"),
     )
 
 

@@ -12,6 +12,7 @@ from terrapulse.functions import hexgrid as H
 from terrapulse.functions import scoring as S
 from terrapulse.operators import raster as R
 from terrapulse.operators.spatial import nearest, point_box
+from terrapulse.operators.unnest import unnest
 
 
 def hex_grid(aoi: DataFrame, key: str, geom: str, edge: float) -> DataFrame:
@@ -19,32 +20,31 @@ def hex_grid(aoi: DataFrame, key: str, geom: str, edge: float) -> DataFrame:
 
     An area too small to hold a centre gets the one cell of its centroid.
     """
-    b = G.bounds(F.col(geom))
+    b = G.bounds(geom)
     height = F.lit(edge * 1.5)
     width = F.lit(edge * H.SQRT3)
-    rows = aoi.select(key, geom, b["minx"].alias("minx"), b["maxx"].alias("maxx")).withColumn(
-        "r", F.explode(F.sequence(F.floor(b["miny"] / height), F.ceil(b["maxy"] / height)))
+    rows = unnest(
+        aoi.select(key, geom, b["minx"].alias("minx"), b["maxx"].alias("maxx")),
+        F.sequence(F.floor(b["miny"] / height), F.ceil(b["maxy"] / height)),
+        "r",
     )
     half = F.col("r") / F.lit(2.0)
-    cells = rows.withColumn(
+    cells = unnest(
+        rows,
+        F.sequence(F.floor(F.col("minx") / width - half), F.ceil(F.col("maxx") / width - half)),
         "q",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("minx") / width - half), F.ceil(F.col("maxx") / width - half)
-            )
-        ),
     )
     cell = F.struct(F.col("q").cast("bigint").alias("q"), F.col("r").cast("bigint").alias("r"))
     cx, cy = H.cell_center(cell, edge)
     inside = (
         cells.select(key, geom, cell.alias("cell"), cx.alias("cx"), cy.alias("cy"))
-        .where(G.contains_point(F.col(geom), F.col("cx"), F.col("cy")))
+        .where(G.contains_point(geom, "cx", "cy"))
         .drop(geom)
     )
     tiny = aoi.join(inside.select(key).distinct(), key, "left_anti")
-    only = H.cell_of(*G.centroid(F.col(geom)), edge)
+    only = H.cell_of("_c.x", "_c.y", edge)
     ox, oy = H.cell_center(F.col("cell"), edge)
-    fallback = tiny.select(key, only.alias("cell")).select(
+    fallback = tiny.withColumn("_c", G.center(geom)).select(key, only.alias("cell")).select(
         key, "cell", ox.alias("cx"), oy.alias("cy")
     )
     return inside.unionByName(fallback)
@@ -57,8 +57,7 @@ def protected_share(mesh: DataFrame, areas: DataFrame, geom: str, edge: float, s
     and points are binned to hexagons by a key expression; an absent layer gives 0.
     """
     points = R.presence_mask(areas, geom, step)
-    x = (F.col("col") + F.lit(0.5)) * F.lit(float(step))
-    y = (F.col("row") + F.lit(0.5)) * F.lit(float(step))
+    x, y = (f"({axis} + 0.5D) * {G.num(step)}" for axis in ("col", "row"))
     per_cell = points.groupBy(H.cell_of(x, y, edge).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     hexagon_m2 = 1.5 * H.SQRT3 * edge * edge
     share = S.clip01(F.col("n") * F.lit(step * step / hexagon_m2))
@@ -75,13 +74,13 @@ def proximity(
     """Adds ``name = clip(1 - d/max_m, 0, 1)`` from the cell centre to the nearest feature."""
     keyed = mesh.select(F.col("cell"), "cx", "cy").distinct()
     targets = features.select(F.col(fid).alias("_fid"), F.col(geom).alias("_fgeom"))
-    b = G.bounds(F.col("_fgeom"))
+    b = G.bounds("_fgeom")
     found = nearest(
         keyed,
         targets,
         point_box("cx", "cy"),
         (b["minx"], b["miny"], b["maxx"], b["maxy"]),
-        G.point_distance(F.col("_fgeom"), F.col("cx"), F.col("cy")),
+        G.point_distance("_fgeom", "cx", "cy"),
         "cell",
         "_fid",
         first_radius=max_m / 16.0,

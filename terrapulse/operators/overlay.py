@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from terrapulse.functions import geometry as G
 from terrapulse.operators import raster as R
 from terrapulse.operators.spatial import cell_join, geom_box
+from terrapulse.operators.unnest import unnest
 
 
 def edge_table(features: DataFrame, fid: str, geom: str = "geom") -> DataFrame:
     """One row per edge: ``(fid, eid, e)``."""
-    return features.select(F.col(fid).alias("fid"), F.posexplode(geom).alias("eid", "e"))
+    pieces = features.select(F.col(fid).alias("fid"), F.posexplode_outer(geom).alias("eid", "e"))
+    return pieces.where(F.col("e").isNotNull())
 
 
 def split_long_edges(edges: DataFrame, step: float) -> DataFrame:
@@ -20,19 +22,16 @@ def split_long_edges(edges: DataFrame, step: float) -> DataFrame:
     e = F.col("e")
     dx, dy = e.getField("x2") - e.getField("x1"), e.getField("y2") - e.getField("y1")
     n = F.greatest(F.ceil(F.hypot(dx, dy) / F.lit(float(step))), F.lit(1).cast("bigint"))
-    parts = edges.withColumn("_n", n).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
-    )
+    steps = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)
+    parts = unnest(edges.withColumn("_n", n), steps, "_i")
 
-    def at(axis: str, i: Column) -> Column:
-        a, b = e.getField(f"{axis}1"), e.getField(f"{axis}2")
-        return F.when(i == F.col("_n"), b).otherwise(a + (b - a) * i / F.col("_n"))
+    def at(axis: str, i: str) -> str:
+        a, b = f"e.{axis}1", f"e.{axis}2"
+        return f"CASE WHEN {i} = _n THEN {b} ELSE {a} + ({b} - {a}) * ({i}) / _n END"
 
-    i = F.col("_i")
-    piece = G.segment(at("x", i), at("y", i), at("x", i + 1), at("y", i + 1))
-    return parts.select(
-        "fid", (F.col("eid").cast("bigint") * 1_000_000 + i).alias("eid"), piece.alias("e")
-    )
+    piece = G.segment(at("x", "_i"), at("y", "_i"), at("x", "(_i + 1)"), at("y", "(_i + 1)"))
+    number = F.col("eid").cast("bigint") * 1_000_000 + F.col("_i")
+    return parts.select("fid", number.alias("eid"), piece.alias("e"))
 
 
 def _edge_box() -> tuple[Column, Column, Column, Column]:
@@ -78,9 +77,9 @@ def dissolve_outline(
         F.col("fid") != F.col("oid")
     )
     covering = F.when(
-        F.col("oid") < F.col("fid"), G.inside_spans(F.col("e"), F.col("ogeom"), "any")
-    ).otherwise(G.inside_spans(F.col("e"), F.col("ogeom"), "opposite"))
-    covered = pairs.select("fid", "eid", "e", F.explode(covering).alias("s")).select(
+        F.col("oid") < F.col("fid"), G.inside_spans("e", "ogeom", "any")
+    ).otherwise(G.inside_spans("e", "ogeom", "opposite"))
+    covered = unnest(pairs, covering, "s").select(
         "fid", "eid", "e", F.col("s.t0").alias("t0"), F.col("s.t1").alias("t1")
     )
     whole = edges.select("fid", "eid", "e", F.lit(1.0).alias("t0"), F.lit(1.0).alias("t1"))
@@ -89,8 +88,10 @@ def dissolve_outline(
     gaps = covered.unionByName(whole).withColumn(
         "reach", F.coalesce(F.max("t1").over(before), F.lit(0.0))
     )
-    free = gaps.where(F.col("t0") > F.col("reach") + F.lit(G.EPS))
-    return free.select("fid", "eid", G.cut(F.col("e"), F.struct(F.col("reach").alias("t0"), F.col("t0").alias("t1"))).alias("e"))
+    free = gaps.where(F.col("t0") > F.col("reach") + F.lit(G.EPS)).withColumn(
+        "gap", F.struct(F.col("reach").alias("t0"), F.col("t0").alias("t1"))
+    )
+    return free.select("fid", "eid", G.cut("e", "gap").alias("e"))
 
 
 def outline_area(pieces: DataFrame) -> DataFrame:
@@ -111,16 +112,16 @@ def clip_edges(edges: DataFrame, polygons: DataFrame, geom: str, cell: float) ->
     pairs = cell_join(
         edges, polygons.select(F.col(geom).alias("cgeom")), _edge_box(), geom_box("cgeom"), cell
     )
-    spans = pairs.select(
-        "fid", "eid", "e", F.explode(G.inside_spans(F.col("e"), F.col("cgeom"), "any")).alias("s")
-    ).select("fid", "eid", "e", F.col("s.t0").alias("t0"), F.col("s.t1").alias("t1"))
-    kept = merged_spans(spans)
+    spans = unnest(pairs, G.inside_spans("e", "cgeom", "any"), "s").select(
+        "fid", "eid", "e", F.col("s.t0").alias("t0"), F.col("s.t1").alias("t1")
+    )
+    kept = merged_spans(spans).withColumn("span", F.struct("t0", "t1"))
     return kept.select(
         "fid",
         (F.col("eid").cast("bigint") * 1_000 + F.row_number().over(
             Window.partitionBy("fid", "eid", "e").orderBy("t0")
         )).alias("eid"),
-        G.cut(F.col("e"), F.struct("t0", "t1")).alias("e"),
+        G.cut("e", "span").alias("e"),
     )
 
 
@@ -135,12 +136,12 @@ def interface_line(
     pieces = split_long_edges(forest_edges, 2.0 * contact_m)
     walls = built.select(F.col(geom).alias("bgeom")).distinct()
     pairs = cell_join(pieces, walls, _edge_box(), geom_box("bgeom"), 2.0 * contact_m, contact_m)
-    near = F.filter(
-        F.transform("bgeom", lambda b: G.near_span(F.col("e"), b, contact_m)),
-        lambda s: s.isNotNull(),
+    near = F.expr(
+        f"filter(transform(bgeom, b_il -> {G.near_span.sql('e', 'b_il', contact_m)}), "
+        "s_il -> s_il IS NOT NULL)"
     )
-    inside = G.inside_spans(F.col("e"), F.col("bgeom"), "any")
-    spans = pairs.select("fid", "eid", "e", F.explode(F.concat(near, inside)).alias("s")).select(
+    inside = G.inside_spans("e", "bgeom", "any")
+    spans = unnest(pairs, F.concat(near, inside), "s").select(
         "fid", "eid", "e", F.col("s.t0").alias("t0"), F.col("s.t1").alias("t1")
     )
     return merged_spans(spans).withColumn("length_m", _span_length())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
 from terrapulse.functions.scoring import clip01
+from terrapulse.operators.unnest import unnest
 
 
 def grid(
@@ -36,7 +37,7 @@ def grid(
 
 
 def total_bounds(df: DataFrame, geom: str = "geom") -> DataFrame:
-    b = G.bounds(F.col(geom))
+    b = G.bounds(geom)
     return df.agg(
         F.min(b["minx"]).alias("minx"),
         F.min(b["miny"]).alias("miny"),
@@ -45,39 +46,44 @@ def total_bounds(df: DataFrame, geom: str = "geom") -> DataFrame:
     )
 
 
+def _center(index: str, step: float) -> str:
+    """SQL text of the centre coordinate of a cell index."""
+    return f"(({index} + 0.5D) * {G.num(step)})"
+
+
 def _first_center(at: Column, step: float) -> Column:
     """Lowest index whose cell centre is at or after ``at``."""
     return F.ceil(at / F.lit(float(step)) - F.lit(0.5))
 
 
 def _scan_rows(df: DataFrame, geom: str, step: float) -> DataFrame:
-    b = G.bounds(F.col(geom))
+    b = G.bounds(geom)
     rows = F.sequence(_first_center(b["miny"], step), _first_center(b["maxy"], step))
-    return df.withColumn("row", F.explode(rows))
+    return unnest(df, rows, "row")
 
 
 def burn_centers(df: DataFrame, geom: str, step: float) -> DataFrame:
     """``df`` (without ``geom``) once per cell whose centre lies in the polygon."""
-    y = (F.col("row") + F.lit(0.5)) * F.lit(float(step))
     lined = _scan_rows(df, geom, step)
-    spans = lined.withColumn("_s", F.explode(G.span_pairs(G.scan_hits(F.col(geom), y)))).drop(geom)
+    hits = G.scan_hits.sql(geom, _center("row", step))
+    spans = unnest(lined, G.span_pairs(hits), "_s").drop(geom)
     bounded = spans.withColumns(
         {
             "_lo": _first_center(F.col("_s.a"), step),
             "_hi": _first_center(F.col("_s.b"), step) - 1,
         }
     ).where(F.col("_lo") <= F.col("_hi"))
-    return bounded.withColumn("col", F.explode(F.sequence("_lo", "_hi"))).drop("_s", "_lo", "_hi")
+    return unnest(bounded, F.sequence("_lo", "_hi"), "col").drop("_s", "_lo", "_hi")
 
 
 def burn_edges(df: DataFrame, geom: str, step: float) -> DataFrame:
     """``df`` (without ``geom``) once per cell an edge of the feature passes through."""
     cell = F.lit(float(step))
-    edges = df.withColumn("_e", F.explode(geom)).drop(geom)
+    edges = unnest(df, F.col(geom), "_e").drop(geom)
     e = F.col("_e")
     low = F.least(e.getField("y1"), e.getField("y2"))
     high = F.greatest(e.getField("y1"), e.getField("y2"))
-    rows = edges.withColumn("row", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    rows = unnest(edges, F.sequence(F.floor(low / cell), F.floor(high / cell)), "row")
     dy = F.nullif(e.getField("y2") - e.getField("y1"), F.lit(0.0))
     bottom = F.greatest(low, F.col("row") * cell)
     top = F.least(high, (F.col("row") + 1) * cell)
@@ -91,7 +97,7 @@ def burn_edges(df: DataFrame, geom: str, step: float) -> DataFrame:
         F.coalesce(x_at(top), e.getField("x2")),
     )
     cols = F.sequence(F.floor(F.least(*ends) / cell), F.floor(F.greatest(*ends) / cell))
-    return rows.withColumn("col", F.explode(cols)).drop("_e")
+    return unnest(rows, cols, "col").drop("_e")
 
 
 def burn_touched(df: DataFrame, geom: str, step: float) -> DataFrame:
@@ -113,18 +119,16 @@ def presence_mask(features: DataFrame, geom: str, step: float, lines: bool = Fal
 
 def cells_within(df: DataFrame, geom: str, radius: float, step: float) -> DataFrame:
     """``df`` once per cell whose centre is within ``radius`` of the feature."""
-    b = G.bounds(F.col(geom))
-    r, half = F.lit(float(radius)), F.lit(0.5)
+    b = G.bounds(geom)
+    r = F.lit(float(radius))
 
     def span(lo: Column, hi: Column) -> Column:
-        return F.explode(F.sequence(_first_center(lo - r, step), _first_center(hi + r, step)))
+        return F.sequence(_first_center(lo - r, step), _first_center(hi + r, step))
 
-    near = df.withColumn("row", span(b["miny"], b["maxy"])).withColumn(
-        "col", span(b["minx"], b["maxx"])
-    )
-    x = (F.col("col") + half) * F.lit(float(step))
-    y = (F.col("row") + half) * F.lit(float(step))
-    return near.where(G.point_distance(F.col(geom), x, y) <= r).drop(geom)
+    lined = unnest(df, span(b["miny"], b["maxy"]), "row")
+    near = unnest(lined, span(b["minx"], b["maxx"]), "col")
+    d = G.point_distance(geom, _center("col", step), _center("row", step))
+    return near.where(d <= r).drop(geom)
 
 
 def slope_percent(elevation: DataFrame, step: float) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
 from terrapulse.functions import hexgrid as H
+from terrapulse.operators.unnest import unnest
 from terrapulse.session import checkpointed
 
 Box = tuple[Column, Column, Column, Column]
@@ -24,7 +25,7 @@ def point_box(x: str, y: str) -> Box:
 
 
 def geom_box(geom: str) -> Box:
-    b = G.bounds(F.col(geom))
+    b = G.bounds(geom)
     return b["minx"], b["miny"], b["maxx"], b["maxy"]
 
 
@@ -39,10 +40,10 @@ def _keyed(df: DataFrame, box: Box, pad: float, cell: float, side: str) -> DataF
 
     def cells(lo: str, hi: str) -> Column:
         at = lambda n: F.floor(F.col(n) / F.lit(float(cell)))
-        return F.explode(F.sequence(at(lo), at(hi)))
+        return F.sequence(at(lo), at(hi))
 
-    across = boxed.withColumn("_cx", cells(names[0], names[2]))
-    return across.withColumn("_cy", cells(names[1], names[3]))
+    across = unnest(boxed, cells(names[0], names[2]), "_cx")
+    return unnest(across, cells(names[1], names[3]), "_cy")
 
 
 def cell_join(
@@ -85,7 +86,10 @@ def within_pairs(
     """Pairs at most ``radius`` apart, with their distance ``d``."""
     size = cell or max(float(radius), 1.0)
     pairs = cell_join(left, right, left_box, right_box, size, radius)
-    return pairs.withColumn("d", distance).where(F.col("d") <= F.lit(float(radius)))
+    # A filter on a computed column is pushed below it and evaluates the distance a second time;
+    # unnesting the array of at most one accepted distance evaluates it once.
+    accepted = F.filter(F.array(distance), lambda d: d <= F.lit(float(radius)))
+    return unnest(pairs, accepted, "d")
 
 
 def keep_matched(left: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -159,15 +163,15 @@ def nearest_in_disk(
     join settles every feature with a close point: any point that near is certainly in the disk.
     Only the features left over meet their whole disk.
     """
-    d = G.point_distance(F.col(geom), F.col("px"), F.col("py"))
+    d = G.point_distance(geom, "px", "py")
     box = geom_box(geom)
     reach = F.hypot(box[2] - box[0], box[3] - box[1])
-    slim = left.select(key, geom, "cell")
+    slim = left.select(key, geom, "cell", reach.alias("_reach"))
     points = right.select(other, "px", "py", "pcell", *attributes)
     radius = float(first_radius or edge / 4.0)
     close = within_pairs(slim, points, box, point_box("px", "py"), d, radius)
-    certain = close.where(F.col("d") + reach <= F.lit(H.inner_radius(k, edge)))
-    settled = best_pair(certain, key, other, attributes)
+    certain = close.where(F.col("d") + F.col("_reach") <= F.lit(H.inner_radius(k, edge)))
+    settled = checkpointed(best_pair(certain, key, other, attributes))
     rest = slim.join(settled.select(key), key, "left_anti")
     wide = hex_disk_pairs(rest, points, "cell", "pcell", k).withColumn("d", d)
     return settled.unionByName(best_pair(wide, key, other, attributes))
@@ -229,7 +233,7 @@ def containing_pairs(
 ) -> DataFrame:
     """(point, polygon) pairs with the point inside the polygon."""
     pairs = cell_join(points, polygons, point_box(x, y), geom_box(geom), cell)
-    return pairs.where(G.contains_point(F.col(geom), F.col(x), F.col(y)))
+    return pairs.where(G.contains_point(geom, x, y))
 
 
 def intersecting_pairs(
@@ -237,12 +241,12 @@ def intersecting_pairs(
 ) -> DataFrame:
     """Pairs of features that share at least one point."""
     pairs = cell_join(left, right, geom_box(left_geom), geom_box(right_geom), cell)
-    return pairs.where(G.intersects(F.col(left_geom), F.col(right_geom)))
+    return pairs.where(G.intersects(left_geom, right_geom))
 
 
 def in_box(geom: str, minx: float, miny: float, maxx: float, maxy: float) -> Column:
     """Predicate: the feature meets a literal box; the box test comes first and prunes."""
     b = geom_box(geom)
     boxes = (b[0] <= maxx) & (b[2] >= minx) & (b[1] <= maxy) & (b[3] >= miny)
-    box = G.box_edges(*[F.lit(float(v)) for v in (minx, miny, maxx, maxy)])
-    return boxes & G.intersects(F.col(geom), box)
+    box = G.box_edges.sql(*[G.num(v) for v in (minx, miny, maxx, maxy)])
+    return boxes & G.intersects(geom, box)

@@ -15,22 +15,22 @@ from terrapulse.sources.layers import stack_layers
 Box = tuple[float, float, float, float]
 
 
-def area_id(kind: Column, name: Column, geom: Column) -> Column:
+def area_id(kind: str, name: str, geom: str) -> Column:
     """Stable identifier: code for a commune or department, corners for a box, stem for a file,
     outline digest otherwise."""
-    b = G.bounds(geom)
+    kind, name, b = F.col(kind), F.col(name), G.bounds(geom)
     corners = F.format_string("%.4f_%.4f_%.4f_%.4f", b["minx"], b["miny"], b["maxx"], b["maxy"])
-    digest = F.substring(F.md5(F.to_json(F.struct(geom.alias("g")))), 1, 10)
+    digest = F.substring(F.md5(F.to_json(F.struct(F.col(geom).alias("g")))), 1, 10)
     part = F.when(kind == "bbox", corners).when(kind == "gdf", digest).otherwise(name)
     return F.concat(kind, F.lit("-"), part)
 
 
 def register(areas: DataFrame) -> DataFrame:
     """``(aoi_id, label, kind, geom, bbox_wgs84)`` rows; the box is rounded to 6 decimals."""
-    b = G.bounds(F.col("geom"))
+    b = G.bounds("geom")
     box = F.array(*[F.round(b[c], 6) for c in ("minx", "miny", "maxx", "maxy")])
     return areas.select(
-        area_id(F.col("kind"), F.col("name"), F.col("geom")).alias("aoi_id"),
+        area_id("kind", "name", "geom").alias("aoi_id"),
         F.col("name").alias("label"),
         "kind",
         "geom",

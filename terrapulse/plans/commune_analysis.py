@@ -156,7 +156,7 @@ def run(parcels, buildings, fibre, power_lines, woods, aoi=None, step: float = 1
         )
         staged = staged.join(met.select("id_parcelle").distinct(), "id_parcelle", "left_semi")
     rows = base_table(
-        checkpointed(staged), SI.stage_polygons(buildings), fibre, power_lines,
+        staged, SI.stage_polygons(buildings), fibre, power_lines,
         SI.stage_polygons(woods), step,
     )
     return conclude(evaluate(rows))

@@ -44,7 +44,7 @@ def run(
     cells = M.proximity(cells, targets, "geom", "fid", corridor_max_m, "connectivite")
     axes = ["enjeu", "connectivite"]
     if trend_pixels is not None:
-        cell = H.cell_of(F.col("x"), F.col("y"), edge)
+        cell = H.cell_of("x", "y", edge)
         worn = M.browning_by_cell(trend_pixels, cell, browning_scale)
         cells = cells.join(worn, "cell", "left")
         axes.append("degradation")

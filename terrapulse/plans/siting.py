@@ -21,7 +21,7 @@ from terrapulse.operators.spatial import (
     point_box,
     within_pairs,
 )
-from terrapulse.session import checkpointed
+from terrapulse.session import checkpointed, spread
 
 # Search rings per layer, in hexagons of the join grain.
 DISK_K = {"fibre": 6, "energie": 12}
@@ -61,17 +61,21 @@ class Funnel:
 
 
 def stage_polygons(df: DataFrame) -> DataFrame:
-    """Valid polygons with their edges, area and hexagons at both grains."""
-    valid = df.where(G.is_valid(F.col("ring"))).withColumn("geom", G.ring_edges(F.col("ring")))
-    measured = valid.withColumn("surface_m2", G.area(F.col("geom"))).drop("ring")
-    cx, cy = G.centroid(F.col("geom"))
-    return measured.withColumns(
-        {"cell": H.cell_of(cx, cy, JOIN_EDGE), "h3_res8": H.cell_of(cx, cy, MAP_EDGE)}
+    """Valid polygons with their edges, area and hexagons at both grains, stored.
+
+    Everything downstream reads the staged table, so outlines are parsed once.
+    """
+    valid = spread(df).where(G.is_valid("ring")).withColumn("geom", G.ring_edges("ring"))
+    measured = valid.drop("ring").withColumns(
+        {"surface_m2": G.area("geom"), "_c": G.center("geom")}
     )
+    cells = {"cell": JOIN_EDGE, "h3_res8": MAP_EDGE}
+    keyed = measured.withColumns({n: H.cell_of("_c.x", "_c.y", e) for n, e in cells.items()})
+    return checkpointed(keyed.drop("_c"))
 
 
 def stage_points(df: DataFrame) -> DataFrame:
-    return df.withColumn("pcell", H.cell_of(F.col("px"), F.col("py"), JOIN_EDGE))
+    return df.withColumn("pcell", H.cell_of("px", "py", JOIN_EDGE))
 
 
 def building_pairs(parcels: DataFrame, buildings: DataFrame, attributes: list[str]) -> DataFrame:
@@ -79,13 +83,13 @@ def building_pairs(parcels: DataFrame, buildings: DataFrame, attributes: list[st
     left = parcels.select("id_parcelle", "geom")
     right = buildings.select("id_batiment", F.col("geom").alias("bgeom"), *attributes)
     met = intersecting_pairs(left, right, "geom", "bgeom", PAIR_CELL_M)
-    common = met.withColumn("footprint", G.overlap(F.col("geom"), F.col("bgeom")))
+    common = met.withColumn("footprint", G.overlap("geom", "bgeom"))
     return common.select(
         "id_parcelle",
         "id_batiment",
         *attributes,
         "footprint",
-        G.footprint_area(F.col("footprint")).alias("footprint_m2"),
+        G.footprint_area("footprint").alias("footprint_m2"),
     )
 
 
@@ -128,13 +132,13 @@ def install_measures(parcels: DataFrame, pairs: DataFrame, step: float) -> DataF
         zone.join(kept, "id_parcelle")
         .groupBy("id_parcelle")
         .agg(
-            F.min(G.point_distance(F.col("footprint"), F.col("install_x"), F.col("install_y"))).alias(
+            F.min(G.point_distance("footprint", "install_x", "install_y")).alias(
                 "_built"
             ),
             F.count(F.lit(1)).alias("_n"),
         )
     )
-    to_parcel = G.point_distance(F.col("geom"), F.col("install_x"), F.col("install_y"))
+    to_parcel = G.point_distance("geom", "install_x", "install_y")
     return (
         slim.join(zone, "id_parcelle")
         .join(to_built, "id_parcelle", "left")
@@ -152,7 +156,7 @@ def line_distance(parcels: DataFrame, lines: DataFrame, line_id: str, first_radi
     """``(id_parcelle, d)``: distance to the nearest line, however far."""
     left = parcels.select("id_parcelle", "geom")
     right = lines.select(F.col(line_id).alias("_line"), F.col("geom").alias("_lgeom"))
-    d = G.distance(F.col("geom"), F.col("_lgeom"), True, False)
+    d = G.distance("geom", "_lgeom", True, False)
     return nearest(
         left, right, geom_box("geom"), geom_box("_lgeom"), d, "id_parcelle", "_line", first_radius
     ).select("id_parcelle", "d")
@@ -164,7 +168,7 @@ def regulatory_violations(
     """Distinct parcels within the ring of a monument or touching a flood zone or protected wood."""
     left = parcels.select("id_parcelle", "geom")
     monuments = abf.select("id_monument", "px", "py")
-    d = G.point_distance(F.col("geom"), F.col("px"), F.col("py"))
+    d = G.point_distance("geom", "px", "py")
     ringed = within_pairs(
         left, monuments, geom_box("geom"), point_box("px", "py"), d, S.MONUMENT_RING_M
     ).select("id_parcelle")
@@ -179,7 +183,7 @@ def near_flag(parcels: DataFrame, points: DataFrame, radius: float, name: str) -
     """Adds a boolean: some point lies within ``radius`` of the parcel."""
     left = parcels.select("id_parcelle", "geom")
     spots = points.select("px", "py").distinct()
-    d = G.point_distance(F.col("geom"), F.col("px"), F.col("py"))
+    d = G.point_distance("geom", "px", "py")
     pairs = within_pairs(left, spots, geom_box("geom"), point_box("px", "py"), d, radius)
     return flag_matched(parcels, pairs, "id_parcelle", name)
 
@@ -257,7 +261,7 @@ def run(layers: Layers, step: float = 1.0) -> Funnel:
     solid = checkpointed(pairs.join(f1.select("id_parcelle"), "id_parcelle", "left_semi"))
     measured = f1.join(install_measures(f1, solid, step), "id_parcelle")
     gated = checkpointed(measured.where(S.nuisance_gate(F.col("install_m2"), F.col("dist_bati_m"))))
-    roads = line_distance(gated, layers.voirie, "id_troncon", S.ROAD_ACCESS_M)
+    roads = line_distance(gated, layers.voirie, "id_troncon", S.ROAD_ACCESS_M / 3.0)
     f2 = checkpointed(
         gated.join(roads.withColumnRenamed("d", "dist_voirie_m"), "id_parcelle", "left").withColumn(
             "score_nuisances",

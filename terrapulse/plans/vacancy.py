@@ -41,7 +41,7 @@ class VacancyProducts:
 
 def clip_by_point(buildings: DataFrame, mask: DataFrame, cell: float = 1_000.0) -> DataFrame:
     """Buildings whose representative point lies inside the mask."""
-    x, y = G.representative_point(F.col("geom"))
+    x, y = G.representative_point("geom")
     spots = buildings.select("id_bati", x.alias("_rx"), y.alias("_ry"))
     zones = mask.select(F.col("geom").alias("_mgeom"))
     return keep_matched(buildings, containing_pairs(spots, zones, "_rx", "_ry", "_mgeom", cell), "id_bati")
@@ -50,7 +50,7 @@ def clip_by_point(buildings: DataFrame, mask: DataFrame, cell: float = 1_000.0)
 def points_near(points: DataFrame, mask: DataFrame, buffer_m: float, key: str = "siret") -> DataFrame:
     """Points inside the mask enlarged by the buffer."""
     zones = mask.select(F.col("geom").alias("_mgeom"))
-    d = G.point_distance(F.col("_mgeom"), F.col("px"), F.col("py"))
+    d = G.point_distance("_mgeom", "px", "py")
     cell = max(1_000.0, buffer_m)
     near = within_pairs(points, zones, point_box("px", "py"), geom_box("_mgeom"), d, buffer_m, cell)
     return keep_matched(points, near, key)
@@ -58,7 +58,7 @@ def points_near(points: DataFrame, mask: DataFrame, buffer_m: float, key: str =
 
 def attach(buildings: DataFrame, points: DataFrame, buffer_m: float) -> DataFrame:
     """Distinct ``(id_bati, siret)`` of the establishments in the building or its buffer."""
-    d = G.point_distance(F.col("geom"), F.col("px"), F.col("py"))
+    d = G.point_distance("geom", "px", "py")
     pairs = within_pairs(
         buildings.select("id_bati", "geom"), points.select("siret", "px", "py"),
         geom_box("geom"), point_box("px", "py"), d, buffer_m,
@@ -93,7 +93,7 @@ def build_result(counted: DataFrame, code_insee: str = "", commune: str = "") ->
     """Deliverable columns; the area is rounded half to even at one decimal."""
     full = counted.withColumns(
         {
-            "surface_bati_m2": F.bround(G.area(F.col("geom")), 1),
+            "surface_bati_m2": F.bround(G.area("geom"), 1),
             "statut_occupation": S.occupation_status(F.col("nb_etab_actifs")),
             "code_insee": F.lit(code_insee),
             "commune": F.lit(commune),
@@ -119,12 +119,12 @@ def summarize(result: DataFrame) -> DataFrame:
 def nearest_distance(buildings: DataFrame, points: DataFrame, max_m: float) -> DataFrame:
     """``(id_bati, area, d)``; ``d`` is NULL when nothing lies within ``max_m``."""
     left = buildings.select("id_bati", "geom")
-    d = G.point_distance(F.col("geom"), F.col("px"), F.col("py"))
+    d = G.point_distance("geom", "px", "py")
     found = nearest(
         left, points.select("siret", "px", "py"), geom_box("geom"), point_box("px", "py"), d,
         "id_bati", "siret", first_radius=max_m / 4.0, max_radius=max_m,
     ).select("id_bati", "d")
-    sized = buildings.select("id_bati", G.area(F.col("geom")).alias("area"))
+    sized = buildings.select("id_bati", G.area("geom").alias("area"))
     return sized.join(found, "id_bati", "left")
 
 

@@ -47,9 +47,11 @@ def read_geojson(
         .when(kind == "MultiLineString", polygon)
         .when(kind == "LineString", F.array(line))
     )
-    geom = G.rings_edges(F.transform(rings, G.drop_z))
     columns = [F.try_element_at("f.properties", F.lit(c)).alias(c) for c in keep]
-    rows = features.select(*columns, geom.alias("geom"))
+    rows = features.select(*columns, rings.alias("_rings")).withColumn(
+        "geom", G.rings_edges(f"transform(_rings, p_gj -> {G.drop_z.sql('p_gj')})")
+    )
+    rows = rows.drop("_rings")
     return rows.where(in_box("geom", *clip)) if clip else rows
 
 
@@ -58,11 +60,9 @@ def read_osm_ways(spark: SparkSession, path: str) -> DataFrame:
     schema = "elements array<struct<id:bigint, geometry:array<struct<lat:double, lon:double>>>>"
     raw = spark.read.schema(schema).json(path, multiLine=True)
     ways = raw.select(F.explode("elements").alias("w")).where(F.size("w.geometry") >= 2)
-    path_points = F.transform(
-        "w.geometry",
-        lambda p: F.struct(p.getField("lon").alias("x"), p.getField("lat").alias("y")),
-    )
-    return ways.select(F.col("w.id").alias("osm_id"), G.ring_edges(path_points).alias("geom"))
+    points = F.expr("transform(w.geometry, p -> named_struct('x', p.lon, 'y', p.lat))")
+    paths = ways.select(F.col("w.id").alias("osm_id"), points.alias("_path"))
+    return paths.select("osm_id", G.ring_edges("_path").alias("geom"))
 
 
 def read_points_csv(

@@ -255,7 +255,7 @@ def browning(spark, sf):
     k = F.col("id_locale")
     slope = F.when(k % 11 > 0, (k % 40 - 22) / F.lit(1000.0))
     pixels = D.fibre(spark, sf).select("px", "py", slope.alias("sen_slope"))
-    return M.browning_by_cell(pixels, H.cell_of(F.col("px"), F.col("py"), 50.0))
+    return M.browning_by_cell(pixels, H.cell_of("px", "py", 50.0))
 
 
 @query(
@@ -274,7 +274,7 @@ def zonal_mean_by_hexagon(spark, sf):
         FROM e LEFT JOIN deg ON deg.q = e.q AND deg.r = e.r""",
 )
 def label_join(spark, sf):
-    cell = H.cell_of(F.col("px"), F.col("py"), 50.0)
+    cell = H.cell_of("px", "py", 50.0)
     spots = D.establishments(spark, sf).select("siret", cell.alias("cell"))
     joined = spots.join(browning(spark, sf), "cell", "left")
     return joined.select("siret", r(F.coalesce("degradation", F.lit(0.0))).alias("degradation"))
@@ -454,7 +454,7 @@ def unique_ids(spark, sf):
 
 @query("dq02_valid_geometry", with_("parcels") + "SELECT count(*) FILTER (WHERE maxx <= minx) AS violations FROM parcels")
 def valid_geometry(spark, sf):
-    return Q.violations(D.parcels(spark, sf), ~G.is_valid(F.col("ring")))
+    return Q.violations(D.parcels(spark, sf), ~G.is_valid("ring"))
 
 
 @query(
@@ -925,4 +925,4 @@ def vector_round_trip(spark, sf):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{root}/buildings.parquet"
     D.buildings(spark, sf).select("id_batiment", "geom").write.parquet(path, compression="zstd")
-    return read_vector(spark, path).select("id_batiment", r(G.area(F.col("geom"))).alias("area"))
+    return read_vector(spark, path).select("id_batiment", r(G.area("geom")).alias("area"))

@@ -48,7 +48,7 @@ def boxes(df, *keep):
     with_("parcels") + "SELECT id_parcelle, round((maxx - minx) * (maxy - miny), 6) AS area FROM parcels",
 )
 def area(spark, sf):
-    return D.parcels(spark, sf).select("id_parcelle", r(G.area(F.col("geom"))).alias("area"))
+    return D.parcels(spark, sf).select("id_parcelle", r(G.area("geom")).alias("area"))
 
 
 @query(
@@ -56,7 +56,7 @@ def area(spark, sf):
     with_("roads") + "SELECT id_troncon, round(maxx - minx, 6) AS length FROM roads",
 )
 def length(spark, sf):
-    return D.roads(spark, sf).select("id_troncon", r(G.length(F.col("geom"))).alias("length"))
+    return D.roads(spark, sf).select("id_troncon", r(G.length("geom")).alias("length"))
 
 
 @query(
@@ -76,7 +76,7 @@ def total_bounds(spark, sf):
         FROM parcels""",
 )
 def centroid(spark, sf):
-    cx, cy = G.centroid(F.col("geom"))
+    cx, cy = G.centroid("geom")
     return D.parcels(spark, sf).select("id_parcelle", r(cx).alias("cx"), r(cy).alias("cy"))
 
 
@@ -89,7 +89,8 @@ def validity(spark, sf):
     at = lambda i: F.element_at(ring, i)
     bow_tie = F.array(at(1), at(2), at(4), at(3), at(1))
     shaped = F.when(F.col("id_parcelle") % 5 == 0, bow_tie).otherwise(ring)
-    return D.parcels(spark, sf).select("id_parcelle", G.is_valid(shaped).alias("valid"))
+    rows = D.parcels(spark, sf).select("id_parcelle", shaped.alias("shaped"))
+    return rows.select("id_parcelle", G.is_valid("shaped").alias("valid"))
 
 
 @query(
@@ -99,7 +100,7 @@ def validity(spark, sf):
         ON {point_gap('b', 'e')} <= 15""",
 )
 def buffer_predicate(spark, sf):
-    d = G.point_distance(F.col("geom"), F.col("px"), F.col("py"))
+    d = G.point_distance("geom", "px", "py")
     pairs = SP.within_pairs(
         boxes(D.buildings(spark, sf), "id_batiment"), D.establishments(spark, sf),
         SP.geom_box("geom"), SP.point_box("px", "py"), d, 15.0,
@@ -136,7 +137,7 @@ def overlap_area(spark, sf):
 def distance_to_built(spark, sf):
     left = D.parcels(spark, sf).select("id_parcelle", "geom")
     right = D.buildings(spark, sf).select("id_batiment", F.col("geom").alias("bgeom"))
-    d = G.distance(F.col("geom"), F.col("bgeom"))
+    d = G.distance("geom", "bgeom")
     pairs = SP.within_pairs(left, right, SP.geom_box("geom"), SP.geom_box("bgeom"), d, 60.0)
     best = SP.best_pair(pairs, "id_parcelle", "id_batiment", [])
     return best.select("id_parcelle", r("d").alias("d"))
@@ -267,7 +268,7 @@ AOI_SQL = "SELECT 1 AS aid, min(minx) AS minx, min(miny) AS miny, max(maxx) AS m
 
 def parcel_area(spark, sf):
     b = R.total_bounds(D.parcels(spark, sf))
-    corners = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
+    corners = ("minx", "miny", "maxx", "maxy")
     return b.select(F.lit(1).alias("aid"), *corners, G.box_edges(*corners).alias("geom"))
 
 
@@ -342,7 +343,7 @@ def proximity(spark, sf):
     with_("fibre", h=hex_sql("fibre", "px", "py", EDGE9)) + "SELECT id_locale, q, r FROM h",
 )
 def cell_of_point(spark, sf):
-    cell = H.cell_of(F.col("px"), F.col("py"), EDGE9)
+    cell = H.cell_of("px", "py", EDGE9)
     return D.fibre(spark, sf).select("id_locale", cell.alias("c")).select("id_locale", "c.q", "c.r")
 
 
@@ -356,7 +357,7 @@ def cell_of_point(spark, sf):
     + "SELECT id_poste_source, q + dq AS q, r + dr AS r FROM h, o",
 )
 def disk(spark, sf):
-    cell = H.cell_of(F.col("px"), F.col("py"), EDGE9)
+    cell = H.cell_of.sql("px", "py", EDGE9)
     cells = D.energy(spark, sf).select("id_poste_source", F.explode(H.disk(cell, 3)).alias("c"))
     return cells.select("id_poste_source", "c.q", "c.r")
 
@@ -371,7 +372,7 @@ def disk(spark, sf):
         FROM h, range(7) t(i)""",
 )
 def cell_boundary(spark, sf):
-    cell = H.cell_of(F.col("px"), F.col("py"), EDGE8)
+    cell = H.cell_of.sql("px", "py", EDGE8)
     rows = D.energy(spark, sf).select(
         "id_poste_source", F.posexplode(H.cell_boundary(cell, EDGE8)).alias("i", "p")
     )
@@ -463,8 +464,7 @@ def slope(spark, sf):
 def sparse_roads(spark, sf):
     """Monument access tracks: one short line per monument."""
     m = D.monuments(spark, sf)
-    x, y = F.col("px") - 2200, F.col("py")
-    return m.select("id_monument", G.line_edges(x, y, x + 60, y).alias("geom"))
+    return m.select("id_monument", G.line_edges("px - 2200", "py", "px - 2140", "py").alias("geom"))
 
 
 def access_cells(spark, sf):
@@ -538,5 +538,5 @@ def resample(spark, sf):
         FROM parcels""",
 )
 def representative_point(spark, sf):
-    x, y = G.representative_point(F.col("geom"))
+    x, y = G.representative_point("geom")
     return D.parcels(spark, sf).select("id_parcelle", r(x).alias("x"), r(y).alias("y"))

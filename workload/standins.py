@@ -7,10 +7,29 @@ outlines off the sampling lines.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
+from terrapulse.session import checkpointed, spread
+
+
+_LAYERS: dict[tuple, DataFrame] = {}
+
+
+def layer(build):
+    """Write a derived layer once per session: the operators get it as the stored table it stands for."""
+
+    @wraps(build)
+    def stored(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _LAYERS:
+            _LAYERS[key] = checkpointed(build(spark, sf))
+        return _LAYERS[key]
+
+    return stored
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,10 +46,10 @@ def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def _boxed(df: DataFrame, x: Column, y: Column, w: Column, h: Column, offset: float) -> DataFrame:
-    placed = df.withColumns({"minx": x + F.lit(offset), "miny": y + F.lit(offset)})
+    placed = spread(df).withColumns({"minx": x + F.lit(offset), "miny": y + F.lit(offset)})
     placed = placed.withColumns({"maxx": F.col("minx") + w, "maxy": F.col("miny") + h})
     corners = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
-    return placed.withColumns({"ring": box_ring(*corners), "geom": G.box_edges(*corners)})
+    return placed.withColumns({"ring": box_ring(*corners), "geom": G.box_edges("minx", "miny", "maxx", "maxy")})
 
 
 def observations(spark: SparkSession, sf: str, key: str = "l_suppkey") -> DataFrame:
@@ -57,6 +76,7 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@layer
 def parcels(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     placed = _boxed(
@@ -74,6 +94,7 @@ def parcels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@layer
 def buildings(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     slot = _div(k, 2)
@@ -155,6 +176,7 @@ def monuments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@layer
 def flood_zones(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("n_nationkey").cast("bigint")
     placed = _boxed(
@@ -163,6 +185,7 @@ def flood_zones(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(k.alias("id_ppri"), "minx", "miny", "maxx", "maxy", "ring", "geom")
 
 
+@layer
 def woods(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     placed = _boxed(
@@ -176,24 +199,24 @@ def woods(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(k.alias("id_ebc"), "minx", "miny", "maxx", "maxy", "ring", "geom")
 
 
+@layer
 def roads(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     x, y = (k * 389) % 1950 + F.lit(0.6), _div(k, 5) + F.lit(0.6)
     return read(spark, sf, "events").select(
         k.alias("id_troncon"),
         x.alias("minx"), y.alias("miny"), (x + 20).alias("maxx"), y.alias("maxy"),
-        G.line_edges(x, y, x + 20, y).alias("geom"),
-    )
+    ).withColumn("geom", G.line_edges("minx", "miny", "maxx", "maxy"))
 
 
+@layer
 def power_lines(spark: SparkSession, sf: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     x, y = (c * 173 + t * 37) % 1900 + F.lit(0.6), c * 20 + t * 3 + F.lit(0.6)
     return read(spark, sf, "conversations").select(
         (c * 1000 + t).alias("id_hta"),
         x.alias("minx"), y.alias("miny"), x.alias("maxx"), (y + 25).alias("maxy"),
-        G.line_edges(x, y, x, y + 25).alias("geom"),
-    )
+    ).withColumn("geom", G.line_edges("minx", "miny", "maxx", "maxy"))
 
 
 def establishments(spark: SparkSession, sf: str) -> DataFrame:
