@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,30 +68,30 @@ def replace_partition(
 ) -> int:
     """Replace the rows of one area (narrowed by ``extra_keys``) and return the row count.
 
-    Other partitions stay as they are. Naming the whole partition overwrites it in place; an empty
-    input, or a key prefix, first drops every partition it covers.
+    A static partition overwrite replaces everything under the given keys, also when the input is
+    empty, and leaves the other partitions as they are.
     """
     spark = df.sparkSession
     keys = {"aoi_id": aoi_id, **(extra_keys or {})}
-    partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    columns = spark.catalog.listColumns(table)
+    partitions = [c.name for c in columns if c.isPartition]
     unknown = [k for k in keys if k not in partitions]
     if unknown:
         raise ValueError(f"not partition columns of {table}: {unknown}")
-    rows = df.count()
-    whole = set(keys) == set(partitions)
-    if rows == 0 or not whole:
-        covered = ", ".join(f"{k} = {v!r}" for k, v in keys.items())
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({covered})")
-    if rows == 0:
-        return 0
-    named = df.withColumns({k: F.lit(v) for k, v in keys.items()})
-    full = named.withColumns({c: F.lit(None) for c in spark.table(table).columns if c not in named.columns})
-    writer = full.select(*spark.table(table).columns).write
-    if whole:
-        writer.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
-    else:
-        writer.insertInto(table)
-    return rows
+    dynamic = [p for p in partitions if p not in keys]
+    spec = ", ".join([f"{k} = {v!r}" for k, v in keys.items()] + dynamic)
+    data = [c.name for c in columns if not c.isPartition] + dynamic
+    shown = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in data]
+    view = f"incoming_{uuid.uuid4().hex}"
+    df.select(*shown).createOrReplaceTempView(view)
+    try:
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({spec}) SELECT * FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
+    written = spark.table(table)
+    for k, v in keys.items():
+        written = written.where(F.col(k) == F.lit(v))
+    return written.count()
 
 
 def write_product(
