@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
 from terrapulse.operators.unnest import unnest
+from terrapulse.session import checkpointed
 
 
 def _line_y(step: float) -> str:
@@ -87,7 +88,8 @@ def installable_zone(
     step: float = 1.0,
 ) -> DataFrame:
     """``(key, install_m2, install_x, install_y)``; an empty zone has area 0 and a NULL centroid."""
-    free = setback_spans(parcels, key, geom, setback, step)
+    # Stored, because both the measure and the cut of the footprints read the spans.
+    free = checkpointed(setback_spans(parcels, key, geom, setback, step))
     built = footprint_spans(footprints, key, footprint_geom, step)
     taken = (
         free.join(built.withColumnsRenamed({"a": "_a", "b": "_b"}), [key, "row"])

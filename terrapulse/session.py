@@ -26,13 +26,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+_PRIVATE_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names, or a private one where the setting is missing (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE_ROOTS:
+        _PRIVATE_ROOTS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _PRIVATE_ROOTS[app]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
