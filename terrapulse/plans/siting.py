@@ -21,6 +21,7 @@ from terrapulse.operators.spatial import (
     point_box,
     within_pairs,
 )
+from terrapulse.operators.unnest import unnest
 from terrapulse.session import checkpointed, spread
 
 # Search rings per layer, in hexagons of the join grain.
@@ -83,7 +84,8 @@ def building_pairs(parcels: DataFrame, buildings: DataFrame, attributes: list[st
     left = parcels.select("id_parcelle", "geom")
     right = buildings.select("id_batiment", F.col("geom").alias("bgeom"), *attributes)
     met = intersecting_pairs(left, right, "geom", "bgeom", PAIR_CELL_M)
-    common = met.withColumn("footprint", G.overlap("geom", "bgeom"))
+    # Behind a generator the outline is built once, whatever later filters and measures read it.
+    common = unnest(met, F.array(G.overlap("geom", "bgeom")), "footprint")
     return common.select(
         "id_parcelle",
         "id_batiment",

@@ -19,6 +19,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # The local tables are a few MB: without this every stage is folded into one task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
+        # Medians keep one small map per group; the default turns to sorting after 128 groups.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

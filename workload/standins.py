@@ -54,7 +54,7 @@ def _boxed(df: DataFrame, x: Column, y: Column, w: Column, h: Column, offset: fl
 
 def observations(spark: SparkSession, sf: str, key: str = "l_suppkey") -> DataFrame:
     """Pixel observations: series key, time, value, two bands and a scene class."""
-    return read(spark, sf, "lineitem").select(
+    return spread(read(spark, sf, "lineitem")).select(
         F.col(key).alias("pixel_id"),
         F.col("l_shipdate").alias("ts"),
         F.col("l_extendedprice").alias("v"),
