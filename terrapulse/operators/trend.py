@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+# Ship the kernel itself to the executors, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREND_TYPE = "sen_slope double, mk_s double, mk_pvalue double, mk_z double, trend_class double"
 _BLOCK = 256
 
