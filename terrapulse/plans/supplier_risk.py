@@ -15,4 +15,4 @@ def run(suppliers: DataFrame, scores: DataFrame, selected_material: str) -> Data
         "raw_material", X.raw_material(F.col("source_commodity"), selected_material)
     )
     joined = named.join(scores, "supplier_id", "left")
-    return joined.withColumn("risk_band", S.risk_band(F.col("eudr_risk_score")))
+    return joined.withColumn("risk_band", S.risk_band(F.col("risk_score")))

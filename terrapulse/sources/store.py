@@ -20,32 +20,32 @@ TABLES = {
         "created_at timestamp, aoi_id string",
         ["aoi_id"],
     ),
-    "vege_commune_stats": (
+    "vegetation_zone_stats": (
         "insee string, nom string, mean_sen_slope double, pct_greening double, pct_browning double, "
         "mean_anomaly double, min_vci double, geom binary, aoi_id string, y0 int, y1 int",
         ["aoi_id", "y0", "y1"],
     ),
-    "vege_timeline": (
+    "vegetation_timeline": (
         "month date, anomaly_mean double, aoi_id string, y0 int, y1 int",
         ["aoi_id", "y0", "y1"],
     ),
-    "paf_interface_stats": (
+    "interface_stats": (
         "contact_m double, interface_length_m double, interface_zone_ha double, "
         "bati_area_ha double, aoi_id string",
         ["aoi_id"],
     ),
-    "dc_parcelles": (
+    "site_parcels": (
         "id_parcelle string, insee string, score_foncier double, score_nuisances double, "
         "score_fibre double, score_energie double, score_environnement double, score_total double, "
         "classe string, h3_res8 string, geom binary, aoi_id string",
         ["aoi_id"],
     ),
-    "dc_heatmap": (
+    "site_heatmap": (
         "h3_res8 string, count_eligibles int, count_premium int, avg_score double, geom binary, "
         "aoi_id string",
         ["aoi_id"],
     ),
-    "sdbpi_batiments": (
+    "vacancy_buildings": (
         "id_bati string, usage_1 string, surface_bati_m2 double, nb_etab_actifs int, "
         "statut_occupation string, geom binary, aoi_id string",
         ["aoi_id"],

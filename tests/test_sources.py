@@ -91,7 +91,7 @@ def test_fibre_and_layers(spark):
     posts = spark.createDataFrame([("P1", "63,5", 1.0, 2.0)], "Nom string, `Capacite dispo kVA` string, px double, py double")
     row = L.normalize_layer(posts, L.CONTRACTS["energie"], "07").first()
     assert (row.id_poste_source, row.puissance_max_kva, row.puissance_disponible_kva, row.dept, row.px) == ("P1", 0.0, None, "07", 1.0)
-    out = L.adapt_all({"pv": spark.createDataFrame([("z",)], "code string"), "parcelles": spark.createDataFrame([("070050000A0001",)], "idu string")}, "07", "Alba")
+    out = L.adapt_all({"pv": spark.createDataFrame([("z",)], "code string"), "parcelles": spark.createDataFrame([("070050000A0001",)], "idu string")}, "07", "Commune")
     assert out["pv"].first().id_pv == "z" and out["parcelles"].first().commune_insee == "07005"
 
 
@@ -111,21 +111,21 @@ def test_suppliers(spark, tmp_path):
 
 
 def test_replace_partition(spark):
-    spark.sql("DROP TABLE IF EXISTS vege_commune_stats")
+    spark.sql("DROP TABLE IF EXISTS vegetation_zone_stats")
     ST.apply_schema(spark)
     ST.apply_schema(spark)
     rows = lambda n: spark.createDataFrame([(f"{i}", 0.1 * i) for i in range(n)], "insee string, mean_sen_slope double")
     keys = {"y0": 2018, "y1": 2025}
-    count = lambda a: spark.table("vege_commune_stats").where(F.col("aoi_id") == a).count()
-    assert ST.replace_partition(rows(3), "vege_commune_stats", "a", keys) == 3
-    assert ST.replace_partition(rows(1), "vege_commune_stats", "b", keys) == 1
-    assert ST.replace_partition(rows(2), "vege_commune_stats", "a", keys) == 2
+    count = lambda a: spark.table("vegetation_zone_stats").where(F.col("aoi_id") == a).count()
+    assert ST.replace_partition(rows(3), "vegetation_zone_stats", "a", keys) == 3
+    assert ST.replace_partition(rows(1), "vegetation_zone_stats", "b", keys) == 1
+    assert ST.replace_partition(rows(2), "vegetation_zone_stats", "a", keys) == 2
     assert (count("a"), count("b")) == (2, 1)
-    assert ST.replace_partition(rows(1), "vege_commune_stats", "a", {"y0": 2010, "y1": 2017}) == 1 and count("a") == 3
-    assert ST.replace_partition(rows(0), "vege_commune_stats", "a", keys) == 0 and count("a") == 1
-    assert ST.replace_partition(rows(0), "vege_commune_stats", "a") == 0 and (count("a"), count("b")) == (0, 1)
+    assert ST.replace_partition(rows(1), "vegetation_zone_stats", "a", {"y0": 2010, "y1": 2017}) == 1 and count("a") == 3
+    assert ST.replace_partition(rows(0), "vegetation_zone_stats", "a", keys) == 0 and count("a") == 1
+    assert ST.replace_partition(rows(0), "vegetation_zone_stats", "a") == 0 and (count("a"), count("b")) == (0, 1)
     with pytest.raises(ValueError):
-        ST.replace_partition(rows(1), "vege_commune_stats", "a", {"nom": "x"})
+        ST.replace_partition(rows(1), "vegetation_zone_stats", "a", {"nom": "x"})
 
 
 def test_stage_products_embeddings(spark, tmp_path):

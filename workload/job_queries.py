@@ -889,7 +889,7 @@ def supplier_risk(spark, sf):
         F.lit("4.5").alias("Lon"),
     )
     suppliers = normalize_suppliers(raw)
-    scores = suppliers.select("supplier_id", (F.col("source_row") % 101).alias("eudr_risk_score"))
+    scores = suppliers.select("supplier_id", (F.col("source_row") % 101).alias("risk_score"))
     out = SR.run(suppliers, scores, T.USE_COMMODITY_COLUMN)
     return out.select("source_row", "supplier_id", "raw_material", "risk_band")
 

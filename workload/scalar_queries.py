@@ -862,14 +862,14 @@ def fibre_status(spark, sf):
 @query(
     "src15_layer_contract",
     """SELECT c_name AS id_parcelle, substr(lpad(c_nationkey::VARCHAR, 5, '0') || 'XYZ', 1, 5) AS commune_insee,
-        substr(lpad(c_nationkey::VARCHAR, 5, '0'), 1, 2) AS dept, 'Alba' AS commune FROM customer""",
+        substr(lpad(c_nationkey::VARCHAR, 5, '0'), 1, 2) AS dept, 'Commune' AS commune FROM customer""",
 )
 def layer_contract(spark, sf):
     raw = D.read(spark, sf, "customer").select(
         F.col("c_name").alias(" IDU "),
         F.concat(F.lpad(F.col("c_nationkey").cast("string"), 5, "0"), F.lit("XYZ")).alias("Code-INSEE"),
     )
-    return L.adapt_parcels(raw, "Alba").select("id_parcelle", "commune_insee", "dept", "commune")
+    return L.adapt_parcels(raw, "Commune").select("id_parcelle", "commune_insee", "dept", "commune")
 
 
 PRODUCTS_SQL = """SELECT 'run-' || doc_id AS run_id, 'aoi-' || doc_id % 7 AS aoi_id, lang AS pilier,
