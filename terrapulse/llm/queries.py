@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing a module registers its queries."""
 
-from terrapulse.llm import packing, token_counts  # noqa: F401
+from terrapulse.llm import packing, simhash, token_counts  # noqa: F401
 from terrapulse.llm.common import ORACLE, QUERIES  # noqa: F401
