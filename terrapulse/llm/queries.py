@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing a module registers its queries."""
 
-from terrapulse.llm import chat, main_text, packing, secrets, simhash, substrings, token_counts  # noqa: F401
+from terrapulse.llm import chat, imatch, main_text, packing, secrets, simhash, substrings, token_counts  # noqa: F401
 from terrapulse.llm.common import ORACLE, QUERIES  # noqa: F401
