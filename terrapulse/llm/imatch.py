@@ -11,15 +11,15 @@ from pyspark.sql.window import Window
 from terrapulse.llm.common import query, table
 
 #: The inverse-document-frequency band, in natural logarithms: terms in more than a quarter of the documents say
-#: little, terms in fewer than one of 2000 change with every small edit.
-IDF_BAND = (math.log(4), math.log(2000))
+#: little, terms in fewer than one of 1000 change with every small edit.
+IDF_BAND = (math.log(4), math.log(1000))
 #: (subsets, share): so many random subsets of the lexicon, each with one of so many terms. The dense ones hold every
 #: term and tell short texts apart, sparse ones still agree on long texts of which a part has changed.
 SUBSETS = ((4, 4), (12, 64), (24, 256), (24, 1024))
-#: Slots of the lexicon's map, a byte each. A lexicon has at most (mean distinct terms) * exp(IDF_BAND[1]) terms whatever
-#: the number of documents, which bounds what the driver reads; a term outside it that falls into a taken slot is kept
-#: as well, for every document alike.
-SLOTS = 1 << 21
+#: Slots of the lexicon's map, six to a byte, which goes into the plan as a constant of 64 KB. A lexicon has at most
+#: (mean distinct terms) * exp(IDF_BAND[1]) terms whatever the number of documents, which bounds what the driver reads;
+#: a term outside it that falls into a taken slot is kept as well, for every document alike.
+SLOTS = 6 << 16
 
 
 def terms(text: Column) -> Column:
@@ -34,9 +34,9 @@ def lexicon(listed: DataFrame, band: tuple[float, float]) -> bytes:
     total = listed.count()
     counted = listed.select(F.explode("terms").alias("term")).groupBy("term").count()
     kept = counted.where(F.log(F.lit(total) / F.col("count")).between(*band))
-    taken = bytearray(SLOTS)
+    taken = bytearray(SLOTS // 6)
     for row in kept.select(F.pmod("term", F.lit(SLOTS)).alias("slot")).distinct().collect():
-        taken[row.slot] = 1
+        taken[row.slot // 6] |= 1 << row.slot % 6
     return bytes(taken)
 
 
@@ -47,10 +47,13 @@ def signatures(own: Column, taken: bytes) -> Column:
     """
 
     def known(term: Column) -> Column:
-        return F.substring(F.lit(taken), (F.pmod(term, F.lit(SLOTS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+        slot = F.pmod(term, F.lit(SLOTS))
+        # Six bits make an ASCII character, whose number is read without a conversion of bases.
+        byte = F.ascii(F.substring(F.lit(taken), (F.floor(slot / 6) + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.getbit(byte.cast("long"), (slot % 6).cast("int")) == 1
 
-    banded = F.filter(own, known)
-    kept = F.when(F.size(banded) > 0, banded).otherwise(own)
+    banded = F.transform(F.array(own), lambda all_terms: F.filter(all_terms, known))[0]
+    kept = F.transform(F.array(F.struct(own.alias("all"), banded.alias("banded"))), lambda x: F.when(F.size(x["banded"]) > 0, x["banded"]).otherwise(x["all"]))[0]
 
     def each(numbers_shares: list[tuple[int, int, int]]) -> Column:
         def sign(kept: Column, number: int, share: int, shift: int) -> Column:
