@@ -25,15 +25,18 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SIGN_COST, LOST_COST, STRETCH_COST, DOUBLE_COST = -0.7, -3.0, -0.5, -1.0
 #: The features of the linear model, and the labelled rows that it is fitted on at most (a bounded, documented sample:
 #: those with the smallest digests of their id).
-FEATURES, LABELLED_ROWS = 1 << 18, 20_000
+FEATURES, LABELLED_ROWS = 1 << 18, 12_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.escape("".join(SIGNS))
+#: A letter with a sign before another letter, single letters with marks between, a letter three times: id1ot, i-d-i-o-t, idiooot.
 _NOISY = re.compile(
-    rf"(?<![^\s,;(])[^\W\d_]?[{_SIGN}]?[^\W\d_]+[{_SIGN}]+[^\W\d_]+(?:[{_SIGN}]+[^\W\d_]+)*[{_SIGN}]*(?![^\s.,;:)?])"  # id1ot
-    r"|(?<![\w*])[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?![\w*])"  # i d i o t
-    r"|(?<!\w)[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*(?!\w)"  # idiooot
+    rf"(?<![^\s,;(])[^\W\d_]?[{_SIGN}]?[^\W\d_]+[{_SIGN}]+[^\W\d_]+(?:[{_SIGN}]+[^\W\d_]+)*[{_SIGN}]*(?![^\s.,;:)?])"
+    r"|(?<![\w*])[^\W\d_](?:[.*_-][^\W\d_]){3,}(?![\w*])"
+    r"|(?<!\w)[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*(?!\w)"
 )
+#: Single letters with spaces between: i d i o t.
+_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?![^\s.,;:!?)])")
 #: Longer tokens are keys or digests and not words.
 LONGEST = 40
 
@@ -56,9 +59,17 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SIZE**3, "i8")
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                c = np.concatenate([[0, 0], codes(text), [0]]).astype("i4")
-                counts += np.bincount(c[:-2] * SIZE**2 + c[1:-1] * SIZE + c[2:], minlength=SIZE**3)
+            held, size, ends = [], 0, np.zeros(2, "u1")
+            for text in [*batch["text"].to_pylist(), None]:
+                if text is not None:
+                    held += [ends, codes(text)]
+                    size += len(text)
+                if held and (text is None or size > 1 << 20):
+                    # Two word ends stand before a text and one, of the next two, after it.
+                    c = np.concatenate([*held, ends]).astype("i4")
+                    grams = c[:-2] * SIZE**2 + c[1:-1] * SIZE + c[2:]
+                    counts += np.bincount(grams, minlength=SIZE**3)
+                    held, size = [], 0
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype("i4")), pa.array(counts[met])], names=["gram", "n"])
 
@@ -118,9 +129,33 @@ def decode(token: str, model: np.ndarray) -> str:
     return max(ended)[1]
 
 
+def restore_token(token: str, model: np.ndarray) -> str:
+    return _NOISY.sub(lambda m: decode(m[0], model), token) if len(token) <= LONGEST else token
+
+
 def restore(text: str, model: np.ndarray) -> str:
     """``text`` with disguised words spelled out; everything else stays."""
-    return _NOISY.sub(lambda m: decode(m[0], model) if len(m[0]) <= LONGEST else m[0], text)
+    text = _SPACED.sub(lambda m: decode(m[0], model) if len(m[0]) <= LONGEST else m[0], text)
+    return "".join(restore_token(part, model) for part in re.split(r"(\s+)", text))
+
+
+class Restorer:
+    """The distinct words of restored texts; what stands between white space is restored once while in the cache."""
+
+    def __init__(self, model: np.ndarray, capacity: int = 400_000):
+        self.model, self.capacity, self.known = model, capacity, {}
+
+    def words(self, text: str) -> set[str]:
+        text = _SPACED.sub(lambda m: decode(m[0], self.model) if len(m[0]) <= LONGEST else m[0], text.lower())
+        if len(self.known) > self.capacity:
+            self.known.clear()
+        out, known = set(), self.known
+        for token in set(text.split()):
+            words = known.get(token)
+            if words is None:
+                words = known[token] = tuple(_WORD.findall(restore_token(token, self.model)))
+            out.update(words)
+        return out
 
 
 def features(word: str) -> tuple[int, int]:
@@ -136,9 +171,10 @@ class Model:
 
     def __post_init__(self):
         self.known: dict[str, float] = {}
+        self.restorer = Restorer(self.letters)
 
     def score(self, text: str) -> float:
-        words, known = set(_WORD.findall(restore(text, self.letters).lower())), self.known
+        words, known = self.restorer.words(text), self.known
         if len(known) > 500_000:
             known.clear()
         total = self.bias
@@ -155,15 +191,25 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 2e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression over binary features, by gradient descent with adaptive steps; an L2 penalty."""
+def telling(with_feature: np.ndarray, toxic_with: np.ndarray, rate: float, evidence: float) -> np.ndarray:
+    """Features found in toxic rows more often than chance gives: the log likelihood ratio of their share exceeds ``evidence``."""
+    share = np.clip(toxic_with / np.maximum(with_feature, 1), 1e-9, 1 - 1e-9)
+    ratio = with_feature * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
+    return (share > rate) & (ratio > evidence)
+
+
+def fit_weights(column: np.ndarray, sizes: np.ndarray, labels: np.ndarray, evidence: float = 9.0, penalty: float = 1e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression over the telling binary features (``sizes`` of them for each row, in ``column``), by gradient descent with adaptive steps and an L2 penalty.
+
+    Weights are not negative: clean words around an insult don't make up for it.
+    """
     weights, rate = np.zeros(FEATURES), (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(rate / (1 - rate)))
-    if len(rows) == 0 or labels.min() == labels.max():
+    if len(sizes) == 0 or labels.min() == labels.max():
         return weights, bias
-    counted = np.bincount(np.concatenate(rows), minlength=FEATURES)
-    rows = [r[counted[r] >= 2] for r in rows]
-    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
+    useful = telling(np.bincount(column, minlength=FEATURES), np.bincount(column, labels[row], FEATURES), rate, evidence)
+    row, column = row[useful[column]], column[useful[column]]
     names, column = np.unique(column, return_inverse=True)
     w, b, first, second = np.zeros(len(names)), bias, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
@@ -171,8 +217,8 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 2e-
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
         gradient = np.append(np.bincount(column, error[row], len(names)) + penalty * w, error.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
-        move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-        w, b = w - move[:-1], b - move[-1]
+        move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        w, b = np.maximum(w - move[:-1], 0), b - move[-1]
     weights[names] = w
     return weights, float(b)
 
@@ -184,18 +230,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     chosen = known.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(letters)
         for batch in batches:
-            found = []
-            for text in batch["text"].to_pylist():
-                words = set(_WORD.findall(restore(text, letters).lower()))
-                found.append(sorted({f for w in words for f in features(w)}))
+            found = [sorted({f for w in restorer.words(text) for f in features(w)}) for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
 
     # At most ``labelled_rows`` ids, so the broadcast is bounded and texts are not moved.
     joined = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text")
-    sample = joined.mapInArrow(work, "toxic int, found array<int>").toArrow().combine_chunks()
-    found = sample["found"].to_pylist()
-    weights, bias = fit_weights([np.array(f, "i8") for f in found], (sample["toxic"].to_numpy() > 0).astype("f8"))
+    sample = joined.mapInArrow(work, "toxic int, found array<int>").toArrow()
+    found = sample["found"].combine_chunks()
+    column, sizes = found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
+    weights, bias = fit_weights(column, sizes, (sample["toxic"].to_numpy() > 0).astype("f4"))
     return Model(letters, weights.astype("f4"), bias)
 
 
