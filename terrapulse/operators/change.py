@@ -11,7 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapulse.operators.quantiles import exact_quantile
+from terrapulse.operators.quantiles import column_quantiles
+from terrapulse.session import checkpointed
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -38,7 +39,7 @@ def flag_by_percentile(
     df: DataFrame, value: str, percentile: float = 95.0, flag: str = "changed"
 ) -> DataFrame:
     """Adds ``threshold`` (0 for an empty input) and the strict flag ``value > threshold``."""
-    found = exact_quantile(df, [], value, percentile / 100.0, "threshold")
+    found = column_quantiles(df, value, [percentile / 100.0]).select(F.col("quantiles")[0])
     threshold = F.coalesce(found.scalar(), F.lit(0.0))
     return df.withColumn("threshold", threshold).withColumn(flag, F.col(value) > F.col("threshold"))
 
@@ -50,7 +51,9 @@ def detect_change(
     key: str = "pixel_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    return flag_by_percentile(aligned_distance(year1, year2, key, vector), "change_distance", percentile)
+    """The join of the two years runs once; threshold and flag read the stored distances."""
+    distances = checkpointed(aligned_distance(year1, year2, key, vector))
+    return flag_by_percentile(distances, "change_distance", percentile)
 
 
 def change_summary(changes: DataFrame) -> DataFrame:
@@ -71,12 +74,32 @@ class TrainedForest:
     n_samples: int
 
 
-def _forest(trees: int) -> RandomForestClassifier:
+#: The deepest trees that the library grows.
+MAX_DEPTH = 30
+
+
+def _forest(trees: int, depth: int) -> RandomForestClassifier:
     return RandomForestClassifier(
-        featuresCol="features", labelCol="_label", numTrees=trees, seed=42, maxDepth=12
+        featuresCol="features", labelCol="_label", numTrees=trees, seed=42, maxDepth=depth
     )
 
 
+def stratified_fold(df: DataFrame, label: str, order: str, folds: int) -> DataFrame:
+    """Adds ``_fold``: rows of a label are counted off in the order of a digest of ``order``.
+
+    The count runs within stretches of the digest, to which the sizes of the stretches before are
+    added, so no task holds a label.
+    """
+    dealt = df.withColumn("_digest", F.xxhash64(order)).withColumn("_part", F.shiftright("_digest", 54))
+    sizes = dealt.groupBy(label, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(label, "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_digest", order))
+    placed = dealt.withColumn("_at", within).join(before, [label, "_part"])
+    fold = ((F.col("_at") - 1 + F.col("_before")) % folds).cast("int")
+    return placed.withColumn("_fold", fold).drop("_digest", "_part", "_at", "_before")
+
+
 def _features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
 
@@ -88,8 +111,9 @@ def train_forest(
     order: str = "pixel_id",
     trees: int = 100,
     folds: int = 5,
+    depth: int = MAX_DEPTH,
 ) -> TrainedForest:
-    """Random forest with stratified cross-validation; folds are capped by the smallest class."""
+    """Random forest with stratified cross-validation; folds are capped by the smallest class, and none without folds."""
     named = _features(samples, vector).withColumn("_name", F.col(label).cast("string"))
     indexer = StringIndexer(inputCol="_name", outputCol="_label", stringOrderType="alphabetAsc")
     indexed = indexer.fit(named)
@@ -97,18 +121,17 @@ def train_forest(
     sizes = ready.groupBy("_name").agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.sum("n").alias("total"), F.min("n").alias("smallest")).first()
     accuracy = None
-    if row["total"] >= 4 and row["smallest"] >= 2:
+    if folds and row["total"] >= 4 and row["smallest"] >= 2:
         k = max(2, min(folds, row["smallest"]))
-        position = F.row_number().over(Window.partitionBy("_label").orderBy(order)) - 1
-        folded = ready.withColumn("_fold", position % k).persist()
+        folded = checkpointed(stratified_fold(ready, "_label", order, k).drop("features"))
+        folded = _features(folded, vector)
         metric = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
         scores = []
         for i in range(k):
-            fitted = _forest(trees).fit(folded.where(F.col("_fold") != i))
+            fitted = _forest(trees, depth).fit(folded.where(F.col("_fold") != i))
             scores.append(metric.evaluate(fitted.transform(folded.where(F.col("_fold") == i))))
-        folded.unpersist()
         accuracy = sum(scores) / k
-    model = _forest(trees).fit(ready)
+    model = _forest(trees, depth).fit(ready)
     return TrainedForest(model, list(indexed.labels), accuracy, row["total"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapulse.operators.quantiles import GROUP_ROWS, exact_quantile
+from terrapulse.operators.quantiles import grouped_quantile
 
 
 def month_of(ts: Column) -> Column:
@@ -36,7 +36,6 @@ def monthly_median(
     pixel: str = "pixel_id",
     ts: str = "ts",
     value: str = "v",
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Median and valid count per pixel and month: ``(pixel, month, mi, v, valid_count)``.
 
@@ -47,7 +46,7 @@ def monthly_median(
         F.col(pixel), month_of(F.col(ts)).alias("month"), F.col(value).cast("double").alias("v")
     )
     valid = F.count("v").alias("valid_count")
-    joined = exact_quantile(named, [pixel, "month"], "v", 0.5, "v_median", group_rows, [valid])
+    joined = grouped_quantile(named, [pixel, "month"], "v", 0.5, "v_median", [valid])
     joined = joined.withColumnRenamed("v_median", "v")
     dense = densify(joined, month_axis(obs, ts), pixel, ["v", "valid_count"])
     return dense.withColumn("valid_count", F.coalesce("valid_count", F.lit(0).cast("bigint")))

@@ -1,9 +1,10 @@
-"""Exact quantiles that never hold one large group in one task.
+"""Exact quantiles: per key for groups that the keys bound, and of a whole column without a task that holds it.
 
-Small groups use the built-in ``percentile``. When some group is larger than ``group_rows`` the
-wanted ranks are found by narrowing: every value falls into an order-preserving bucket that is a
-pure function of the value, bucket counts (a map-side combined aggregate) locate the bucket of each
-wanted rank, and only the rows of that bucket go on to the next, 4096 times finer, level.
+A group of ``grouped_quantile`` is bounded by what its keys mean (the scenes of a pixel in a month), so the built-in
+``percentile`` serves. ``column_quantiles`` and ``narrowed_quantile`` find the wanted ranks by narrowing: every value
+falls into an order-preserving bucket that is a pure function of the value, bucket counts (a map-side combined
+aggregate) locate the bucket of each wanted rank, and only the rows of that bucket go on to the next, 4096 times
+finer, level.
 """
 
 from __future__ import annotations
@@ -13,16 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_ROWS = 1_000_000
 _STEPS = 4096
 
 
-def largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
-    """Row count of the largest group: one key-only aggregate, one number to the driver."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
 def _mantissa(value: Column) -> tuple[Column, Column]:
     """Binary exponent and fraction in [0,1) of the magnitude (0 for 0)."""
     magnitude = F.abs(value)
@@ -31,7 +25,7 @@ def _mantissa(value: Column) -> tuple[Column, Column]:
     return exponent, fraction
 
 
-def _coarse(value: Column) -> Column:
+def coarse_bucket(value: Column) -> Column:
     """Order-preserving bucket: sign, exponent and the leading 12 bits of the fraction."""
     exponent, fraction = _mantissa(value)
     magnitude = (exponent + 1100).cast("bigint") * _STEPS + F.floor(fraction * _STEPS)
@@ -66,24 +60,30 @@ def _narrow(rows: DataFrame, ranks: DataFrame, keys: list[str], bucket: Column)
     return kept, located.drop("bucket")
 
 
-def _narrowed_quantile(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """Linear-interpolation quantile through two narrowing levels."""
+def narrowed_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]
+) -> DataFrame:
+    """``(keys, quantiles)``: the linear-interpolation quantiles of each key, in the order of ``shares``.
+
+    Two narrowing levels find all wanted ranks together. A key without a value has no row.
+    """
+    keys, last = list(keys), 2 * len(shares) - 1
     marked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     distinct = marked.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("weight"))
-    position = F.lit(float(p)) * (F.col("n") - 1)
+    position = [F.lit(float(p)) * (F.col("n") - 1) for p in shares]
     totals = distinct.groupBy(*keys).agg(F.sum("weight").alias("n"))
     ranks = totals.select(
         *keys,
         F.explode(
             F.array(
-                F.struct(F.lit(0).alias("want"), F.floor(position).alias("rank")),
-                F.struct(F.lit(1).alias("want"), F.ceil(position).alias("rank")),
+                *[F.struct(F.lit(2 * i).alias("want"), F.floor(x).alias("rank")) for i, x in enumerate(position)],
+                *[F.struct(F.lit(2 * i + 1).alias("want"), F.ceil(x).alias("rank")) for i, x in enumerate(position)],
             )
         ).alias("w"),
     ).select(*keys, "w.want", "w.rank")
-    rows = distinct.withColumn("want", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = distinct.withColumn("want", F.explode(F.sequence(F.lit(0), F.lit(last))))
     wanted = ranks
-    for bucket in (_coarse(F.col("v")), _fine(F.col("v"))):
+    for bucket in (coarse_bucket(F.col("v")), _fine(F.col("v"))):
         rows, wanted = _narrow(rows, wanted, keys, bucket)
     group = [*keys, "want"]
     upto = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,35 +93,26 @@ def _narrowed_quantile(df: DataFrame, keys: list[str], value: str, p: float) ->
         .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("weight")))
     )
     ends = picked.groupBy(*keys).agg(
-        F.max(F.when(F.col("want") == 0, F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("want") == 1, F.col("v"))).alias("hi"),
+        *[F.max(F.when(F.col("want") == w, F.col("v"))).alias(f"e{w}") for w in range(last + 1)]
     )
     named = ends.join(totals, keys) if keys else ends.withColumn("n", totals.scalar())
-    share = position - F.floor(position)
-    return named.select(
-        *keys, (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("quantile")
-    )
+    between = [
+        F.col(f"e{2 * i}") + (F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}")) * (x - F.floor(x))
+        for i, x in enumerate(position)
+    ]
+    return named.select(*keys, F.array(*between).alias("quantiles"))
 
 
-def exact_quantile(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    p: float = 0.5,
-    alias: str = "quantile",
-    group_rows: int = GROUP_ROWS,
-    also: Sequence[Column] = (),
+def grouped_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, p: float, alias: str, also: Sequence[Column] = ()
 ) -> DataFrame:
-    """Linear-interpolation quantile of ``value`` per key, next to the aggregates in ``also``.
+    """Quantile of ``value`` per key, next to the aggregates in ``also``; NULL for a key without a value.
 
-    A group without a value gets NULL.
+    For keys whose groups are small by their meaning; see ``narrowed_quantiles`` for others.
     """
-    keys = list(keys)
-    if largest_group(df, keys, value) <= group_rows:
-        built_in = F.percentile(F.col(value), F.lit(float(p)))
-        return df.groupBy(*keys).agg(built_in.alias(alias), *also)
-    narrowed = _narrowed_quantile(df, keys, value, p).withColumnRenamed("quantile", alias)
-    if not keys:
-        return df.agg(F.count(value).alias("_n"), *also).withColumn(alias, narrowed.scalar()).drop("_n")
-    every = df.groupBy(*keys).agg(F.count(value).alias("_n"), *also).drop("_n")
-    return every.join(narrowed, keys, "left")
+    return df.groupBy(*keys).agg(F.percentile(F.col(value), F.lit(float(p))).alias(alias), *also)
+
+
+def column_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row with the array ``quantiles`` of the whole column; no row without a value."""
+    return narrowed_quantiles(df, [], value, shares)

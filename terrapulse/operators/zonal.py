@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The named rankings (metric, ascending).
@@ -58,6 +58,16 @@ def rank_zones(
     return stats.where(F.col(metric).isNotNull()).orderBy(order, F.col(zone)).limit(limit)
 
 
+def rank_zones_within(
+    stats: DataFrame, within: str, metric: str, zone: str, ascending: bool = False, limit: int = 10
+) -> DataFrame:
+    """The top zones of each ``within`` (a year), with their ``rank``; zones of one year are one group."""
+    order = F.col(metric).asc() if ascending else F.col(metric).desc()
+    place = F.row_number().over(Window.partitionBy(within).orderBy(order, F.col(zone)))
+    ranked = stats.where(F.col(metric).isNotNull()).withColumn("rank", place)
+    return ranked.where(F.col("rank") <= limit)
+
+
 def named_ranking(stats: DataFrame, name: str, zone: str, limit: int = 10) -> DataFrame:
     metric, ascending = RANKINGS[name]
     return rank_zones(stats, metric, zone, ascending, limit)

@@ -22,7 +22,7 @@ from terrapulse.operators.spatial import (
     within_pairs,
 )
 from terrapulse.operators.unnest import unnest
-from terrapulse.session import checkpointed, spread
+from terrapulse.session import checkpointed
 
 # Search rings per layer, in hexagons of the join grain.
 DISK_K = {"fibre": 6, "energie": 12}
@@ -66,7 +66,7 @@ def stage_polygons(df: DataFrame) -> DataFrame:
 
     Everything downstream reads the staged table, so outlines are parsed once.
     """
-    valid = spread(df).where(G.is_valid("ring")).withColumn("geom", G.ring_edges("ring"))
+    valid = df.where(G.is_valid("ring")).withColumn("geom", G.ring_edges("ring"))
     measured = valid.drop("ring").withColumns(
         {"surface_m2": G.area("geom"), "_c": G.center("geom")}
     )
@@ -254,8 +254,9 @@ def run(layers: Layers, step: float = 1.0) -> Funnel:
     """The whole funnel; each filter reads only the survivors of the one before."""
     parcels = stage_polygons(layers.parcelles)
     buildings = stage_polygons(layers.batiments)
-    pairs = building_pairs(parcels, buildings, ["usage", "sous_type"])
-    base = free_surface(parcels, pairs)
+    # The overlay is the dearest step and both tables feed several steps and the audit.
+    pairs = checkpointed(building_pairs(parcels, buildings, ["usage", "sous_type"]))
+    base = checkpointed(free_surface(parcels, pairs))
     gate = S.land_gate(F.col("count_resid"), F.col("count_immeuble"), F.col("surface_libre_m2"))
     f1 = checkpointed(
         base.where(gate).withColumn("score_foncier", S.land_score(F.col("surface_libre_m2")))

@@ -23,16 +23,15 @@ from terrapulse.session import checkpointed
 
 # Output columns, absent ones NULL, and the buffers of the sensitivity table.
 OUTPUT = (
-    "id_bati", "usage_1", "usage_2", "surface_bati_m2", "hauteur", "nb_etab_actifs", "liste_siret",
+    "id_bati", "usage_1", "usage_2", "surface_bati_m2", "hauteur", "nb_etab_actifs",
     "statut_occupation", "code_insee", "commune", "nature", "geom",
 )
 BUFFERS_M = (15.0, 25.0, 50.0, 100.0)
-LIST_ROWS = 10_000
 
 
 @dataclass
 class VacancyProducts:
-    """``attachments`` holds every (building, establishment) pair, however many there are."""
+    """``attachments`` is the list of establishments: one row per building and establishment."""
 
     result: DataFrame
     attachments: DataFrame
@@ -67,26 +66,10 @@ def attach(buildings: DataFrame, points: DataFrame, buffer_m: float) -> DataFram
 
 
 def count_establishments(buildings: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Adds ``nb_etab_actifs`` and the sorted, comma-joined ``liste_siret``.
-
-    A list is written for buildings with at most ``LIST_ROWS`` establishments; a busier one keeps
-    its full list in ``attachments`` and gets NULL here, so no task ever holds an unbounded list.
-    """
+    """Adds ``nb_etab_actifs``; the establishments themselves are the rows of ``attachments``."""
     counts = attachments.groupBy("id_bati").agg(F.count(F.lit(1)).alias("nb_etab_actifs"))
-    small = counts.where(F.col("nb_etab_actifs") <= LIST_ROWS).select("id_bati")
-    lists = (
-        attachments.join(small, "id_bati", "left_semi")
-        .groupBy("id_bati")
-        .agg(F.array_join(F.array_sort(F.collect_list("siret")), ",").alias("liste_siret"))
-    )
-    joined = buildings.join(counts, "id_bati", "left").join(lists, "id_bati", "left")
-    none = F.col("nb_etab_actifs").isNull()
-    return joined.withColumns(
-        {
-            "liste_siret": F.when(none, F.lit("")).otherwise(F.col("liste_siret")),
-            "nb_etab_actifs": F.coalesce("nb_etab_actifs", F.lit(0).cast("bigint")),
-        }
-    )
+    joined = buildings.join(counts, "id_bati", "left")
+    return joined.withColumn("nb_etab_actifs", F.coalesce("nb_etab_actifs", F.lit(0).cast("bigint")))
 
 
 def build_result(counted: DataFrame, code_insee: str = "", commune: str = "") -> DataFrame:

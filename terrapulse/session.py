@@ -32,10 +32,15 @@ _PRIVATE_ROOTS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a private one where the setting is missing (tests)."""
+    """The shared folder the cluster names; without the setting a private one, in local mode only.
+
+    A folder of one machine loses rows on a cluster, so there its absence is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE_ROOTS:
         _PRIVATE_ROOTS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -51,12 +56,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input with fewer splits than cores one task per core; others stay as they are.
-
-    Geometry costs far more per row than its bytes suggest, and a small file is a single split.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapulse.functions.text import find_column
@@ -116,7 +116,10 @@ def adapt_all(sources: Mapping[str, DataFrame], dept: str, commune: str) -> dict
 
 
 def stack_layers(layers: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
-    """Layers under one another with a ``kind`` label; a missing column is NULL."""
+    """Layers under one another with a ``kind`` label; a missing column is NULL, and without a layer there is no row."""
+    if not layers:
+        session = SparkSession.active()
+        return session.createDataFrame([], ", ".join(f"{c} string" for c in ("kind", *columns)))
     present = [
         df.select(F.lit(kind).alias("kind"), *[c for c in columns if c in df.columns])
         for kind, df in layers.items()

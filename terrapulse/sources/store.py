@@ -8,10 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrapulse.functions.geometry import EDGES_TYPE
+
 # Registry and product tables, with the columns that name a partition.
 TABLES = {
     "aoi": (
-        "label string, kind string, geom binary, bbox_wgs84 array<double>, created_at timestamp, "
+        "label string, kind string, geom edges, bbox_wgs84 array<double>, created_at timestamp, "
         "aoi_id string",
         ["aoi_id"],
     ),
@@ -22,7 +24,7 @@ TABLES = {
     ),
     "vegetation_zone_stats": (
         "insee string, nom string, mean_sen_slope double, pct_greening double, pct_browning double, "
-        "mean_anomaly double, min_vci double, geom binary, aoi_id string, y0 int, y1 int",
+        "mean_anomaly double, min_vci double, geom edges, aoi_id string, y0 int, y1 int",
         ["aoi_id", "y0", "y1"],
     ),
     "vegetation_timeline": (
@@ -37,17 +39,17 @@ TABLES = {
     "site_parcels": (
         "id_parcelle string, insee string, score_foncier double, score_nuisances double, "
         "score_fibre double, score_energie double, score_environnement double, score_total double, "
-        "classe string, h3_res8 string, geom binary, aoi_id string",
+        "classe string, h3_res8 string, geom edges, aoi_id string",
         ["aoi_id"],
     ),
     "site_heatmap": (
-        "h3_res8 string, count_eligibles int, count_premium int, avg_score double, geom binary, "
+        "h3_res8 string, count_eligibles int, count_premium int, avg_score double, geom edges, "
         "aoi_id string",
         ["aoi_id"],
     ),
     "vacancy_buildings": (
         "id_bati string, usage_1 string, surface_bati_m2 double, nb_etab_actifs int, "
-        "statut_occupation string, geom binary, aoi_id string",
+        "statut_occupation string, geom edges, aoi_id string",
         ["aoi_id"],
     ),
 }
@@ -57,6 +59,7 @@ LOADABLE = ("geojson", "tif", "tiff", "gpkg", "parquet")
 def apply_schema(spark: SparkSession) -> None:
     """Create the tables that do not exist yet, partitioned by area, in the current database."""
     for name, (columns, partitions) in TABLES.items():
+        columns = columns.replace("geom edges", f"geom {EDGES_TYPE}")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
             f"PARTITIONED BY ({', '.join(partitions)})"
@@ -122,10 +125,30 @@ def stage(df: DataFrame, path: str, force: bool = False) -> DataFrame:
 
 
 def write_embeddings(df: DataFrame, root: str, version: str) -> DataFrame:
-    """Embeddings partitioned by area and year, and their provenance rows."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "aoi_id", "year"
-    ).parquet(f"{root}/embeddings", compression="zstd")
+    """Write the areas and years in ``df`` and append their provenance to ``{root}/embedding_runs``.
+
+    Partitions that ``df`` has rows of are replaced; to empty one, use ``clear_embeddings``. The
+    provenance is counted over the partitions as written, so the input is computed once.
+    """
+    keys = ["aoi_id", "year"]
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(
+        f"{root}/embeddings", compression="zstd"
+    )
+    spark, written = df.sparkSession, df.select(*keys).distinct()
+    stored = spark.read.parquet(f"{root}/embeddings").join(written, keys, "left_semi")
+    runs = _provenance(stored, version)
+    runs.write.mode("append").parquet(f"{root}/embedding_runs", compression="zstd")
+    return runs
+
+
+def clear_embeddings(spark: SparkSession, root: str, aoi_id: str, year: int) -> None:
+    """Leave one area and year without rows, also where a run has found nothing for it."""
+    whole = spark.read.parquet(f"{root}/embeddings")
+    empty = whole.where(F.lit(False)).drop("aoi_id", "year")
+    empty.write.mode("overwrite").parquet(f"{root}/embeddings/aoi_id={aoi_id}/year={year}")
+
+
+def _provenance(df: DataFrame, version: str) -> DataFrame:
     return df.groupBy("aoi_id", "year").agg(
         F.count(F.lit(1)).alias("n_pixels"),
         F.array(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).alias("bbox_wgs84"),
@@ -205,12 +228,12 @@ def export_layers(layers: Mapping[str, DataFrame], folder: str) -> dict[str, str
 
 
 def extract_region(
-    source: DataFrame, communes: DataFrame, path: str, source_geom: str = "geom"
+    source: DataFrame, communes: DataFrame, path: str, key: str, source_geom: str = "geom"
 ) -> DataFrame:
-    """Features meeting any commune of the region, written once."""
+    """Features meeting any commune of the region, written once; ``key`` identifies a feature."""
     from terrapulse.operators.spatial import intersecting_pairs
 
-    keyed = source.withColumn("_fid", F.xxhash64(F.to_json(F.struct(source_geom))))
+    keyed = source.withColumn("_fid", F.col(key))
     zones = communes.select(F.col("geom").alias("_zone"))
     met = intersecting_pairs(keyed.select("_fid", source_geom), zones, source_geom, "_zone", 5_000.0)
     kept = keyed.join(met.select("_fid").distinct(), "_fid", "left_semi").drop("_fid")

@@ -84,9 +84,10 @@ def read_points_csv(
 def read_protected_woods(spark: SparkSession, path: str, aoi: Box | None = None) -> DataFrame:
     """Wooded protection zones (type 01) as ``(id_ebc, geom)``.
 
-    The identifier is the first known one; a zone without any gets one from its outline.
+    The identifier is the first known one; a zone without any gets one of its own, from its outline
+    and its place among the rows.
     """
     rows = read_geojson(spark, path, ["typepsc", "idpsc", "id", "gid"], aoi)
     woods = rows.where(F.col("typepsc") == "01")
-    made = F.concat(F.lit("EBC"), F.substring(F.md5(F.to_json(F.struct("geom"))), 1, 10))
+    made = F.concat(F.lit("EBC"), F.md5(F.to_json(F.struct("geom"))), F.lit("-"), F.monotonically_increasing_id())
     return woods.select(F.coalesce("idpsc", "id", "gid", made).alias("id_ebc"), "geom")

@@ -131,21 +131,22 @@ def pro_buildings(spark, sf):
 PRO = """SELECT * FROM buildings WHERE usage_1 IN ('Commercial et services', 'Industriel')
     OR coalesce(usage_2 = 'Industriel', false)"""
 COUNTED = f"""SELECT b.id_batiment AS id_bati, b.usage_1, b.commune, (maxx - minx) * (maxy - miny) AS area,
-    count(e.siret) AS nb, coalesce(string_agg(e.siret, ',' ORDER BY e.siret), '') AS liste
+    count(e.siret) AS nb
     FROM pro b LEFT JOIN establishments e ON {point_gap('b', 'e')} <= 15 GROUP BY ALL"""
+LISTED = f"""SELECT DISTINCT b.id_batiment AS id_bati, e.siret FROM pro b JOIN establishments e
+    ON {point_gap('b', 'e')} <= 15"""
 
 
 @query(
     "jn07_establishments_in_buffer",
-    with_("buildings", "establishments", pro=PRO, c=COUNTED)
-    + "SELECT id_bati, nb AS nb_etab_actifs, liste AS liste_siret FROM c",
+    with_("buildings", "establishments", pro=PRO, c=COUNTED, l=LISTED)
+    + "SELECT c.id_bati, nb AS nb_etab_actifs, siret FROM c LEFT JOIN l ON l.id_bati = c.id_bati",
 )
 def establishments_in_buffer(spark, sf):
     buildings = pro_buildings(spark, sf)
     attached = VA.attach(buildings, D.establishments(spark, sf), 15.0)
-    return VA.count_establishments(buildings, attached).select(
-        "id_bati", "nb_etab_actifs", "liste_siret"
-    )
+    counted = VA.count_establishments(buildings, attached).select("id_bati", "nb_etab_actifs")
+    return counted.join(attached, "id_bati", "left").select("id_bati", "nb_etab_actifs", "siret")
 
 
 @query(
@@ -654,13 +655,14 @@ def vacancy(spark, sf):
 
 @query(
     "job04_vacant_buildings",
-    with_("buildings", "establishments", **VACANCY)
-    + """SELECT id_bati, usage_1, round_even(area, 1) AS surface_bati_m2, nb AS nb_etab_actifs,
-        liste AS liste_siret, statut AS statut_occupation FROM v""",
+    with_("buildings", "establishments", **VACANCY, l=LISTED)
+    + """SELECT v.id_bati, usage_1, round_even(area, 1) AS surface_bati_m2, nb AS nb_etab_actifs,
+        siret, statut AS statut_occupation FROM v LEFT JOIN l ON l.id_bati = v.id_bati""",
 )
 def vacant_buildings(spark, sf):
-    return vacancy(spark, sf).result.select(
-        "id_bati", "usage_1", "surface_bati_m2", "nb_etab_actifs", "liste_siret", "statut_occupation"
+    run = vacancy(spark, sf)
+    return run.result.join(run.attachments, "id_bati", "left").select(
+        "id_bati", "usage_1", "surface_bati_m2", "nb_etab_actifs", "siret", "statut_occupation"
     )
 
 
@@ -685,11 +687,11 @@ def vacancy_summary(spark, sf):
     )
     + """SELECT buffer_m, count(*) FILTER (WHERE d > buffer_m) AS nb_candidats,
         round(100.0::DOUBLE * count(*) FILTER (WHERE d > buffer_m) / count(*), 1) AS taux_pct,
-        count(*) FILTER (WHERE d > buffer_m AND area >= 100) AS nb_candidats_200m2 FROM m, bf GROUP BY 1""",
+        count(*) FILTER (WHERE d > buffer_m AND area >= 200) AS nb_candidats_200m2 FROM m, bf GROUP BY 1""",
 )
 def buffer_sensitivity(spark, sf):
     distances = VA.nearest_distance(pro_buildings(spark, sf), D.establishments(spark, sf), 100.0)
-    return VA.buffer_sensitivity(distances, large_m2=100.0)
+    return VA.buffer_sensitivity(distances)
 
 
 @query(

@@ -10,7 +10,7 @@ from terrapulse.functions import scoring as S
 from terrapulse.functions import text as T
 from terrapulse.operators import activity as A
 from terrapulse.operators import change as CH
-from terrapulse.operators.quantiles import exact_quantile
+from terrapulse.operators.quantiles import column_quantiles
 from terrapulse.sources import establishments as ES
 from terrapulse.sources import layers as L
 from terrapulse.sources import store as ST
@@ -395,8 +395,8 @@ def percentile_score(spark, sf):
 def score_quartiles(spark, sf):
     scores = totals(spark, sf).select("score_total")
     named = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    found = [exact_quantile(scores, [], "score_total", p, n).scalar() for n, p in named.items()]
-    return spark.range(1).select(*[r(c).alias(n) for n, c in zip(named, found)])
+    found = column_quantiles(scores, "score_total", list(named.values()))
+    return found.select(*[r(F.col("quantiles")[i]).alias(n) for i, n in enumerate(named)])
 
 
 @query(
@@ -784,29 +784,62 @@ def change_candidates(spark, sf):
     )
 
 
-def forest_model(spark, sf, trees=20, folds=2):
-    samples = D.read(spark, sf, "embeddings").withColumnRenamed("vec_id", "pixel_id")
-    return samples, CH.train_forest(samples, trees=trees, folds=folds)
+def forest_samples(spark, sf):
+    return D.read(spark, sf, "embeddings").withColumnRenamed("vec_id", "pixel_id")
 
 
-@query("ml01_forest_training")
+@query(
+    "ml01_forest_training",
+    """SELECT count(*) AS n_samples, count(DISTINCT label)::INT AS n_classes, 100 AS n_trees,
+        string_agg(DISTINCT label::VARCHAR, ',' ORDER BY label::VARCHAR) AS class_names FROM embeddings""",
+)
 def forest_training(spark, sf):
-    _, trained = forest_model(spark, sf)
-    return spark.createDataFrame(
-        [(trained.n_samples, len(trained.class_names))], "n_samples bigint, n_classes int"
+    samples = forest_samples(spark, sf)
+    trained = CH.train_forest(samples, folds=0)
+    return samples.agg(F.count(F.lit(1)).alias("n_samples")).select(
+        F.col("n_samples"),
+        F.lit(len(trained.class_names)).alias("n_classes"),
+        F.lit(trained.model.getNumTrees).alias("n_trees"),
+        F.lit(",".join(trained.class_names)).alias("class_names"),
     )
 
 
-@query("ml02_cross_validation")
+@query(
+    "ml02_cross_validation",
+    """SELECT label::VARCHAR AS label, (place % least(5, k))::INT AS fold, count(*) AS n,
+        true AS better_than_majority FROM (
+        SELECT label, row_number() OVER (PARTITION BY label) - 1 AS place, k FROM embeddings, (
+        SELECT min(n) AS k FROM (SELECT count(*) AS n FROM embeddings GROUP BY label))) GROUP BY ALL""",
+)
 def cross_validation(spark, sf):
-    _, trained = forest_model(spark, sf, folds=3)
-    return spark.createDataFrame([(trained.cv_accuracy,)], "cv_accuracy double")
+    samples = forest_samples(spark, sf)
+    trained = CH.train_forest(samples)
+    sizes = samples.groupBy("label").count()
+    row = sizes.agg(F.max("count") / F.sum("count"), F.min("count")).first()
+    folded = CH.stratified_fold(samples, "label", "pixel_id", min(5, row[1]))
+    better = F.lit(trained.cv_accuracy > row[0])
+    return folded.groupBy(F.col("label").cast("string").alias("label"), F.col("_fold").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.first(better).alias("better_than_majority")
+    )
 
 
-@query("ml03_classify_pixels")
+@query(
+    "ml03_classify_pixels",
+    """SELECT vec_id AS pixel_id, true AS known_class, true AS confidence_in_range, true AS mostly_right
+        FROM embeddings""",
+)
 def classify_pixels(spark, sf):
-    samples, trained = forest_model(spark, sf)
-    return CH.classify_pixels(trained, samples).select("pixel_id", "predicted_class", "confidence")
+    samples = forest_samples(spark, sf)
+    found = CH.classify_pixels(CH.train_forest(samples, folds=0), samples)
+    labels = samples.select(F.col("label").cast("string").alias("known")).distinct()
+    right = found.agg(F.avg((F.col("predicted_class") == F.col("label").cast("string")).cast("double"))).scalar()
+    joined = found.join(labels, F.col("predicted_class") == F.col("known"), "left")
+    return joined.select(
+        "pixel_id",
+        F.col("known").isNotNull().alias("known_class"),
+        F.col("confidence").between(0.0, 1.0).alias("confidence_in_range"),
+        (right > 0.9).alias("mostly_right"),
+    )
 
 
 @query(

@@ -401,32 +401,28 @@ def rank_zones(spark, sf):
     return rounded_stats(Z.rank_zones(zone_table(spark, sf), "mean_sen_slope", "zone"))
 
 
-DRY_YEAR = 2000
-
-
 @query(
     "tk02_driest_zones",
     with_(
         "drought", "pixel_zone", "zones",
-        px=f"""SELECT pixel_id, avg(anomaly) AS a, min(vci) AS m FROM drought
-        WHERE year(month) = {DRY_YEAR} GROUP BY 1""",
+        px="SELECT pixel_id, year(month)::INT AS year, avg(anomaly) AS a, min(vci) AS m FROM drought GROUP BY 1, 2",
+        zy="""SELECT k.zone, x.year, avg(x.a) AS a, min(x.m) AS m FROM px x JOIN pixel_zone k
+        ON k.pixel_id = x.pixel_id GROUP BY 1, 2""",
+        ranked="""SELECT *, row_number() OVER (PARTITION BY year ORDER BY a, zone)::INT AS rank FROM zy
+        WHERE a IS NOT NULL""",
     )
-    + ZONED.format(
-        "round(s.a, 6) + 0::DOUBLE AS mean_anomaly, round(s.m, 6) + 0::DOUBLE AS min_vci",
-        "avg(x.a) AS a, min(x.m) AS m",
-        "px",
-    )
-    + " WHERE s.a IS NOT NULL ORDER BY s.a, z.zone LIMIT 5",
+    + """SELECT r.year, r.rank, z.zone, z.nom, round(r.a, 6) + 0::DOUBLE AS mean_anomaly,
+        round(r.m, 6) + 0::DOUBLE AS min_vci FROM ranked r JOIN zones z ON z.zone = r.zone WHERE r.rank <= 5""",
 )
 def driest_zones(spark, sf):
-    year = SE.drought(monthly(spark, sf)).where(F.year("month") == DRY_YEAR)
-    stats = Z.zonal(
-        SE.drought_per_pixel(year), D.pixel_zones(spark, sf), D.zones(spark, sf), "zone",
-        mean_anomaly=F.avg("mean_anomaly"), min_vci=F.min("min_vci"),
-    )
-    top = Z.named_ranking(stats, "driest", "zone", 5)
-    return top.select(
-        "zone", "nom", r("mean_anomaly").alias("mean_anomaly"), r("min_vci").alias("min_vci")
+    """The five driest zones of every year: over all years the mean of a z-score is zero by construction."""
+    yearly = SE.drought(monthly(spark, sf)).groupBy("pixel_id", F.year("month").alias("year"))
+    pixels = yearly.agg(F.avg("anomaly").alias("a"), F.min("vci").alias("m"))
+    zoned = pixels.join(D.pixel_zones(spark, sf), "pixel_id").groupBy("year", "zone")
+    stats = zoned.agg(F.avg("a").alias("mean_anomaly"), F.min("m").alias("min_vci"))
+    top = Z.rank_zones_within(stats, "year", "mean_anomaly", "zone", ascending=True, limit=5)
+    return top.join(D.zones(spark, sf), "zone").select(
+        "year", "rank", "zone", "nom", r("mean_anomaly").alias("mean_anomaly"), r("min_vci").alias("min_vci")
     )
 
 

@@ -132,14 +132,15 @@ def overlap_area(spark, sf):
     "geo09_distance_to_built_set",
     with_("parcels", "buildings")
     + f"""SELECT p.id_parcelle, round(min({gap('p', 'b')}), 6) AS d
-        FROM parcels p JOIN buildings b ON {gap('p', 'b')} <= 60 GROUP BY 1""",
+        FROM parcels p, buildings b GROUP BY 1""",
 )
 def distance_to_built(spark, sf):
     left = D.parcels(spark, sf).select("id_parcelle", "geom")
     right = D.buildings(spark, sf).select("id_batiment", F.col("geom").alias("bgeom"))
     d = G.distance("geom", "bgeom")
-    pairs = SP.within_pairs(left, right, SP.geom_box("geom"), SP.geom_box("bgeom"), d, 60.0)
-    best = SP.best_pair(pairs, "id_parcelle", "id_batiment", [])
+    best = SP.nearest(
+        left, right, SP.geom_box("geom"), SP.geom_box("bgeom"), d, "id_parcelle", "id_batiment", 20.0
+    )
     return best.select("id_parcelle", r("d").alias("d"))
 
 

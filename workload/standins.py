@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
-from terrapulse.session import checkpointed, spread
+from terrapulse.session import checkpointed
 
 
 _LAYERS: dict[tuple, DataFrame] = {}
@@ -46,7 +46,8 @@ def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def _boxed(df: DataFrame, x: Column, y: Column, w: Column, h: Column, offset: float) -> DataFrame:
-    placed = spread(df).withColumns({"minx": x + F.lit(offset), "miny": y + F.lit(offset)})
+    # A small table is one split, and geometry costs far more per row than its bytes suggest.
+    placed = df.repartition(df.sparkSession.sparkContext.defaultParallelism).withColumns({"minx": x + F.lit(offset), "miny": y + F.lit(offset)})
     placed = placed.withColumns({"maxx": F.col("minx") + w, "maxy": F.col("miny") + h})
     corners = [F.col(c) for c in ("minx", "miny", "maxx", "maxy")]
     return placed.withColumns({"ring": box_ring(*corners), "geom": G.box_edges("minx", "miny", "maxx", "maxy")})
@@ -54,7 +55,7 @@ def _boxed(df: DataFrame, x: Column, y: Column, w: Column, h: Column, offset: fl
 
 def observations(spark: SparkSession, sf: str, key: str = "l_suppkey") -> DataFrame:
     """Pixel observations: series key, time, value, two bands and a scene class."""
-    return spread(read(spark, sf, "lineitem")).select(
+    return read(spark, sf, "lineitem").select(
         F.col(key).alias("pixel_id"),
         F.col("l_shipdate").alias("ts"),
         F.col("l_extendedprice").alias("v"),
