@@ -251,9 +251,18 @@ def test_vacancy_fixture(spark):
     rows = rows.withColumn("usage_1", usage).drop("ring")
     siret = spark.createDataFrame([("111", 900025.0, 6500010.0), ("111", 900025.0, 6500010.0), ("222", 900300.0, 6500000.0)], "siret string, px double, py double")
     run = VA.run(rows, siret, 15.0)
-    got = {r.id_bati: (r.nb_etab_actifs, r.liste_siret, r.statut_occupation) for r in run.result.collect()}
-    assert got == {"b-900000": (1, "111", "OCCUPE"), "b-900500": (0, "", "VACANT_CANDIDAT")}
+    got = {r.id_bati: (r.nb_etab_actifs, r.statut_occupation) for r in run.result.collect()}
+    assert got == {"b-900000": (1, "OCCUPE"), "b-900500": (0, "VACANT_CANDIDAT")}
+    assert [tuple(r) for r in run.attachments.collect()] == [("b-900000", "111")]
     s = run.summary.first()
     assert (s.nb_batiments_pro, s.nb_candidats_vacants, s.taux_apparent_pct, s.surface_vacante_m2) == (2, 1, 50.0, 400.0)
     mask = polygons(spark, {"m": box(899990, 6499990, 900050, 6500050)}).select("geom")
     assert [r.id_bati for r in VA.clip_by_point(rows, mask).collect()] == ["b-900000"]
+
+
+def test_a_busy_building_keeps_all_its_establishments(spark):
+    building = polygons(spark, {"b": box(900000, 6500000, 900020, 6500020)}, "id_bati").withColumn("usage_1", F.lit("Industriel")).drop("ring")
+    points = spark.range(10_001).select(F.col("id").cast("string").alias("siret"), F.lit(900010.0).alias("px"), F.lit(6500010.0).alias("py"))
+    run = VA.run(building, points, 15.0)
+    assert run.result.first().nb_etab_actifs == 10_001
+    assert run.attachments.select("siret").distinct().count() == 10_001

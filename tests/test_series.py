@@ -142,11 +142,14 @@ def test_exact_quantile_narrowing_with_a_hot_group(spark, p):
     rows = [("hot", rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-6), rng.gauss(0, 1e6), 0.0])) for _ in range(4000)]
     rows += [("one", 5.0), ("two", -1.0), ("two", 1.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r.k: r.quantile for r in Q.exact_quantile(df, ["k"], "v", p, group_rows=10).collect()}
+    got = {r.k: r.quantiles[0] for r in Q.narrowed_quantiles(df, ["k"], "v", [p]).collect()}
     expected = np.quantile([v for k, v in rows if k == "hot"], p)
     assert math.isclose(got["hot"], expected, rel_tol=1e-12, abs_tol=1e-15)
-    assert got["one"] == 5.0 and math.isclose(got["two"], -1 + 2 * p) and got["none"] is None
-    whole = Q.exact_quantile(df, [], "v", p, group_rows=10).first().quantile
+    assert got["one"] == 5.0 and math.isclose(got["two"], -1 + 2 * p) and "none" not in got
+    grouped = {r.k: r.q for r in Q.grouped_quantile(df, ["k"], "v", p, "q").collect()}
+    assert math.isclose(grouped["hot"], expected, rel_tol=1e-12, abs_tol=1e-15) and grouped["none"] is None
+    low, whole, high = Q.column_quantiles(df, "v", [0.0, p, 1.0]).first().quantiles
+    assert low == min(v for _, v in rows if v is not None) and high == max(v for _, v in rows if v is not None)
     assert math.isclose(whole, np.quantile([v for _, v in rows if v is not None], p), rel_tol=1e-12, abs_tol=1e-15)
 
 
