@@ -244,18 +244,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     return Model(letters, weights.astype("f4"), bias)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_toxicity``: the score of each row's whole text, a null text as the empty one."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.letters, model.weights, model.bias))
+def scorer(spark: SparkSession, model: Model):
+    """A column function: the score of a whole text, a null text as the empty one."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast((model.letters, model.weights, model.bias))
 
     @F.arrow_udf("double")
-    def score(texts_: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
-        for batch in texts_:
+        for batch in batches:
             yield pa.array([own.score(t or "") for t in batch.to_pylist()], pa.float64())
 
-    return docs.withColumn("_toxicity", score("text"))
+    return score
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -266,9 +266,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows; with no labels, or one class only, every score is the base rate; an empty table gives no rows; other columns
     are ignored.
     """
-    rows = scored(texts(docs), fit(docs, labels))
-    predicted = (F.col("_toxicity") >= 0.5).cast("int").alias("predicted")
-    return rows.select("doc_id", is_held_out("doc_id").alias("held_out"), F.col("_toxicity").alias("score"), predicted)
+    score = scorer(docs.sparkSession, fit(docs, labels))
+    rows = texts(docs).select("doc_id", is_held_out("doc_id").alias("held_out"), score("text").alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 @query("op8_toxicity")
