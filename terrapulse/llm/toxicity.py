@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapulse.llm.common import query, ship, table, texts
+from terrapulse.llm.common import checkpointed, query, ship, table, texts
 
 # The letters that the character model tells apart; number 0 is everything that ends a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿß"
@@ -23,9 +22,9 @@ OTHER = SIZE - 1
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "¡": "i"}
 #: Log costs of the channel: a sign for a letter, a sign that means nothing, a letter drawn out or doubled.
 SIGN_COST, LOST_COST, STRETCH_COST, DOUBLE_COST = -0.7, -3.0, -0.5, -1.0
-#: The features of the linear model, and the labelled rows that it is fitted on at most (a bounded, documented sample:
-#: those with the smallest digests of their id).
-FEATURES, LABELLED_ROWS = 1 << 18, 12_000
+#: The labelled rows that the linear model is fitted on at most (a bounded, documented sample: those with the smallest
+#: digests of their id), and the log likelihood ratio that a feature needs.
+LABELLED_ROWS, EVIDENCE = 12_000, 9.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.escape("".join(SIGNS))
@@ -158,32 +157,26 @@ class Restorer:
         return out
 
 
-def features(word: str) -> tuple[int, int]:
+def features(word: str) -> tuple[str, str]:
     """A word and its beginning: inflected and compound forms share the latter."""
-    return zlib.crc32(word.encode()) % FEATURES, zlib.crc32(b"^" + word[:4].encode()) % FEATURES
+    return word, "^" + word[:4]
 
 
 @dataclass
 class Model:
     letters: np.ndarray
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
 
     def __post_init__(self):
-        self.known: dict[str, float] = {}
         self.restorer = Restorer(self.letters)
 
     def score(self, text: str) -> float:
-        words, known = self.restorer.words(text), self.known
-        if len(known) > 500_000:
-            known.clear()
-        total = self.bias
-        for word in words:
-            weight = known.get(word)
-            if weight is None:
-                one, other = features(word)
-                weight = known[word] = float(self.weights[one] + self.weights[other])
-            total += weight
+        weight, total = self.weights.get, self.bias
+        # In a fixed order, so that the sum doesn't depend on the process.
+        for word in sorted(self.restorer.words(text)):
+            one, other = features(word)
+            total += weight(one, 0.0) + weight(other, 0.0)
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
@@ -198,19 +191,19 @@ def telling(with_feature: np.ndarray, toxic_with: np.ndarray, rate: float, evide
     return (share > rate) & (ratio > evidence)
 
 
-def fit_weights(column: np.ndarray, sizes: np.ndarray, labels: np.ndarray, evidence: float = 9.0, penalty: float = 1e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression over the telling binary features (``sizes`` of them for each row, in ``column``), by gradient descent with adaptive steps and an L2 penalty.
+def fit_weights(found: list[list[str]], labels: np.ndarray, penalty: float = 1e-5, rounds: int = 400) -> tuple[dict[str, float], float]:
+    """Logistic regression over the telling binary features (those ``found`` in each row), by gradient descent with adaptive steps and an L2 penalty.
 
     Weights are not negative: clean words around an insult don't make up for it.
     """
-    weights, rate = np.zeros(FEATURES), (labels.sum() + 1) / (len(labels) + 2)
+    rate = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(rate / (1 - rate)))
-    if len(sizes) == 0 or labels.min() == labels.max():
-        return weights, bias
-    row = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
-    useful = telling(np.bincount(column, minlength=FEATURES), np.bincount(column, labels[row], FEATURES), rate, evidence)
-    row, column = row[useful[column]], column[useful[column]]
-    names, column = np.unique(column, return_inverse=True)
+    if len(labels) == 0 or labels.min() == labels.max():
+        return {}, bias
+    names = sorted({f for row in found for f in row})
+    number = {f: n for n, f in enumerate(names)}
+    row = np.repeat(np.arange(len(found), dtype="i4"), [len(f) for f in found])
+    column = np.array([number[f] for r in found for f in r], "i8")
     w, b, first, second = np.zeros(len(names)), bias, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, rounds + 1):
         z = np.bincount(row, w[column], len(labels)) + b
@@ -219,8 +212,7 @@ def fit_weights(column: np.ndarray, sizes: np.ndarray, labels: np.ndarray, evide
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         w, b = np.maximum(w - move[:-1], 0), b - move[-1]
-    weights[names] = w
-    return weights, float(b)
+    return {f: float(x) for f, x in zip(names, w, strict=True) if x > 0}, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model:
@@ -233,15 +225,22 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
         restorer = Restorer(letters)
         for batch in batches:
             found = [sorted({f for w in restorer.words(text) for f in features(w)}) for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.int32()))], names=["toxic", "found"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
 
     # At most ``labelled_rows`` ids, so the broadcast is bounded and texts are not moved.
     joined = texts(docs).join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text")
-    sample = joined.mapInArrow(work, "toxic int, found array<int>").toArrow()
-    found = sample["found"].combine_chunks()
-    column, sizes = found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
-    weights, bias = fit_weights(column, sizes, (sample["toxic"].to_numpy() > 0).astype("f4"))
-    return Model(letters, weights.astype("f4"), bias)
+    sample = checkpointed(joined.mapInArrow(work, "toxic int, found array<string>").withColumn("toxic", (F.col("toxic") > 0).cast("int")))
+    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rate = (toxic + 1) / (total + 2)
+    counts = sample.select("toxic", F.explode_outer("found").alias("feature")).where("feature is not null").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    # Others can't reach the evidence: a feature's ratio is largest if all its rows are toxic.
+    able = counts.where((F.col("n") * float(-np.log(rate)) > EVIDENCE) & (F.col("toxic") > F.col("n") * float(rate))).toArrow()
+    tells = telling(able["n"].to_numpy().astype("f8"), able["toxic"].to_numpy().astype("f8"), rate, EVIDENCE)
+    useful = {f for f, t in zip(able["feature"].to_pylist(), tells, strict=True) if t}
+    kept = F.array_intersect("found", F.array(*map(F.lit, sorted(useful)))) if useful else F.array().cast("array<string>")
+    rows = sample.select("toxic", kept.alias("found")).toArrow()
+    weights, bias = fit_weights(rows["found"].to_pylist(), rows["toxic"].to_numpy().astype("f8"))
+    return Model(letters, weights, bias)
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrapulse.llm.toxicity import _code, codes, decode, language_model, lattice, restore, score_documents, trigram_counts
+from terrapulse.llm.toxicity import _code, codes, decode, fit, language_model, lattice, restore, score_documents, trigram_counts
 
 WORDS = "the garden was quiet idiot and moron stood there while rain fell over green fields stupid loser noodle feed all letters".split()
 
@@ -108,3 +108,14 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert score_documents(docs, none).first().score == 0.5
     assert score_documents(docs.limit(0), none).count() == 0
+
+
+def test_unseen_words_have_no_weight(spark):
+    out, labels = rows()
+    docs = spark.createDataFrame(out, "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    base = model.score("")
+    rng = random.Random(7)
+    long = " ".join("zq" + "".join(rng.choice("bcdfghklmnprstvw") for _ in range(rng.randint(6, 10))) for _ in range(20_000))
+    assert base < 0.5 and model.score(long) == base
+    assert model.score(long + " stupid moron") > 0.5
