@@ -22,22 +22,24 @@ OTHER = SIZE - 1
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "¡": "i"}
 #: Log costs of the channel: a sign for a letter, a sign that means nothing, a letter drawn out or doubled.
 SIGN_COST, LOST_COST, STRETCH_COST, DOUBLE_COST = -0.7, -3.0, -0.5, -1.0
+#: The log cost of a word end in a spaced-out phrase.
+SPLIT_COST = -2.0
 #: The labelled rows that the linear model is fitted on at most (a bounded, documented sample: those with the smallest
 #: digests of their id), and the log likelihood ratio that a feature needs.
 LABELLED_ROWS, EVIDENCE = 12_000, 9.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.escape("".join(SIGNS))
-#: A letter with a sign before another letter, single letters with marks between, a letter three times: id1ot, i-d-i-o-t, idiooot.
-_NOISY = re.compile(
-    rf"(?<![^\s,;(])[^\W\d_]?[{_SIGN}]?[^\W\d_]+[{_SIGN}]+[^\W\d_]+(?:[{_SIGN}]+[^\W\d_]+)*[{_SIGN}]*(?![^\s.,;:)?])"
-    r"|(?<![\w*])[^\W\d_](?:[.*_-][^\W\d_]){3,}(?![\w*])"
-    r"|(?<!\w)[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*(?!\w)"
-)
-#: Single letters with spaces between: i d i o t.
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?![^\s.,;:!?)])")
-#: Longer tokens are keys or digests and not words.
-LONGEST = 40
+#: Letters and signs without a break, whatever stands around them: id1ot, $tupid, "l0ser/, idiooot.
+_RUN = re.compile(rf"(?:[^\W\d_]|[{_SIGN}])+")
+_LETTER = re.compile(r"[^\W\d_]")
+_DISGUISED = re.compile(rf"[{_SIGN}]|([^\W\d_])\1\1")
+#: Single letters (or signs for them) with marks between: i-d-i-o-t.
+_MARKED = re.compile(rf"(?<!\w)(?:[^\W\d_]|[{_SIGN}])(?:[.*_-](?:[^\W\d_]|[{_SIGN}])){{3,}}(?!\w)")
+#: The same with spaces between, of one or several words: i d i o t.
+_SPACED = re.compile(rf"(?<![\w'’])(?:[^\W\d_]|[{_SIGN}])(?: (?:[^\W\d_]|[{_SIGN}])){{3,}}(?!\w)")
+#: A search with this many undecided characters goes on from the best of its states: the memory of a token is bounded.
+UNDECIDED = 4096
 
 _CODES = np.zeros(0x250, "u1")
 for _number, _letter in enumerate(LETTERS, 1):
@@ -91,16 +93,21 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of equal characters what it may stand for, with the channel's log cost."""
-    out = []
-    for char, run in groupby(token.lower()):
+    out, at, token = [], 0, token.lower()
+    for char, run in groupby(token):
         n = len(list(run))
         if char.isalpha():
             choices = {1: [(char, 0.0)], 2: [(2 * char, 0.0), (char, DOUBLE_COST)]}.get(n, [(char, STRETCH_COST), (2 * char, STRETCH_COST)])
         elif char in SIGNS:
-            choices = [(letter * k, SIGN_COST * k) for letter in SIGNS[char] for k in range(1, min(n, 2) + 1)] + [("", LOST_COST)]
+            choices = [(letter * k, SIGN_COST * k) for letter in SIGNS[char] for k in range(1, min(n, 2) + 1)]
+            # At the end of a word an exclamation mark is one.
+            choices.append(("", 0.0 if char == "!" and at + n == len(token) else LOST_COST))
+        elif char == " ":
+            choices = [("", 0.0), (" ", SPLIT_COST)]
         else:
             choices = [("", 0.0)]
         out.append(choices)
+        at += n
     return out
 
 
@@ -110,42 +117,78 @@ def _code(letter: str) -> int:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token: Viterbi search of its lattice, the state being the last two letters."""
-    states = {(0, 0): (0.0, "")}
+    """The likeliest words behind a token: Viterbi search of its lattice, the state being the last two letters.
+
+    What all states have in common is put out as soon as one is left, so the work is linear in the token's length.
+    """
+    done, states, undecided = [], {(0, 0): (0.0, None)}, 0
+
+    def spelled(path) -> str:
+        parts = []
+        while path is not None:
+            path, letters = path
+            parts.append(letters)
+        return "".join(reversed(parts))
+
     for choices in lattice(token):
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for letters, cost in choices:
                 x, y, total = a, b, score + cost
                 for letter in letters:
                     c = _code(letter)
                     total += float(model[x, y, c])
                     x, y = y, c
-                if (x, y) not in reached or (total, text + letters) > reached[x, y]:
-                    reached[x, y] = (total, text + letters)
+                if (x, y) not in reached or total > reached[x, y][0]:
+                    reached[x, y] = (total, (path, letters) if letters else path)
+        undecided += 1
+        if undecided > UNDECIDED:
+            best = max(reached, key=lambda s: reached[s][0])
+            reached = {best: reached[best]}
+        if len(reached) == 1:
+            (state, (score, path)), undecided = next(iter(reached.items())), 0
+            done.append(spelled(path))
+            reached = {state: (score, None)}
         states = reached
-    ended = ((score + float(model[a, b, 0]), text) for (a, b), (score, text) in states.items())
-    return max(ended)[1]
+    best = max(states, key=lambda s: states[s][0] + float(model[(*s, 0)]))
+    return "".join(done) + spelled(states[best][1])
+
+
+def _decoded(model: np.ndarray):
+    return lambda m: decode(m[0], model) if _LETTER.search(m[0]) else m[0]
 
 
 def restore_token(token: str, model: np.ndarray) -> str:
-    return _NOISY.sub(lambda m: decode(m[0], model), token) if len(token) <= LONGEST else token
+    if not _DISGUISED.search(token) and not _MARKED.search(token):
+        return token
+    decoded = _decoded(model)
+    return _RUN.sub(lambda m: decoded(m) if _DISGUISED.search(m[0]) else m[0], _MARKED.sub(decoded, token))
 
 
 def restore(text: str, model: np.ndarray) -> str:
     """``text`` with disguised words spelled out; everything else stays."""
-    text = _SPACED.sub(lambda m: decode(m[0], model) if len(m[0]) <= LONGEST else m[0], text)
+    text = _SPACED.sub(_decoded(model), text)
     return "".join(restore_token(part, model) for part in re.split(r"(\s+)", text))
 
 
 class Restorer:
-    """The distinct words of restored texts; what stands between white space is restored once while in the cache."""
+    """The distinct words of restored texts; what stands between white space is restored once while in the cache.
+
+    Letter statistics don't always tell where a word of a spaced-out phrase ends, so the phrase is also read as one word,
+    and the ``telling`` words within that are found whatever their borders.
+    """
+
+    def __init__(self, model: np.ndarray, telling: list[str] = (), capacity: int = 400_000):
+        self.model, self.telling, self.capacity, self.known = model, telling, capacity, {}
 
-    def __init__(self, model: np.ndarray, capacity: int = 400_000):
-        self.model, self.capacity, self.known = model, capacity, {}
+    def phrase(self, spaced: str) -> str:
+        if not _LETTER.search(spaced):
+            return spaced
+        whole = decode(spaced.replace(" ", ""), self.model)
+        return " ".join([decode(spaced, self.model), whole, *(w for w in self.telling if w in whole)])
 
     def words(self, text: str) -> set[str]:
-        text = _SPACED.sub(lambda m: decode(m[0], self.model) if len(m[0]) <= LONGEST else m[0], text.lower())
+        text = _SPACED.sub(lambda m: self.phrase(m[0]), text.lower())
         if len(self.known) > self.capacity:
             self.known.clear()
         out, known = set(), self.known
@@ -169,7 +212,7 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        self.restorer = Restorer(self.letters)
+        self.restorer = Restorer(self.letters, [f for f in self.weights if len(f) > 3 and not f.startswith("^")])
 
     def score(self, text: str) -> float:
         weight, total = self.weights.get, self.bias

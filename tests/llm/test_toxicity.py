@@ -119,3 +119,33 @@ def test_unseen_words_have_no_weight(spark):
     long = " ".join("zq" + "".join(rng.choice("bcdfghklmnprstvw") for _ in range(rng.randint(6, 10))) for _ in range(20_000))
     assert base < 0.5 and model.score(long) == base
     assert model.score(long + " stupid moron") > 0.5
+
+
+@pytest.mark.parametrize(
+    "text, restored",
+    [
+        ("5tupid $tupid", "stupid stupid"),
+        ('"id1ot" *id1ot* [m0ron] l0ser/', '"idiot" *idiot* [moron] loser/'),
+        ("id1ot's", "idiot's"),
+        ("loser! and moron!!", "loser and moron"),
+        ("s-t-u-p-1-d (i d 1 o t)", "stupid (idiot)"),
+        ("i d i o t m o r o n", "idiot moron"),
+        ("m o r o n i d i o t m o r o n l o s e r m o r o n", "moron idiot moron loser moron"),
+        ("/".join(["quiet"] * 12) + "/m0r0n", "/".join(["quiet"] * 12) + "/moron"),
+        ("1 2 3 4 5 and 1-2-3-4-5", "1 2 3 4 5 and 1-2-3-4-5"),
+    ],
+)
+def test_restoration_whatever_the_edges_and_length(text, restored):
+    assert restore(text, MODEL) == restored
+
+
+def test_long_tokens_take_linear_work():
+    assert decode("m0r0n!" * 20_000, MODEL).startswith("moron")
+
+
+def test_spaced_phrases_score_by_their_words(spark):
+    out, labels = rows()
+    model = fit(spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for text in ("y o u s t u p i d l o s e r", "5tupid m0ron", '"id1ot" [m0ron]', "a" * 50 + "/l0ser 5tupid"):
+        assert model.score(text) > 0.5, text
+    assert model.score("a b c d e f g h") < 0.5
