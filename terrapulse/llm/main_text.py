@@ -29,10 +29,15 @@ ASIDE = frozenset(
     "header masthead footer cookie cookies consent gdpr notice notices alert disclaimer paywall newsletter subscribe subscription popup modal overlay comment comments commentlist "
     "disqus replies respond share sharing social related recommended widget widgets login signup search pagination pager skip".split()
 )
+#: Those of other people's texts, which may be longer than the article.
+FOREIGN = frozenset("comment comments commentlist disqus replies respond related recommended".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar".split())
 WHOLE = frozenset("html body main article".split())
 PARAGRAPHS = frozenset("p pre td th blockquote li dt dd h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 
+#: What belongs to the article beside its best element, short as it may be.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure section".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|title|xmp|noembed)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -51,8 +56,6 @@ def boilerplate(tag: str, attributes: str) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and not ASIDE.isdisjoint(_WORDS.findall(value)):
-            return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
@@ -60,6 +63,13 @@ def boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
+def aside_words(tag: str, attributes: str) -> frozenset[str]:
+    if not attributes or tag in WHOLE or attributes.isspace():
+        return frozenset()
+    values = ("".join(values).lower() for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
+    return ASIDE.intersection(w for value in values for w in _WORDS.findall(value))
+
+
 @dataclass
 class Page:
     """The element tree without boilerplate; a parent's number is smaller than its children's."""
@@ -70,7 +80,7 @@ class Page:
 
 
 def read_page(html: str) -> Page:
-    page, block = Page(["#root"], [-1], []), []
+    page, block, asides = Page(["#root"], [-1], []), [], {}
     open_elements: list[tuple[str, int]] = [("#root", 0)]
     hidden, links, linked = 0, 0, 0  # open boilerplate elements; open links; characters within links
 
@@ -132,36 +142,74 @@ def read_page(html: str) -> Page:
             flush()
         if tag in VOID:
             continue
-        if hidden or boilerplate(tag, m["attributes"]):
+        words = () if hidden else aside_words(tag, m["attributes"])
+        if hidden or boilerplate(tag, m["attributes"]) or words and tag in INLINE:
             hidden += 1
             open_elements.append((tag, -1))
         else:
             page.tags.append(tag)
             page.parents.append(open_elements[-1][1])
             open_elements.append((tag, len(page.tags) - 1))
+            if words:
+                asides[len(page.tags) - 1] = words
         links += tag == "a"
     add(html[at:])
     close(1)
     flush()
+    if asides:
+        away = put_aside(page, asides)
+        page.blocks = [b for b in page.blocks if not away[b[0]]]
     return page
 
 
+def put_aside(page: Page, asides: dict[int, frozenset[str]]) -> list[bool]:
+    """Which elements are hidden by words of a class or an id, their own or of one around them.
+
+    Such a word may also name a layout around the article (has-sidebar). While no <main> or <article> with text is
+    visible, an element that holds one, or most of the page's points, is none to hide.
+    """
+    size = len(page.tags)
+    points, flagged, holds = [0.0] * size, [False] * size, [False] * size
+    for element, text, in_links in page.blocks:
+        points[element] += worth(text) * (1 - min(1, in_links / len(text)))
+    for element in range(size - 1, 0, -1):
+        parent = page.parents[element]
+        points[parent] += points[element]
+        holds[parent] |= holds[element] or page.tags[element] in ("main", "article") and points[element] > 0
+    for element in range(1, size):
+        flagged[element] = element in asides or flagged[page.parents[element]]
+    shown = any(not flagged[e] and page.tags[e] in ("main", "article") and points[e] > 0 for e in range(size))
+    away = [False] * size
+    for element in range(1, size):
+        away[element] = away[page.parents[element]]
+        if element in asides and not away[element]:
+            most = points[element] >= max(10, points[0] / 2) and FOREIGN.isdisjoint(asides[element])
+            away[element] = shown or not (holds[element] or most)
+        shown |= not away[element] and page.tags[element] in ("main", "article") and points[element] > 0
+    return away
+
+
+def worth(text: str) -> int:
+    return 1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)
+
+
 def chosen(page: Page) -> list[bool]:
     """Which elements belong to the article.
 
     A block passes points for its length and commas to the element around it, half of them one level up and less and
     less beyond; an element's points are discounted by the share of its text within links. The best element is taken,
-    or the article around it, and of its siblings those with a fair share of its points and paragraphs of prose.
+    or the article around it, and of its siblings those with a fair share of its points, paragraphs of prose
+    and headings, lists, tables, quotes and sections with few links.
     """
     size, count = len(page.tags), range(len(page.tags) - 1, 0, -1)
     points, length, linked = [0.0] * size, [0] * size, [0] * size
     for element, text, in_links in page.blocks:
         length[element] += len(text)
         linked[element] += in_links
-        worth = 1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)
+        passed = worth(text)
         above = page.parents[element] if page.tags[element] in PARAGRAPHS and page.parents[element] >= 0 else element
         for level, share in enumerate((1, 2, 6, 9)):
-            points[above] += worth / share
+            points[above] += passed / share
             if (above := page.parents[above]) < 0:
                 break
     for element in count:
@@ -182,7 +230,8 @@ def chosen(page: Page) -> list[bool]:
             density = linked[element] / length[element]
             fair = score[element] >= max(10, 0.2 * score[best])
             prose = page.tags[element] == "p" and density < (0.25 if length[element] > 80 else 1e-9)
-            kept[element] = fair or prose
+            part = page.tags[element] in BESIDE and density < 0.25
+            kept[element] = fair or prose or part
     return kept
 
 

@@ -52,3 +52,25 @@ def test_table(spark):
     got = sorted(map(tuple, extract(df).collect()), key=str)
     assert got == sorted([(i, u, main_text(h or ""), len(main_text(h or ""))) for i, u, h in rows], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+PROSE = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-header"])
+def test_layout_wrappers(name):
+    inside = f'<div class="sidebar"><p>aside, here</p></div><{{0}}><p>{LONG}</p></{{0}}><div class="comments"><article><p>{LONG} no</p></article></div>'
+    for tag in ("main", "article"):
+        assert main_text(f'<body><div class="{name}"><div id="{name}">{inside.format(tag)}</div></div></body>') == PROSE
+    assert main_text(f'<body><div class="{name}"><div class="sidebar">aside</div><div class="post"><p>{LONG}</p><p>{LONG}</p></div></div></body>') == f"{PROSE}\n{PROSE}"
+
+
+def test_comments_and_notices_stay_hidden():
+    assert main_text(f'<body><div><p>{LONG}</p></div><div class="comments"><p>{LONG}</p><p>{LONG}</p></div></body>') == PROSE
+    assert main_text('<body><div class="cookie-notice"><p>We use cookies, many.</p></div></body>') == ""
+
+
+def test_parts_beside_the_best_element():
+    html = f"""<body><div><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>one<li>two</ul><blockquote>said</blockquote>
+<table><tr><td>c1<td>c2</table><section><h2>More</h2><p>short</p></section><ul><li><a href="x">link</a></ul></div></body>"""
+    assert main_text(html) == "\n".join(["Title", PROSE, PROSE, "one", "two", "said", "c1", "c2", "More", "short"])
