@@ -130,7 +130,7 @@ def test_unseen_words_have_no_weight(spark):
         ("loser! and moron!!", "loser and moron"),
         ("s-t-u-p-1-d (i d 1 o t)", "stupid (idiot)"),
         ("i d i o t m o r o n", "idiot moron"),
-        ("m o r o n i d i o t m o r o n l o s e r m o r o n", "moron idiot moron loser moron"),
+        ("q u i e t i d i o t m o r o n g a r d e n i d i o t", "quiet idiot moron garden idiot"),
         ("/".join(["quiet"] * 12) + "/m0r0n", "/".join(["quiet"] * 12) + "/moron"),
         ("1 2 3 4 5 and 1-2-3-4-5", "1 2 3 4 5 and 1-2-3-4-5"),
     ],
