@@ -46,7 +46,8 @@ class WordEncoder:
         for piece in pieces:
             core = piece.rstrip(_TAIL)
             word = core.decode("utf-8")
-            if word.isalpha():
+            # A letter that lower-cases to a letter and a mark would be joined by the marks after it.
+            if word.isalpha() and len(word.lower()) == len(word):
                 if core not in self.known:
                     words.add(core)
                 if core != piece:

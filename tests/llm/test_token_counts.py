@@ -17,6 +17,7 @@ WORDS = WordEncoder(PATH, capacity=20)
 @example("<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b")
 @example("H̱ ẖ Å it's IT'S word, word,, wo,rd ...word Σας")
 @example("ﬁne… naïve» don't.")
+@example("İSTANBUL BELEDİYESİ, TATİLİ. İ! aİ? İ& İ")
 def test_ids_are_those_of_the_library(text):
     import array
 
