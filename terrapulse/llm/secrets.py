@@ -146,9 +146,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``, and ``n_chars`` following; clean rows stay as they are."""
-    lists = span_lists(find_secrets(docs)).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("found").alias("_found"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_tag"))
+    """``docs`` with every secret in ``text`` replaced by ``mark``, and ``n_chars`` following; clean rows stay as they are.
+
+    Overlapping spans become one mark. A null text stays null, an empty one empty; rows of one id are told apart by
+    their text, repeated rows and null ids stay; an empty table gives no rows. All columns come back, whatever their
+    names.
+    """
+    lists = span_lists(find_secrets(docs))
+    same = docs["doc_id"].cast("long").eqNullSafe(lists["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == lists["tag"])
+    found = lists["found"]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, span: Column) -> Column:
@@ -159,12 +165,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def finish(done: Column) -> Column:
         return F.concat(done["out"], F.substring(docs["text"], (done["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    clean = F.aggregate("_found", start, step, finish)
+    clean = F.aggregate(found, start, step, finish)
     joined = docs.join(lists, same, "left")
-    text = F.when(F.col("_found").isNull(), docs["text"]).otherwise(clean)
-    changed = {"text": text}
+    changed = {"text": F.when(found.isNull(), docs["text"]).otherwise(clean)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_found").isNull(), docs["n_chars"]).otherwise(F.char_length(clean)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(found.isNull(), docs["n_chars"]).otherwise(F.char_length(clean)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
 
 
