@@ -8,18 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrapulse.llm.common import query, table
+from terrapulse.llm.common import checkpointed, query, table
 
 #: The inverse-document-frequency band, in natural logarithms: terms in more than a quarter of the documents say
-#: little, terms in fewer than one of 1000 change with every small edit.
-IDF_BAND = (math.log(4), math.log(1000))
+#: little, terms in fewer than one of 2000 change with every small edit.
+IDF_BAND = (math.log(4), math.log(2000))
 #: (subsets, share): so many random subsets of the lexicon, each with one of so many terms. The dense ones hold every
 #: term and tell short texts apart, sparse ones still agree on long texts of which a part has changed.
 SUBSETS = ((4, 4), (12, 64), (24, 256), (24, 1024))
-#: Slots of the lexicon's map, six to a byte, which goes into the plan as a constant of 64 KB. A lexicon has at most
-#: (mean distinct terms) * exp(IDF_BAND[1]) terms whatever the number of documents, which bounds what the driver reads;
-#: a term outside it that falls into a taken slot is kept as well, for every document alike.
-SLOTS = 6 << 16
 
 
 def terms(text: Column) -> Column:
@@ -29,31 +25,46 @@ def terms(text: Column) -> Column:
     return F.array_sort(F.array_distinct(hashed))
 
 
-def lexicon(listed: DataFrame, band: tuple[float, float]) -> bytes:
-    """The map of the terms within the band; document frequencies are counted over all rows of ``listed`` (``terms``)."""
+def lexicon(listed: DataFrame, band: tuple[float, float]) -> DataFrame:
+    """``known``: the terms within the band; document frequencies are counted over all rows of ``listed`` (``terms``).
+
+    Each of the terms is in more than ``exp(-band[1])`` of the documents, so there are at most the mean number of
+    distinct terms times ``exp(band[1])`` of them, whatever the number of documents: that bounds their broadcast.
+    """
     total = listed.count()
-    counted = listed.select(F.explode("terms").alias("term")).groupBy("term").count()
-    kept = counted.where(F.log(F.lit(total) / F.col("count")).between(*band))
-    taken = bytearray(SLOTS // 6)
-    for row in kept.select(F.pmod("term", F.lit(SLOTS)).alias("slot")).distinct().collect():
-        taken[row.slot // 6] |= 1 << row.slot % 6
-    return bytes(taken)
+    counted = listed.select(F.explode("terms").alias("known")).groupBy("known").count()
+    return checkpointed(counted.where(F.log(F.lit(total) / F.col("count")).between(*band)).select("known"))
 
 
-def signatures(own: Column, taken: bytes) -> Column:
-    """A digest for each lexicon subset, null where a text has no term of the subset.
+def within(rows: DataFrame, keys: list[str], lists: list[str], known: DataFrame) -> DataFrame:
+    """``rows``, one for each value of ``keys``, with the terms in the columns ``lists`` cut down to the ``known`` ones.
 
-    A text without a term in the band is judged by all its terms.
+    A list without any stays as it is. Terms become rows and meet the lexicon by an equi-join, then the lists are put
+    together again; where ``rows`` are partitioned by some of the keys, nothing is shuffled. What else a row holds
+    comes along with one more of its term rows.
     """
+    others = [c for c in rows.columns if c not in keys]
+    held = F.struct(*others)
+    kind = next(f.dataType for f in rows.select(held.alias("held")).schema)
+    whole = F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("bigint").alias("term"), held.alias("held"))
+
+    def part(number: int, name: str) -> Column:
+        return F.transform(name, lambda t: F.struct(F.lit(number).alias("kind"), t.alias("term"), F.lit(None).cast(kind).alias("held")))
+
+    # The outer form: a plain explode would build the whole array a second time, in a filter.
+    spread = rows.select(*keys, F.explode_outer(F.concat(F.array(whole), *[part(n, c) for n, c in enumerate(lists)])).alias("x")).select(*keys, "x.*")
+    met = spread.join(F.broadcast(known), F.col("term") == F.col("known"), "left").where("kind < 0 or known is not null")
+    kept = [F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.col("term")))).alias(f"kept{n}") for n in range(len(lists))]
+    put = met.groupBy(*keys).agg(F.first("held", ignorenulls=True).alias("held"), *kept)
+
+    def cut(number: int, name: str) -> Column:
+        return F.when(F.size(f"kept{number}") > 0, F.col(f"kept{number}")).otherwise(F.col(f"held.{name}")).alias(name)
 
-    def known(term: Column) -> Column:
-        slot = F.pmod(term, F.lit(SLOTS))
-        # Six bits make an ASCII character, whose number is read without a conversion of bases.
-        byte = F.ascii(F.substring(F.lit(taken), (F.floor(slot / 6) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.getbit(byte.cast("long"), (slot % 6).cast("int")) == 1
+    return put.select(*keys, *[cut(lists.index(c), c) if c in lists else f"held.{c}" for c in others])
 
-    banded = F.transform(F.array(own), lambda all_terms: F.filter(all_terms, known))[0]
-    kept = F.transform(F.array(F.struct(own.alias("all"), banded.alias("banded"))), lambda x: F.when(F.size(x["banded"]) > 0, x["banded"]).otherwise(x["all"]))[0]
+
+def signatures(kept: Column) -> Column:
+    """A digest for each lexicon subset, null where a text has no term of the subset."""
 
     def each(numbers_shares: list[tuple[int, int, int]]) -> Column:
         def sign(kept: Column, number: int, share: int, shift: int) -> Column:
@@ -83,12 +94,13 @@ def likeness(one: Column, other: Column) -> Column:
 def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
     """``doc_id, text, signs, fingerprint`` of every row; equal texts have equal fingerprints.
 
-    A null text is empty and its fingerprint all dots; repeated rows and null ids keep their rows, an empty table gives
-    no rows, other columns are ignored.
+    A text without a term in the band is judged by all its terms. A null text is empty and its fingerprint all dots;
+    repeated rows and null ids keep their rows, an empty table gives no rows, other columns are ignored.
     """
     rows = rows_of(docs)
-    taken = lexicon(rows.select(terms(F.col("text")).alias("terms")), band)
-    signed = rows.withColumn("signs", signatures(terms(F.col("text")), taken))
+    known = lexicon(rows.select(terms(F.col("text")).alias("terms")), band)
+    listed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", terms(F.col("text")).alias("terms"))
+    signed = within(listed, ["row"], ["terms"], known).select("doc_id", "text", signatures(F.col("terms")).alias("signs"))
     return signed.withColumn("fingerprint", spelled(F.col("signs")))
 
 
@@ -140,19 +152,31 @@ def edit_check(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFra
     without an id coming last and rows of one id by the digest of their text; the last is followed by the first, and
     a single row by itself. Texts move once, to their bucket.
     """
-    taken = lexicon(rows_of(docs).select(terms(F.col("text")).alias("terms")), band)
+    known = lexicon(rows_of(docs).select(terms(F.col("text")).alias("terms")), band)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("tag").desc())
     n_chars, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
-    paired = beside_next(docs, buckets).withColumn("donor", F.lead("text").over(order)).withColumn("signs", signatures(terms(F.col("text")), taken))
-    paired = paired.withColumn("next_signs", F.lead("signs").over(order)).where("guest = 0")
+    paired = beside_next(docs, buckets).withColumn("donor", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
     edited = F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring("donor", F.lit(1), half))
-    signed = paired.select("doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("edited"), "signs", "next_signs")
-    signed = signed.withColumn("edited_signs", signatures(terms(F.col("edited")), taken))
+    # The guest, the last of its bucket, is only the next text of another.
+    paired = paired.withColumn("edited", F.when(F.col("guest") == 0, edited))
+    listed = paired.select(
+        "bucket",
+        "place",
+        "guest",
+        "doc_id",
+        n_chars.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        terms(F.col("text")).alias("own"),
+        F.coalesce(terms(F.col("edited")), F.array().cast("array<bigint>")).alias("changed"),
+    )
+    cut = within(listed, ["bucket", "place"], ["own", "changed"], known)
+    signed = cut.select("bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", signatures(F.col("own")).alias("signs"), signatures(F.col("changed")).alias("edited_signs"))
+    signed = signed.withColumn("next_signs", F.lead("signs").over(Window.partitionBy("bucket").orderBy("place"))).where("guest = 0")
     return signed.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         spelled(F.col("signs")).alias("fingerprint"),
         spelled(F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"),

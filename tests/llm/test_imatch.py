@@ -6,7 +6,7 @@ import re
 import xxhash
 
 from terrapulse.llm import imatch
-from terrapulse.llm.imatch import SLOTS, SUBSETS, edit_check, fingerprints
+from terrapulse.llm.imatch import SUBSETS, edit_check, fingerprints
 
 
 def signed(h):
@@ -18,9 +18,9 @@ def plain_terms(text):
     return sorted({signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in words})
 
 
-def plain_signs(text, slots):
+def plain_signs(text, lexicon):
     own = plain_terms(text)
-    kept = [t for t in own if t % SLOTS in slots] or own
+    kept = [t for t in own if t in lexicon] or own
     out = []
     for row, (count, share) in enumerate(SUBSETS):
         for number in range(count):
@@ -42,13 +42,13 @@ def plainly(rows, band):
     for _, t in rows:
         for x in plain_terms(t):
             df[x] = df.get(x, 0) + 1
-    slots = {x % SLOTS for x, n in df.items() if band[0] <= math.log(len(rows) / n) <= band[1]}
+    lexicon = {x for x, n in df.items() if band[0] <= math.log(len(rows) / n) <= band[1]}
     out = []
     for k, (i, t) in enumerate(rows):
         donor = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + donor[:half]
-        a, b, c = (plain_signs(x, slots) for x in (t, edited, donor))
+        a, b, c = (plain_signs(x, lexicon) for x in (t, edited, donor))
         out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), round(near(a, b), 9), round(near(a, c), 9)))
     return sorted(out, key=str)
 
@@ -78,3 +78,27 @@ def test_single_and_no_row(spark):
     assert edit_check(one).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert edit_check(one.limit(0)).count() == 0
     assert imatch.fingerprints(one.limit(0)).count() == 0
+
+
+def test_fingerprints_by_the_lexicon_alone(spark):
+    rows, band = some_rows(), (math.log(2), math.log(9))
+    df = {}
+    for _, t in rows:
+        for x in plain_terms(t or ""):
+            df[x] = df.get(x, 0) + 1
+    lexicon = {x for x, n in df.items() if band[0] <= math.log(len(rows) / n) <= band[1]}
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, known long").repartition(3)
+    got = sorted((str(r.doc_id), r.text, r.fingerprint) for r in fingerprints(docs, band).collect())
+    assert got == sorted((str(i), t or "", "".join(plain_signs(t or "", lexicon))) for i, t in rows)
+
+
+def test_terms_meet_the_lexicon_where_they_are(spark):
+    """Exploding, joining and putting together again shuffles no terms: the rows stay in their buckets."""
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i}") for i in range(200)], "doc_id long, text string")
+    plan = edit_check(docs)._jdf.queryExecution().optimizedPlan().toString()
+    physical = edit_check(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" in plan and "BroadcastHashJoin" in physical
+    executed = edit_check(docs)
+    executed.collect()
+    final = executed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("hashpartitioning(bucket") <= 2  # by the texts' window and, where a guest is looked for, its bucket
