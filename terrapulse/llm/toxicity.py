@@ -34,11 +34,16 @@ _SIGN = re.escape("".join(SIGNS))
 _RUN = re.compile(rf"(?:[^\W\d_]|[{_SIGN}])+")
 _LETTER = re.compile(r"[^\W\d_]")
 _DISGUISED = re.compile(rf"[{_SIGN}]|([^\W\d_])\1\1")
-#: Single letters (or signs for them) with marks between: i-d-i-o-t.
+#: A letter twice may be one that is drawn out or belong to the word: both readings count.
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Single letters (or signs for them) with underlines or marks between: i_d_i_o_t.
 _MARKED = re.compile(rf"(?<!\w)(?:[^\W\d_]|[{_SIGN}])(?:[.*_-](?:[^\W\d_]|[{_SIGN}])){{3,}}(?!\w)")
-#: The same with spaces between, of one or several words: i d i o t.
-_SPACED = re.compile(rf"(?<![\w'’])(?:[^\W\d_]|[{_SIGN}])(?: (?:[^\W\d_]|[{_SIGN}])){{3,}}(?!\w)")
-#: A search with this many undecided characters goes on from the best of its states: the memory of a token is bounded.
+#: The same with white space or any other separator between, of one or several words: i d i o t, i/d/i/o/t, i, d, i, o, t.
+_SPACED = re.compile(rf"(?<![\w'’])(?:[^\W\d_]|[{_SIGN}])([^\w'’]{{1,4}})(?:[^\W\d_]|[{_SIGN}])(?:\1(?:[^\W\d_]|[{_SIGN}])){{2,}}(?!\w)")
+_SEPARATOR = re.compile(rf"[^\w{_SIGN}]+")
+#: Characters that show nothing: soft hyphens, zero-width spaces and joiners, direction marks.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+#: After so many undecided characters what all readings have in common is looked for and put out.
 UNDECIDED = 4096
 
 _CODES = np.zeros(0x250, "u1")
@@ -102,7 +107,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             choices = [(letter * k, SIGN_COST * k) for letter in SIGNS[char] for k in range(1, min(n, 2) + 1)]
             # At the end of a word an exclamation mark is one.
             choices.append(("", 0.0 if char == "!" and at + n == len(token) else LOST_COST))
-        elif char == " ":
+        elif char.isspace():
             choices = [("", 0.0), (" ", SPLIT_COST)]
         else:
             choices = [("", 0.0)]
@@ -116,10 +121,37 @@ def _code(letter: str) -> int:
     return int(_CODES[point]) if point < len(_CODES) else OTHER
 
 
+def _settled(reached: dict) -> tuple[tuple | None, dict]:
+    """The longest path that all states begin with, and the states with the rest of theirs."""
+    chains = []
+    for _, path in reached.values():
+        chain = []
+        while path is not None:
+            chain.append(path)
+            path = path[0]
+        chains.append(chain[::-1])
+    same = 0
+    for nodes in zip(*chains):
+        if any(n is not nodes[0] for n in nodes):
+            break
+        same += 1
+    if not same:
+        return None, reached
+    made: dict[int, tuple] = {}
+    rest = {}
+    for (state, (score, _)), chain in zip(reached.items(), chains, strict=True):
+        path = None
+        for node in chain[same:]:
+            path = made.setdefault(id(node), (path, node[1]))
+        rest[state] = (score, path)
+    return chains[0][same - 1], rest
+
+
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest words behind a token: Viterbi search of its lattice, the state being the last two letters.
 
-    What all states have in common is put out as soon as one is left, so the work is linear in the token's length.
+    What all states have in common is put out as soon as one is left, and looked for at intervals beyond that: readings
+    of a long token are the same but for their last letters, so little is held of it.
     """
     done, states, undecided = [], {(0, 0): (0.0, None)}, 0
 
@@ -142,9 +174,9 @@ def decode(token: str, model: np.ndarray) -> str:
                 if (x, y) not in reached or total > reached[x, y][0]:
                     reached[x, y] = (total, (path, letters) if letters else path)
         undecided += 1
-        if undecided > UNDECIDED:
-            best = max(reached, key=lambda s: reached[s][0])
-            reached = {best: reached[best]}
+        if undecided % UNDECIDED == 0:
+            common, reached = _settled(reached)
+            done.append(spelled(common))
         if len(reached) == 1:
             (state, (score, path)), undecided = next(iter(reached.items())), 0
             done.append(spelled(path))
@@ -165,9 +197,17 @@ def restore_token(token: str, model: np.ndarray) -> str:
     return _RUN.sub(lambda m: decoded(m) if _DISGUISED.search(m[0]) else m[0], _MARKED.sub(decoded, token))
 
 
+def readings(token: str, model: np.ndarray) -> str:
+    """A token with disguised words spelled out; of one with doubled letters both as it stands and as decoded."""
+    restored = restore_token(token, model)
+    if restored == token and _DOUBLED.search(token):
+        return f"{token} {_RUN.sub(lambda m: decode(m[0], model) if _DOUBLED.search(m[0]) else m[0], token)}"
+    return restored
+
+
 def restore(text: str, model: np.ndarray) -> str:
     """``text`` with disguised words spelled out; everything else stays."""
-    text = _SPACED.sub(_decoded(model), text)
+    text = _SPACED.sub(_decoded(model), _UNSEEN.sub("", text))
     return "".join(restore_token(part, model) for part in re.split(r"(\s+)", text))
 
 
@@ -175,28 +215,35 @@ class Restorer:
     """The distinct words of restored texts; what stands between white space is restored once while in the cache.
 
     Letter statistics don't always tell where a word of a spaced-out phrase ends, so the phrase is also read as one word,
-    and the ``telling`` words within that are found whatever their borders.
+    and the ``telling`` words within that are found whatever their borders. Two words side by side that make a telling
+    one are that word if the letter statistics prefer it to the two.
     """
 
     def __init__(self, model: np.ndarray, telling: list[str] = (), capacity: int = 400_000):
         self.model, self.telling, self.capacity, self.known = model, telling, capacity, {}
+        self.whole = frozenset(telling)
 
     def phrase(self, spaced: str) -> str:
         if not _LETTER.search(spaced):
             return spaced
-        whole = decode(spaced.replace(" ", ""), self.model)
+        whole = decode(_SEPARATOR.sub("", spaced), self.model)
         return " ".join([decode(spaced, self.model), whole, *(w for w in self.telling if w in whole)])
 
     def words(self, text: str) -> set[str]:
-        text = _SPACED.sub(lambda m: self.phrase(m[0]), text.lower())
+        text = _SPACED.sub(lambda m: self.phrase(m[0]), _UNSEEN.sub("", text.lower()))
         if len(self.known) > self.capacity:
             self.known.clear()
-        out, known = set(), self.known
-        for token in set(text.split()):
+        out, known, tokens = set(), self.known, text.split()
+        for token in set(tokens):
             words = known.get(token)
             if words is None:
-                words = known[token] = tuple(_WORD.findall(restore_token(token, self.model)))
+                words = known[token] = tuple(_WORD.findall(readings(token, self.model)))
             out.update(words)
+        if self.whole:
+            joined = self.whole.intersection(map(str.__add__, tokens, tokens[1:]))
+            if joined - out:
+                pairs = {a + b: f"{a} {b}" for a, b in zip(tokens, tokens[1:]) if a + b in joined}
+                out.update(w for w, pair in pairs.items() if decode(pair, self.model) == w)
         return out
 
 

@@ -149,3 +149,36 @@ def test_spaced_phrases_score_by_their_words(spark):
     for text in ("y o u s t u p i d l o s e r", "5tupid m0ron", '"id1ot" [m0ron]', "a" * 50 + "/l0ser 5tupid"):
         assert model.score(text) > 0.5, text
     assert model.score("a b c d e f g h") < 0.5
+
+
+@pytest.mark.parametrize("form", ["iidiot", "iiddiioott", "i  d  i  o  t", "i\td\ti\to\tt", "i/d/i/o/t", "i,d,i,o,t", "id​iot", "i​d​i​o​t", "id iot", "i_d_i_o_t", "i . d . i . o . t"])
+def test_any_separator_and_doubled_letters(form):
+    from terrapulse.llm.toxicity import Restorer
+
+    assert "idiot" in Restorer(MODEL, ["idiot"]).words(f"what an {form} he is")
+    assert "idiot" not in Restorer(MODEL, ["idiot"]).words("what an odd letter, a b c d, he is")
+
+
+def test_doubled_letters_of_words_stay():
+    from terrapulse.llm.toxicity import Restorer
+
+    assert {"noodle", "feed", "all", "letters"} <= Restorer(MODEL).words("noodle feed all letters")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ido1t03!|s5 é", min_size=1, max_size=12))
+def test_settled_beginnings_change_nothing(token):
+    from terrapulse.llm import toxicity
+
+    want = decode(token, MODEL)
+    for every in (1, 2, 5):
+        toxicity.UNDECIDED, kept = every, toxicity.UNDECIDED
+        try:
+            assert decode(token, MODEL) == want
+        finally:
+            toxicity.UNDECIDED = kept
+
+
+def test_a_long_undecided_token():
+    token = "1|" * 30_000  # i and l all the way
+    assert set(decode(token, MODEL)) <= set("il")
