@@ -16,13 +16,15 @@ from terrapulse.llm.common import query, ship, table
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav header footer aside form button select option input textarea iframe object svg math canvas dialog menu noscript template audio video".split())
+DROPPED = frozenset("head nav footer aside button select option input textarea iframe object svg math canvas dialog menu noscript template audio video".split())
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 #: An element that starts ends open ones of these names, up to a list or table around it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table".split())
+#: Elements that hold what isn't the article, or all of the page.
+FRAMES = frozenset("form header".split())
 #: Words of a class or an id that tell what isn't the article.
 ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs "
@@ -36,7 +38,9 @@ WHOLE = frozenset("html body main article".split())
 PARAGRAPHS = frozenset("p pre td th blockquote li dt dd h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 
 #: What belongs to the article beside its best element, short as it may be.
-BESIDE = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure section".split())
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure section article".split())
+#: What may be a menu.
+LISTS = frozenset("div ul ol section table".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -64,10 +68,15 @@ def boilerplate(tag: str, attributes: str) -> bool:
 
 
 def aside_words(tag: str, attributes: str) -> frozenset[str]:
+    """What speaks against an element: its name, words of its class or id; of a paragraph's names only whole ones."""
+    own = FRAMES.intersection((tag,))
     if not attributes or tag in WHOLE or attributes.isspace():
-        return frozenset()
+        return own
     values = ("".join(values).lower() for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id"))
-    return ASIDE.intersection(w for value in values for w in _WORDS.findall(value))
+    names = [_WORDS.findall(name) for value in values for name in value.split()]
+    if tag in PARAGRAPHS:
+        names = [words for words in names if ASIDE.issuperset(words)]
+    return own | ASIDE.intersection(w for words in names for w in words)
 
 
 @dataclass
@@ -199,7 +208,7 @@ def chosen(page: Page) -> list[bool]:
     A block passes points for its length and commas to the element around it, half of them one level up and less and
     less beyond; an element's points are discounted by the share of its text within links. The best element is taken,
     or the article around it, and of its siblings those with a fair share of its points, paragraphs of prose
-    and headings, lists, tables, quotes and sections with few links.
+    and headings, lists, tables, quotes, sections and articles with few links, and what has few links between these.
     """
     size, count = len(page.tags), range(len(page.tags) - 1, 0, -1)
     points, length, linked = [0.0] * size, [0] * size, [0] * size
@@ -225,13 +234,23 @@ def chosen(page: Page) -> list[bool]:
     for element in range(size):
         parent = page.parents[element]
         if element == top or parent >= 0 and kept[parent]:
-            kept[element] = True
+            # Of a container that isn't marked as the article, lists of links are no part.
+            listed = parent == top and top == best and page.tags[top] not in ("article", "main") and page.tags[element] in LISTS
+            kept[element] = not (listed and linked[element] >= 0.8 * max(length[element], 1))
         elif top > 0 and parent == page.parents[top] and length[element]:
             density = linked[element] / length[element]
             fair = score[element] >= max(10, 0.2 * score[best])
             prose = page.tags[element] == "p" and density < (0.25 if length[element] > 80 else 1e-9)
             part = page.tags[element] in BESIDE and density < 0.25
             kept[element] = fair or prose or part
+    beside = [e for e in range(size) if top > 0 and page.parents[e] == page.parents[top]]
+    inside = [n for n, e in enumerate(beside) if kept[e] and length[e]]
+    for element in beside[inside[0] : inside[-1]] if inside else []:
+        # What stands between parts of the article is one.
+        kept[element] |= 0 < length[element] and linked[element] < 0.25 * length[element]
+    for element in range(size):
+        parent = page.parents[element]
+        kept[element] |= parent >= 0 and kept[parent] and parent not in (top, page.parents[top])
     return kept
 
 

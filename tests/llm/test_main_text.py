@@ -74,3 +74,25 @@ def test_parts_beside_the_best_element():
     html = f"""<body><div><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>one<li>two</ul><blockquote>said</blockquote>
 <table><tr><td>c1<td>c2</table><section><h2>More</h2><p>short</p></section><ul><li><a href="x">link</a></ul></div></body>"""
     assert main_text(html) == "\n".join(["Title", PROSE, PROSE, "one", "two", "said", "c1", "c2", "More", "short"])
+
+
+def test_a_page_within_a_form():
+    page = f'<body><form action="/"><div><div><p>{LONG}</p><p>{LONG}</p></div></div><select><option>x</select></form></body>'
+    assert main_text(page) == f"{PROSE}\n{PROSE}"
+    assert main_text(f'<body><form id="f"><main><p>{LONG}</p><form><p>mail, now</p></form></main></form></body>') == PROSE
+    assert main_text(f'<body><div><p>{LONG}</p></div><form><p>mail, now</p></form></body>') == PROSE
+
+
+def test_short_parts_between_long_ones():
+    page = f'<body><div><p>{LONG}</p><p>{LONG}</p></div><div>Short, but said.</div><div><p>{LONG}</p><p>{LONG}</p></div><div><a href="x">a link</a></div></body>'
+    assert main_text(page) == f"{PROSE}\n{PROSE}\nShort, but said.\n{PROSE}\n{PROSE}"
+
+
+def test_several_articles():
+    page = f"<body><article><p>{LONG}</p></article><article><p>Short one.</p></article></body>"
+    assert main_text(page) == f"{PROSE}\nShort one."
+
+
+def test_names_of_paragraphs():
+    page = f'<article><p>{LONG}</p><p class="related-work">Work, by others.</p><p class="related">Elsewhere</p><li id="share">Share</li></article>'
+    assert main_text(page) == f"{PROSE}\nWork, by others."
