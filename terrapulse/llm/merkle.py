@@ -158,6 +158,62 @@ def manifest(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-@query("op13_merkle_manifest")
+def _oracle() -> str:
+    """The same manifest in SQL, by recursion over the levels of the trees."""
+
+    def leaf_of(n_chars: str) -> str:
+        parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+        return f"sha256({' || '.join(parts)})"
+
+    return f"""
+    WITH RECURSIVE crc AS (
+        SELECT DISTINCT doc_id AS id, doc_id::VARCHAR AS s, 0 AS step, 4294967295::BIGINT AS c FROM documents WHERE doc_id IS NOT NULL
+        UNION ALL
+        SELECT id, s, step + 1, xor(x >> 1, (x & 1) * 3988292384) FROM (SELECT id, s, step,
+            CASE WHEN step % 8 = 0 THEN xor(c, ascii(s[step // 8 + 1])::BIGINT) ELSE c END AS x FROM crc WHERE step < 8 * length(s))
+    ), leaves AS (
+        SELECT d.doc_id, coalesce('=' || lang, '') AS k, {leaf_of("n_chars")} AS leaf,
+            CASE WHEN xor(c, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN {leaf_of("(n_chars + 1)")} END AS changed
+        FROM documents d LEFT JOIN crc ON crc.id = d.doc_id AND step = 8 * length(s)
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM leaves
+    ), tree AS (
+        SELECT k, 0 AS level, pos, n, leaf AS node FROM ranked
+        UNION ALL
+        SELECT a.k, a.level + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.node || coalesce(b.node, ''))
+        FROM tree a LEFT JOIN tree b ON b.k = a.k AND b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0
+    ), subroots AS (
+        SELECT k, node AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+    ), top AS (
+        SELECT 0 AS level, pos, n, subroot AS node FROM subroots
+        UNION ALL
+        SELECT a.level + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.node || coalesce(b.node, ''))
+        FROM top a LEFT JOIN top b ON b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0
+    ), steps AS (
+        SELECT r.k, r.pos, l.level, (r.pos >> l.level) & 1 AS side, t.node AS sibling
+        FROM ranked r JOIN (SELECT DISTINCT k, level FROM tree WHERE n > 1) l ON l.k = r.k
+        LEFT JOIN tree t ON t.k = r.k AND t.level = l.level AND t.pos = xor(r.pos >> l.level, 1)
+        UNION ALL
+        SELECT r.k, r.pos, 1000 + l.level, (s.pos >> l.level) & 1, t.node
+        FROM ranked r JOIN subroots s ON s.k = r.k CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) l
+        LEFT JOIN top t ON t.level = l.level AND t.pos = xor(s.pos >> l.level, 1)
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY k, pos ORDER BY level) AS i FROM steps
+    ), folded AS (
+        SELECT k, pos, 0 AS i, coalesce(changed, leaf) AS node FROM ranked
+        UNION ALL
+        SELECT f.k, f.pos, f.i + 1, sha256(CASE WHEN side = 1 THEN coalesce(sibling, '') || node ELSE node || coalesce(sibling, '') END)
+        FROM folded f JOIN numbered s ON s.k = f.k AND s.pos = f.pos AND s.i = f.i + 1
+    ), proof AS (
+        SELECT k, pos, count(*) AS i, string_agg(coalesce(sibling, ''), '' ORDER BY level) AS siblings FROM steps GROUP BY 1, 2
+    )
+    SELECT r.doc_id, r.leaf, s.subroot, root.node AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+        f.node AS folded_root, f.node = root.node AS verified
+    FROM ranked r JOIN subroots s ON s.k = r.k JOIN (SELECT node FROM top WHERE n = 1) root ON true
+    LEFT JOIN proof p ON p.k = r.k AND p.pos = r.pos JOIN folded f ON f.k = r.k AND f.pos = r.pos AND f.i = coalesce(p.i, 0)
+    """
+
+
+@query("op13_merkle_manifest", _oracle())
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
