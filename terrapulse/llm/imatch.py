@@ -39,42 +39,47 @@ def lexicon(listed: DataFrame, band: tuple[float, float]) -> DataFrame:
 def within(rows: DataFrame, keys: list[str], lists: list[str], known: DataFrame) -> DataFrame:
     """``rows``, one for each value of ``keys``, with the terms in the columns ``lists`` cut down to the ``known`` ones.
 
-    A list without any stays as it is. Terms become rows and meet the lexicon by an equi-join, then the lists are put
-    together again; where ``rows`` are partitioned by some of the keys, nothing is shuffled. What else a row holds
-    comes along with one more of its term rows.
+    A list without any stays as it is. The terms of all lists become rows and meet the lexicon by an equi-join, then
+    those met are put together again and the lists cut down to them; where ``rows`` are partitioned by some of the
+    keys, nothing is shuffled. What else a row holds comes along with one more of its term rows, which has no term.
     """
     others = [c for c in rows.columns if c not in keys]
-    held = F.struct(*others)
-    kind = next(f.dataType for f in rows.select(held.alias("held")).schema)
-    whole = F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("bigint").alias("term"), held.alias("held"))
-
-    def part(number: int, name: str) -> Column:
-        return F.transform(name, lambda t: F.struct(F.lit(number).alias("kind"), t.alias("term"), F.lit(None).cast(kind).alias("held")))
-
+    every = F.col(lists[0])
+    for name in lists[1:]:
+        every = F.array_union(every, F.col(name))
+    held = rows.select(*keys, F.struct(*others).alias("held"), F.array_append(every, F.lit(None).cast("bigint")).alias("every"))
     # The outer form: a plain explode would build the whole array a second time, in a filter.
-    spread = rows.select(*keys, F.explode_outer(F.concat(F.array(whole), *[part(n, c) for n, c in enumerate(lists)])).alias("x")).select(*keys, "x.*")
-    met = spread.join(F.broadcast(known), F.col("term") == F.col("known"), "left").where("kind < 0 or known is not null")
-    kept = [F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.col("term")))).alias(f"kept{n}") for n in range(len(lists))]
-    put = met.groupBy(*keys).agg(F.first("held", ignorenulls=True).alias("held"), *kept)
+    spread = held.select(*keys, "held", F.explode_outer("every").alias("term")).select(*keys, "term", F.when(F.col("term").isNull(), F.col("held")).alias("held"))
+    met = spread.join(F.broadcast(known), F.col("term") == F.col("known"), "left").where("term is null or known is not null")
+    put = met.groupBy(*keys).agg(F.first("held", ignorenulls=True).alias("held"), F.collect_list("term").alias("kept"))
 
-    def cut(number: int, name: str) -> Column:
-        return F.when(F.size(f"kept{number}") > 0, F.col(f"kept{number}")).otherwise(F.col(f"held.{name}")).alias(name)
+    def cut(name: str) -> Column:
+        own = F.array_intersect(f"held.{name}", "kept")  # in the order of the list
+        return F.when(F.size(own) > 0, own).otherwise(F.col(f"held.{name}")).alias(name)
 
-    return put.select(*keys, *[cut(lists.index(c), c) if c in lists else f"held.{c}" for c in others])
+    return put.select(*keys, *[cut(c) if c in lists else f"held.{c}" for c in others])
 
 
 def signatures(kept: Column) -> Column:
-    """A digest for each lexicon subset, null where a text has no term of the subset."""
+    """A digest for each lexicon subset, null where a text has no term of the subset.
+
+    Of each density the terms of any of its subsets are picked first, so that a subset looks at few terms.
+    """
+
+    def density(kept: Column, count: int, share: int, shift: int) -> Column:
+        def subset(term: Column) -> Column:
+            # The high bits of a term's digest, other ones for each density, choose the subset.
+            return F.pmod(F.shiftright(term, shift), F.lit(share))
 
-    def each(numbers_shares: list[tuple[int, int, int]]) -> Column:
-        def sign(kept: Column, number: int, share: int, shift: int) -> Column:
-            # The high bits of a term's digest, other ones for each density, choose the subsets.
-            chosen = F.filter(kept, lambda t: F.pmod(F.shiftright(t, shift), F.lit(share)) == number)
+        def sign(picked: Column, number: int) -> Column:
+            chosen = F.filter(picked, lambda t: subset(t) == number)
             return F.when(F.size(chosen) > 0, F.xxhash64(chosen))
 
-        return F.transform(F.array(kept), lambda k: F.array(*[sign(k, *x) for x in numbers_shares]))[0]
+        picked = kept if count == share else F.filter(kept, lambda t: subset(t) < count)
+        return F.transform(F.array(picked), lambda p: F.array(*[sign(p, number) for number in range(count)]))[0]
 
-    return each([(number, share, 22 + 10 * row) for row, (count, share) in enumerate(SUBSETS) for number in range(count)])
+    listed = [(count, share, 22 + 10 * row) for row, (count, share) in enumerate(SUBSETS)]
+    return F.transform(F.array(kept), lambda k: F.concat(*[density(k, *x) for x in listed]))[0]
 
 
 def spelled(signs: Column) -> Column:
