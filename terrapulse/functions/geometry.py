@@ -229,8 +229,10 @@ def outlines_distance(a: str, b: str) -> str:
 
 
 def _holds_start(polygon: str, other: str) -> str:
+    """The first vertex of ``other`` lies inside; an open line has no inside."""
     head = f"element_at({other}, 1)"
-    return contains_point.sql(polygon, f"{head}.x1", f"{head}.y1")
+    sums = " AND ".join(f"abs(aggregate({polygon}, 0D, (s_hs, e_hs) -> s_hs + e_hs.{k}2 - e_hs.{k}1)) < 1e-6D" for k in "xy")
+    return f"({contains_point.sql(polygon, f'{head}.x1', f'{head}.y1')} AND {sums})"
 
 
 @expression
@@ -372,6 +374,17 @@ def overlap(a: str, b: str) -> str:
     )
 
 
+@expression
+def clipped(a: str, area: str) -> str:
+    """Edge array of ``a``, polygon or line, inside a polygon; the edges of a polygon are not in order.
+
+    Right for holes on either side: a ring that lies inside the other outline as a whole is kept as one.
+    """
+    sums = " AND ".join(f"abs(aggregate({a}, 0D, (s_cl, e_cl) -> s_cl + e_cl.{k}2 - e_cl.{k}1)) < 1e-6D" for k in "xy")
+    rim = f"CASE WHEN {sums} THEN {parts_inside.sql(area, a, 'none')} ELSE cast(array() AS {EDGES_TYPE}) END"
+    return f"concat({parts_inside.sql(a, area, 'same')}, {rim})"
+
+
 @expression
 def footprint_area(common: str) -> str:
     """Area of an outline made by ``overlap``, 0 when empty."""

@@ -17,6 +17,10 @@ from terrapulse.functions.scoring import clip01
 from terrapulse.operators.unnest import unnest
 
 
+#: Columns of a tile of the distance transform.
+TILE_COLS = 64
+
+
 def grid(
     spark: SparkSession, minx: float, miny: float, maxx: float, maxy: float, step: float
 ) -> DataFrame:
@@ -159,24 +163,22 @@ def access_from_cells(
     """Adds ``access = clip(1 - d/max_m, 0, 1)`` with ``d`` the distance to the nearest road cell.
 
     Separable distance: the nearest road column within each grid row comes from two ordered
-    windows, then each cell looks at the rows no further than ``max_m`` (further rows score 0
-    anyway). No road at all gives 0 everywhere.
+    windows; the best of the rows no further than ``max_m`` (further ones score 0 anyway) is found
+    within tiles. A cell is copied to its own tile and, near its rim, to the one beside, so rows
+    follow the cells whatever the reach. No road at all gives 0 everywhere.
     """
     reach = int(math.floor(max_m / step))
+    height = max(256, 4 * reach)
     marked = cells.join(road_cells.withColumn("_road", F.lit(True)), ["col", "row"], "left")
     order = Window.partitionBy("row").orderBy("col")
     here = F.when(F.col("_road"), F.col("col"))
     left = F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(here, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    along = F.least(F.col("col") - left, right - F.col("col"))
-    per_row = marked.select("col", "row", along.alias("dx")).where(F.col("dx") <= reach)
-    shifted = per_row.withColumn(
-        "dy", F.explode(F.sequence(F.lit(-reach).cast("bigint"), F.lit(reach).cast("bigint")))
-    )
-    squared = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    nearest = shifted.groupBy("col", (F.col("row") + F.col("dy")).alias("row")).agg(
-        F.min(squared).alias("d2")
-    )
+    along = F.least(F.col("col") - left, right - F.col("col")).cast("long")
+    per_row = marked.select(F.col("col").cast("long"), F.col("row").cast("long"), along.alias("dx")).where(F.col("dx") <= reach)
+    ends = [F.floor((F.col("row") + d) / height) for d in (-reach, reach)]
+    tiled = per_row.withColumn("_tr", F.explode(F.sequence(*ends))).withColumn("_tc", F.floor(F.col("col") / TILE_COLS))
+    nearest = tiled.groupBy("_tc", "_tr").applyInArrow(_column_distances(reach, height), "col long, row long, d2 long")
     d = F.sqrt("d2") * F.lit(float(step))
     score = clip01(F.lit(1.0) - d / F.lit(float(max_m)))
     return cells.join(nearest, ["col", "row"], "left").withColumn(
@@ -184,6 +186,56 @@ def access_from_cells(
     ).drop("d2")
 
 
+def _column_distances(reach: int, height: int):
+    """For a tile the smallest ``dx ** 2 + dy ** 2`` at each of its cells, as the lower envelope of parabolas.
+
+    Sweeps over the tile's columns side by side: of each column the parabolas that are lowest somewhere are kept with
+    the rows from where on they are, then every row reads its own.
+    """
+
+    def work(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        col, row = (table[c].to_numpy().astype("int64") for c in ("col", "row"))
+        square = table["dx"].to_numpy().astype("float64") ** 2
+        first, low, count = int(col.min()), int(key[1].as_py()) * height - reach, height + 2 * reach
+        lanes = np.arange(int(col.max()) - first + 1)
+        depth = np.full((count, len(lanes)), np.inf)
+        depth[row - low, col - first] = square
+        spot, begin = np.zeros((len(lanes), count), int), np.full((len(lanes), count + 1), np.inf)
+        top = np.full(len(lanes), -1)
+        for at in range(count):
+            live = lanes[np.isfinite(depth[at])]
+            while len(live):
+                held = top[live] >= 0
+                under = spot[live, np.maximum(top[live], 0)]
+                cross = ((depth[at, live] + at * at) - (depth[under, live] + under * under)) / np.maximum(2.0 * (at - under), 1)
+                cross[~held] = -np.inf
+                hidden = held & (cross <= begin[live, np.maximum(top[live], 0)])
+                top[live[hidden]] -= 1
+                done = live[~hidden]
+                top[done] += 1
+                spot[done, top[done]], begin[done, top[done]] = at, cross[~hidden]
+                live = live[hidden]
+        out, now = [], np.zeros(len(lanes), int)
+        some = lanes[top >= 0]
+        for at in range(reach, reach + height):
+            while True:
+                more = some[(now[some] < top[some]) & (begin[some, np.minimum(now[some] + 1, count)] < at)]
+                if not len(more):
+                    break
+                now[more] += 1
+            best = spot[some, now[some]]
+            d2 = depth[best, some] + (at - best) ** 2
+            near = d2 <= reach * reach
+            out.append((some[near] + first, np.full(near.sum(), at + low), d2[near].astype("int64")))
+        parts = [np.concatenate(c).astype("int64") for c in zip(*out, strict=True)]
+        return pa.table(dict(zip(("col", "row", "d2"), parts, strict=True)))
+
+    return work
+
+
 def resample_bilinear(
     source: DataFrame, target: DataFrame, source_step: float, origin_x: float = 0.0,
     origin_y: float = 0.0, value: str = "z",

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
 from terrapulse.functions import hexgrid as H
+from terrapulse.operators.cover import outline_pairs, points_in
+from terrapulse.operators.pyramid import candidates
 from terrapulse.operators.unnest import unnest
 from terrapulse.session import checkpointed
 
@@ -189,20 +191,26 @@ def nearest(
     max_radius: float | None = None,
     growth: float = 4.0,
 ) -> DataFrame:
-    """``(key, other, d)`` of the nearest right feature, by widening rings.
+    """``(key, other, d)`` of the nearest right feature; ties go to the lowest partner id.
 
-    Each round joins only the rows still open, at a radius ``growth`` times the last, so crowded
-    areas are settled by small cells and only isolated rows look far. Open rows are checkpointed
-    between rounds to keep the lineage short. Without ``max_radius`` the rounds go on until the
-    radius covers both extents, so every row finds its partner.
+    With ``max_radius`` by widening rings: each round joins only the rows still open, at a radius ``growth`` times the
+    last, so crowded areas are settled by small cells and only isolated rows look far. Without it the rows that have
+    nothing within ``first_radius`` go down a pyramid of occupied cells, so every row finds its partner and meets near
+    features only.
     """
-    limit = max_radius if max_radius is not None else _joint_extent(left, right, left_box, right_box)
+    if max_radius is None:
+        pairs = within_pairs(left, right, left_box, right_box, distance, float(first_radius))
+        close = checkpointed(best_pair(pairs, key, other, []))
+        apart = left.join(close.select(key), key, "left_anti")
+        few = candidates(apart, right, left_box, right_box, key, other, float(first_radius))
+        far = few.join(apart, key).join(right, other).withColumn("d", distance)
+        return close.unionByName(best_pair(far, key, other, []))
     radius, found, open_rows = float(first_radius), [], left
     while True:
-        radius = min(radius, limit)
+        radius = min(radius, max_radius)
         pairs = within_pairs(open_rows, right, left_box, right_box, distance, radius)
         best = best_pair(pairs, key, other, [])
-        if radius >= limit:
+        if radius >= max_radius:
             found.append(best)
             break
         best = checkpointed(best)
@@ -217,31 +225,77 @@ def nearest(
     return out
 
 
-def _joint_extent(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box) -> float:
-    """Diagonal of the box around both sides: no pair is further apart."""
-    ends = left.select(*[c.alias(f"c{i}") for i, c in enumerate(left_box)]).unionByName(
-        right.select(*[c.alias(f"c{i}") for i, c in enumerate(right_box)])
-    )
-    row = ends.agg(
-        F.hypot(F.max("c2") - F.min("c0"), F.max("c3") - F.min("c1")).alias("diagonal")
-    ).first()
-    return float(row["diagonal"] or 1.0) + 1.0
+#: A feature whose box has more cells than this goes by its outline.
+WIDE_CELLS = 64
+
+
+def _wide(geom: str, cell: float) -> Column:
+    b = geom_box(geom)
+    spans = [F.floor(high / F.lit(float(cell))) - F.floor(low / F.lit(float(cell))) + 1 for low, high in ((b[0], b[2]), (b[1], b[3]))]
+    return F.coalesce(spans[0].cast("double") * spans[1] > WIDE_CELLS, F.lit(False))
 
 
 def containing_pairs(
-    points: DataFrame, polygons: DataFrame, x: str, y: str, geom: str, cell: float
+    points: DataFrame,
+    polygons: DataFrame,
+    x: str,
+    y: str,
+    geom: str,
+    cell: float,
+    keys: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """(point, polygon) pairs with the point inside the polygon."""
-    pairs = cell_join(points, polygons, point_box(x, y), geom_box(geom), cell)
-    return pairs.where(G.contains_point(geom, x, y))
+    """(point, polygon) pairs with the point inside the polygon.
+
+    With ``keys`` (of points and polygons) polygons with many cells go by spans of cells inside and the edges of a row,
+    so no outline is copied to the cells it covers.
+    """
+
+    def by_box(polygons: DataFrame) -> DataFrame:
+        pairs = cell_join(points, polygons, point_box(x, y), geom_box(geom), cell)
+        return pairs.where(G.contains_point(geom, x, y))
+
+    if keys is None or polygons.where(_wide(geom, cell)).isEmpty():
+        return by_box(polygons)
+    wide = polygons.where(_wide(geom, cell))
+    found = points_in(points, wide, keys[0], keys[1], x, y, geom, cell).join(points, keys[0]).join(wide, keys[1])
+    return by_box(polygons.where(~_wide(geom, cell))).unionByName(found)
 
 
 def intersecting_pairs(
-    left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, cell: float
+    left: DataFrame,
+    right: DataFrame,
+    left_geom: str,
+    right_geom: str,
+    cell: float,
+    keys: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Pairs of features that share at least one point."""
-    pairs = cell_join(left, right, geom_box(left_geom), geom_box(right_geom), cell)
-    return pairs.where(G.intersects(left_geom, right_geom))
+    """Pairs of features that share at least one point.
+
+    With ``keys`` (of both sides) features with many cells go by their outline: the cells along it and the spans inside
+    it are keys, not all cells of its box.
+    """
+
+    def by_box(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = cell_join(left, right, geom_box(left_geom), geom_box(right_geom), cell)
+        return pairs.where(G.intersects(left_geom, right_geom))
+
+    if keys is None:
+        return by_box(left, right)
+    one, other = _wide(left_geom, cell), _wide(right_geom, cell)
+    if left.where(one).select(F.lit(1)).unionAll(right.where(other).select(F.lit(1))).isEmpty():
+        return by_box(left, right)
+    ends = (*keys, left_geom, right_geom, cell)
+    pairs = outline_pairs(left.where(one), right, *ends).unionByName(outline_pairs(left.where(~one), right.where(other), *ends))
+    found = pairs.join(left, keys[0]).join(right, keys[1])
+    return by_box(left.where(~one), right.where(~other)).unionByName(found)
+
+
+def touching(left: DataFrame, zones: DataFrame, key: str, geom: str, zone_geom: str, cell: float) -> DataFrame:
+    """Distinct ``key`` of the features that share a point with some zone; equal zones count as one."""
+    named = zones.select(F.struct(F.xxhash64(zone_geom), F.size(zone_geom), F.element_at(zone_geom, 1)).alias("_zone_key"), F.col(zone_geom).alias("_zone_geom"))
+    own = left.select(key, F.col(geom).alias("_own_geom"))
+    met = intersecting_pairs(own, named.where(F.size("_zone_geom") > 0), "_own_geom", "_zone_geom", cell, (key, "_zone_key"))
+    return met.select(key).distinct()
 
 
 def in_box(geom: str, minx: float, miny: float, maxx: float, maxy: float) -> Column:

@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapulse.functions import crs as P
 from terrapulse.functions import geometry as G
 from terrapulse.operators import overlay as O
-from terrapulse.operators.spatial import in_box, intersecting_pairs
+from terrapulse.operators.spatial import in_box, touching
 from terrapulse.sources.layers import stack_layers
 
 Box = tuple[float, float, float, float]
@@ -25,10 +26,24 @@ def area_id(kind: str, name: str, geom: str) -> Column:
     return F.concat(kind, F.lit("-"), part)
 
 
-def register(areas: DataFrame) -> DataFrame:
-    """``(aoi_id, label, kind, geom, bbox_wgs84)`` rows; the box is rounded to 6 decimals."""
-    b = G.bounds("geom")
-    box = F.array(*[F.round(b[c], 6) for c in ("minx", "miny", "maxx", "maxy")])
+def register(areas: DataFrame, projected: bool = False) -> DataFrame:
+    """``(aoi_id, label, kind, geom, bbox_wgs84)`` rows; the box is in degrees, rounded to 6 decimals.
+
+    Outlines are in degrees, or ``projected`` in metres. The corners of the latter are turned into degrees one by
+    one: in a conic projection the box of an outline isn't the box of two of its corners.
+    """
+
+    def ends(x: str, y: str) -> Column:
+        def spot(e: Column) -> Column:
+            x_y = P.l93_to_wgs84(e[x], e[y]) if projected else (e[x], e[y])
+            return F.struct(*[c.alias(n) for c, n in zip(x_y, "xy")])
+
+        return F.transform("geom", spot)
+
+    corners = F.concat(ends("x1", "y1"), ends("x2", "y2"))
+    along = {n: F.transform(corners, lambda p: p[n]) for n in "xy"}
+    picks = [pick(along[n]) for pick in (F.array_min, F.array_max) for n in "xy"]
+    box = F.array(*[F.round(p, 6) for p in picks])
     return areas.select(
         area_id("kind", "name", "geom").alias("aoi_id"),
         F.col("name").alias("label"),
@@ -43,9 +58,7 @@ def communes_in_area(
 ) -> DataFrame:
     """Communes of several departments that meet the area; possibly none."""
     communes = stack_layers(departments, ["code", "nom", "geom"]).drop("kind")
-    outline = area.select(F.col("geom").alias("_ageom"))
-    met = intersecting_pairs(communes.select("code", "geom"), outline, "geom", "_ageom", cell)
-    return communes.join(met.select("code").distinct(), "code", "left_semi")
+    return communes.join(touching(communes, area, "code", "geom", "geom", cell), "code", "left_semi")
 
 
 def build_area(communes: DataFrame, box: Box | None = None, cell: float = 100.0) -> DataFrame:

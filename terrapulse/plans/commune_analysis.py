@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapulse.functions import scoring as S
-from terrapulse.operators.spatial import flag_matched, intersecting_pairs, nearest_in_disk
+from terrapulse.operators.spatial import flag_matched, nearest_in_disk, touching
 from terrapulse.plans import siting as SI
 from terrapulse.session import checkpointed
 
@@ -121,10 +121,7 @@ def base_table(
         disk_k, SI.JOIN_EDGE,
     ).select("id_parcelle", F.col("statut_deploiement").alias("fibre_statut"))
     grid = SI.line_distance(parcels, power_lines, "id_hta", S.GRID_MAX_M)
-    touched = intersecting_pairs(
-        parcels.select("id_parcelle", "geom"),
-        woods.select(F.col("geom").alias("zgeom")), "geom", "zgeom", SI.PAIR_CELL_M,
-    )
+    touched = touching(parcels, woods, "id_parcelle", "geom", "geom", SI.PAIR_CELL_M)
     joined = (
         parcels.join(counts, "id_parcelle", "left")
         .join(measured, "id_parcelle", "left")
@@ -150,11 +147,8 @@ def run(parcels, buildings, fibre, power_lines, woods, aoi=None, step: float = 1
     """
     staged = SI.stage_polygons(parcels)
     if aoi is not None:
-        outline = aoi.select(F.col("geom").alias("ageom"))
-        met = intersecting_pairs(
-            staged.select("id_parcelle", "geom"), outline, "geom", "ageom", 1_000.0
-        )
-        staged = staged.join(met.select("id_parcelle").distinct(), "id_parcelle", "left_semi")
+        met = touching(staged, aoi, "id_parcelle", "geom", "geom", 1_000.0)
+        staged = staged.join(met, "id_parcelle", "left_semi")
     rows = base_table(
         staged, SI.stage_polygons(buildings), fibre, power_lines,
         SI.stage_polygons(woods), step,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapulse.operators import overlay as O
-from terrapulse.operators.spatial import intersecting_pairs, keep_matched
+from terrapulse.operators.spatial import keep_matched, touching
 from terrapulse.session import checkpointed
 
 
@@ -20,9 +20,7 @@ class InterfaceProducts:
 
 def restrict(features: DataFrame, fid: str, aoi: DataFrame, cell: float = 1_000.0) -> DataFrame:
     """Whole features that meet the area."""
-    area = aoi.select(F.col("geom").alias("_ageom"))
-    pairs = intersecting_pairs(features.select(fid, "geom"), area, "geom", "_ageom", cell)
-    return keep_matched(features, pairs, fid)
+    return keep_matched(features, touching(features, aoi, fid, "geom", "geom", cell), fid)
 
 
 def clipped_outline(features: DataFrame, fid: str, aoi: DataFrame | None, cell: float) -> DataFrame:

@@ -19,6 +19,7 @@ from terrapulse.operators.spatial import (
     nearest,
     nearest_in_disk,
     point_box,
+    touching,
     within_pairs,
 )
 from terrapulse.operators.unnest import unnest
@@ -83,7 +84,7 @@ def building_pairs(parcels: DataFrame, buildings: DataFrame, attributes: list[st
     """(parcel, building) pairs that meet, with the common footprint and its area."""
     left = parcels.select("id_parcelle", "geom")
     right = buildings.select("id_batiment", F.col("geom").alias("bgeom"), *attributes)
-    met = intersecting_pairs(left, right, "geom", "bgeom", PAIR_CELL_M)
+    met = intersecting_pairs(left, right, "geom", "bgeom", PAIR_CELL_M, ("id_parcelle", "id_batiment"))
     # Behind a generator the outline is built once, whatever later filters and measures read it.
     common = unnest(met, F.array(G.overlap("geom", "bgeom")), "footprint")
     return common.select(
@@ -175,9 +176,7 @@ def regulatory_violations(
         left, monuments, geom_box("geom"), point_box("px", "py"), d, S.MONUMENT_RING_M
     ).select("id_parcelle")
     for layer in (ppri, ebc):
-        zones = layer.select(F.col("geom").alias("zgeom"))
-        met = intersecting_pairs(left, zones, "geom", "zgeom", PAIR_CELL_M)
-        ringed = ringed.unionByName(met.select("id_parcelle"))
+        ringed = ringed.unionByName(touching(left, layer.select("geom"), "id_parcelle", "geom", "geom", PAIR_CELL_M))
     return ringed.distinct()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrapulse.functions import geometry as G
 from terrapulse.functions import scoring as S
 from terrapulse.functions.text import PROFESSIONAL_USES, is_professional
+from terrapulse.operators.cover import points_in, points_near_edges
 from terrapulse.operators.spatial import (
     containing_pairs,
     geom_box,
@@ -42,17 +43,17 @@ def clip_by_point(buildings: DataFrame, mask: DataFrame, cell: float = 1_000.0)
     """Buildings whose representative point lies inside the mask."""
     x, y = G.representative_point("geom")
     spots = buildings.select("id_bati", x.alias("_rx"), y.alias("_ry"))
-    zones = mask.select(F.col("geom").alias("_mgeom"))
-    return keep_matched(buildings, containing_pairs(spots, zones, "_rx", "_ry", "_mgeom", cell), "id_bati")
+    zones = mask.select(F.xxhash64("geom").alias("_mkey"), F.col("geom").alias("_mgeom"))
+    inside = containing_pairs(spots, zones, "_rx", "_ry", "_mgeom", cell, ("id_bati", "_mkey"))
+    return keep_matched(buildings, inside, "id_bati")
 
 
 def points_near(points: DataFrame, mask: DataFrame, buffer_m: float, key: str = "siret") -> DataFrame:
     """Points inside the mask enlarged by the buffer."""
-    zones = mask.select(F.col("geom").alias("_mgeom"))
-    d = G.point_distance("_mgeom", "px", "py")
-    cell = max(1_000.0, buffer_m)
-    near = within_pairs(points, zones, point_box("px", "py"), geom_box("_mgeom"), d, buffer_m, cell)
-    return keep_matched(points, near, key)
+    zones = mask.select(F.xxhash64("geom").alias("_mkey"), F.col("geom").alias("_mgeom"))
+    inside = points_in(points, zones, key, "_mkey", "px", "py", "_mgeom", max(1_000.0, buffer_m)).select(key)
+    beside = points_near_edges(points, zones, key, "px", "py", "_mgeom", buffer_m)
+    return keep_matched(points, inside.unionByName(beside), key)
 
 
 def attach(buildings: DataFrame, points: DataFrame, buffer_m: float) -> DataFrame:

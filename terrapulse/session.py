@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"terrapulse-core-{context.applicationId}.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for part in sorted(root.glob("terrapulse/**/*.py")):
+                archive.write(part, part.relative_to(root))
+        context.addPyFile(path)
+        _SHIPPED.add(context.applicationId)
+
+
 _PRIVATE_ROOTS: dict[str, str] = {}
 
 
@@ -47,6 +66,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _PRIVATE_ROOTS[app]
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Cut the lineage with a table bucketed and sorted by ``key`` in the shared checkpoint folder.
+
+    What reads it is partitioned by the key already: windows, groupings and joins by the key need no exchange. There
+    are as many buckets as shuffle partitions, one file each.
+    """
+    spark = df.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(count, key).sortWithinPartitions(key)
+    dealt.write.bucketBy(count, key).sortBy(key).option("path", f"{checkpoint_root(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared checkpoint folder.
 

@@ -68,20 +68,28 @@ def normalize_geofile(
         optional("activite_principale").alias("activite_principale"),
         F.col(names["latitude"]).try_cast(T.DoubleType()).alias("latitude"),
         F.col(names["longitude"]).try_cast(T.DoubleType()).alias("longitude"),
-        *([F.col(order).alias("_order")] if order else []),
+        (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"),
     ).dropna(subset=["latitude", "longitude"])
-    by = ["_order"] if order else [c for c in kept.columns if c != "siret"]
-    return first_per_key(kept, "siret", by).drop("_order")
+    return first_per_key(kept, "siret", ["_order"]).drop("_order")
 
 
 def read_geofile(spark, path: str, **options) -> DataFrame:
     """Parquet by suffix, else CSV with a header; every CSV column stays text until normalised."""
     raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True)
-    return normalize_geofile(raw, **options)
+    return normalize_geofile(in_file_order(raw), order="_place", **options)
 
 
-def normalize_wkt_points(raw: DataFrame) -> DataFrame:
-    """Mass file whose position is the text ``POINT(lon lat)``."""
+def in_file_order(raw: DataFrame) -> DataFrame:
+    """A file scan with ``_place``, which sorts its rows as the files hold them, whatever the splits."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    return raw.select("*", place.alias("_place"))
+
+
+def normalize_wkt_points(raw: DataFrame, order: str | None = None) -> DataFrame:
+    """Mass file whose position is the text ``POINT(lon lat)``; of an establishment's rows the first in ``order``.
+
+    Without ``order`` it is the order of the frame; give ``in_file_order`` and its column for that of the files.
+    """
     for name in ("siret", "the_geom", "activitenaf"):
         if name not in raw.columns:
             raise ValueError(f"missing column: {name}")
@@ -98,8 +106,9 @@ def normalize_wkt_points(raw: DataFrame) -> DataFrame:
         optional("insee").alias("insee"),
         part(2).alias("latitude"),
         part(1).alias("longitude"),
+        (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"),
     ).dropna(subset=["latitude", "longitude"])
-    return first_per_key(kept, "siret", [c for c in kept.columns if c != "siret"])
+    return first_per_key(kept, "siret", ["_order"]).drop("_order")
 
 
 def establishments_from_pages(pages: DataFrame) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrapulse.sources.elements import read_elements
+
 ITEM_SCHEMA = (
-    "items array<struct<id:string, bbox:array<double>, properties:struct<datetime:string,"
-    "`eo:cloud_cover`:double, `s2:mgrs_tile`:string, `grid:code`:string>>>"
+    "id string, bbox array<double>, properties struct<datetime:string,"
+    "`eo:cloud_cover`:double, `s2:mgrs_tile`:string, `grid:code`:string>"
 )
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """``{params, items}`` documents to ``(id, datetime, cloud_cover, tile, minx, miny, maxx, maxy)``."""
-    items = (
-        spark.read.schema(ITEM_SCHEMA).json(path, multiLine=True).select(F.explode("items").alias("i"))
-    )
+    items = read_elements(spark, path, "Feature", "items", ITEM_SCHEMA)
+    items = items.select(F.struct("id", "bbox", "properties").alias("i"))
     props = F.col("i.properties")
     tile = F.coalesce(
         F.nullif(props.getField("s2:mgrs_tile"), F.lit("")), props.getField("grid:code")

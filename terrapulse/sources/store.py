@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapulse.functions.geometry import EDGES_TYPE
+from terrapulse.session import checkpointed
 
 # Registry and product tables, with the columns that name a partition.
 TABLES = {
@@ -100,9 +101,14 @@ def replace_partition(
 def write_product(
     df: DataFrame, root: str, pillar: str, aoi_id: str, product: str, window: str | None = None
 ) -> str:
-    """Write one product under the common layout and return its folder."""
+    """Write one product under the common layout and return its folder; a geometry is written as WKB."""
+    from terrapulse.sources.vectors import write_vector
+
     folder = product_path(root, pillar, aoi_id, product, window)
-    df.write.mode("overwrite").parquet(folder, compression="zstd")
+    if "geom" in df.columns:
+        write_vector(df, folder)
+    else:
+        df.write.mode("overwrite").parquet(folder, compression="zstd")
     return folder
 
 
@@ -124,28 +130,54 @@ def stage(df: DataFrame, path: str, force: bool = False) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def write_embeddings(df: DataFrame, root: str, version: str) -> DataFrame:
-    """Write the areas and years in ``df`` and append their provenance to ``{root}/embedding_runs``.
+def write_embeddings(df: DataFrame, root: str, version: str, partitions: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """Write the areas and years in ``df`` as a new run and return its provenance.
 
-    Partitions that ``df`` has rows of are replaced; to empty one, use ``clear_embeddings``. The
-    provenance is counted over the partitions as written, so the input is computed once.
+    The rows go to a folder of their own, which nobody reads yet. The provenance, counted over the rows as written, is
+    then appended to ``{root}/embedding_runs`` by one file: it names the run's folder, so data and provenance appear
+    together and what fails before leaves the former state. ``partitions`` (area, year) that ``df`` has no rows of
+    become empty. Runs that another one has replaced keep their rows until ``drop_replaced`` is called.
     """
-    keys = ["aoi_id", "year"]
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(
-        f"{root}/embeddings", compression="zstd"
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    folder = f"{root}/embeddings/run={run}"
+    df.write.partitionBy("aoi_id", "year").parquet(folder, compression="zstd")
+    stored = spark.read.schema(df.schema).parquet(folder)
+    found = _provenance(stored, version)
+    if partitions:
+        asked = spark.createDataFrame([(a, y) for a, y in partitions], "aoi_id string, year int")
+        found = asked.join(found.withColumn("year", F.col("year").cast("int")), ["aoi_id", "year"], "full")
+        found = found.withColumns({"n_pixels": F.coalesce("n_pixels", F.lit(0)), "dataset_version": F.lit(version)})
+    order = 1 + (_runs(spark, root).agg(F.max("run_order")).first()[0] or 0)
+    runs = found.select(
+        F.col("aoi_id").cast("string"), F.col("year").cast("int"), "n_pixels", "bbox_wgs84", "dataset_version",
+        F.lit(run).alias("run"), F.lit(order).cast("long").alias("run_order"),
     )
-    spark, written = df.sparkSession, df.select(*keys).distinct()
-    stored = spark.read.parquet(f"{root}/embeddings").join(written, keys, "left_semi")
-    runs = _provenance(stored, version)
-    runs.write.mode("append").parquet(f"{root}/embedding_runs", compression="zstd")
+    # A row for each area and year: one file, whose appearance is the commit.
+    runs = checkpointed(runs)
+    runs.coalesce(1).write.mode("append").parquet(f"{root}/embedding_runs", compression="zstd")
     return runs
 
 
+RUNS = "aoi_id string, year int, n_pixels long, bbox_wgs84 array<double>, dataset_version string, run string, run_order long"
+
+
+def _runs(spark: SparkSession, root: str) -> DataFrame:
+    """All runs; no folder yet means none."""
+    spark.createDataFrame([], RUNS).write.mode("append").parquet(f"{root}/embedding_runs")
+    return spark.read.schema(RUNS).parquet(f"{root}/embedding_runs")
+
+
+def current_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The latest run of each area and year."""
+    last = F.max_by(F.struct("n_pixels", "bbox_wgs84", "dataset_version", "run"), F.struct("run_order", "run")).alias("last")
+    return _runs(spark, root).groupBy("aoi_id", "year").agg(last).select("aoi_id", "year", "last.*")
+
+
 def clear_embeddings(spark: SparkSession, root: str, aoi_id: str, year: int) -> None:
     """Leave one area and year without rows, also where a run has found nothing for it."""
-    whole = spark.read.parquet(f"{root}/embeddings")
-    empty = whole.where(F.lit(False)).drop("aoi_id", "year")
-    empty.write.mode("overwrite").parquet(f"{root}/embeddings/aoi_id={aoi_id}/year={year}")
+    order = 1 + (_runs(spark, root).agg(F.max("run_order")).first()[0] or 0)
+    empty = spark.createDataFrame([(aoi_id, year, 0, None, None, "", order)], RUNS)
+    empty.write.mode("append").parquet(f"{root}/embedding_runs", compression="zstd")
 
 
 def _provenance(df: DataFrame, version: str) -> DataFrame:
@@ -157,8 +189,22 @@ def _provenance(df: DataFrame, version: str) -> DataFrame:
 
 
 def read_embeddings(spark: SparkSession, root: str, aoi_id: str, year: int) -> DataFrame:
-    rows = spark.read.parquet(f"{root}/embeddings")
-    return rows.where((F.col("aoi_id") == aoi_id) & (F.col("year") == year))
+    """The rows of one area and year in their latest run."""
+    same = (F.col("aoi_id") == aoi_id) & (F.col("year") == year)
+    last = current_runs(spark, root).where(same).first()
+    if last is None or not last.n_pixels:
+        return spark.read.parquet(f"{root}/embeddings").where(F.lit(False)).drop("run")
+    return spark.read.option("basePath", f"{root}/embeddings/run={last.run}").parquet(f"{root}/embeddings/run={last.run}").where(same)
+
+
+def drop_replaced(spark: SparkSession, root: str) -> int:
+    """Delete the folders of runs that no area and year points to any more; returns how many."""
+    kept = current_runs(spark, root).select("run").distinct()
+    old = [r.run for r in _runs(spark, root).select("run").distinct().join(kept, "run", "left_anti").where("run <> ''").collect()]
+    for run in old:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/embeddings/run={run}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(old)
 
 
 def _suffix(path: Column) -> Column:
@@ -231,10 +277,6 @@ def extract_region(
     source: DataFrame, communes: DataFrame, path: str, key: str, source_geom: str = "geom"
 ) -> DataFrame:
     """Features meeting any commune of the region, written once; ``key`` identifies a feature."""
-    from terrapulse.operators.spatial import intersecting_pairs
+    from terrapulse.operators.spatial import touching
 
-    keyed = source.withColumn("_fid", F.col(key))
-    zones = communes.select(F.col("geom").alias("_zone"))
-    met = intersecting_pairs(keyed.select("_fid", source_geom), zones, source_geom, "_zone", 5_000.0)
-    kept = keyed.join(met.select("_fid").distinct(), "_fid", "left_semi").drop("_fid")
-    return stage(kept, path)
+    return stage(source.join(touching(source, communes, key, source_geom, "geom", 5_000.0), key, "left_semi"), path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrapulse.functions import text as X
+from terrapulse.session import checkpointed
 
 # Accepted header names.
 LATITUDE_NAMES = (
@@ -23,24 +26,27 @@ SUPPLIER_NAMES = (
 COMMODITY_NAMES = ("commodity", "raw_material", "material", "product", "supply_chain")
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds ``source_row``, the 1-based file position, without a single-task sort.
+def numbered(df: DataFrame, split: Sequence[Column] = ()) -> DataFrame:
+    """Adds ``source_row``, the 1-based position, without a single-task sort.
 
-    Partition sizes come from one small aggregate (a row per partition, on the driver); the id
-    generated per partition is then shifted by the rows before it.
+    The rows before a split are a running sum over the table of splits, joined back. ``split`` names the split of a
+    file that a row is from, in order (its path and where it begins); without it splits are the partitions of ``df``.
     """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    start, offsets = 0, []
-    for row in sizes:
-        offsets += [F.lit(row["p"]), F.lit(start)]
-        start += row["n"]
-    if not offsets:
-        return tagged.withColumn("source_row", F.lit(1).cast("bigint")).drop("_id")
-    before = F.create_map(*offsets)
-    position = F.element_at(before, part) + (F.col("_id") - F.shiftleft(part, 33)) + 1
-    return tagged.withColumn("source_row", position.cast("bigint")).drop("_id")
+    marks = [c.alias(f"_split{i}") for i, c in enumerate(split)]
+    tagged = checkpointed(df.select("*", *marks, F.monotonically_increasing_id().alias("_id")))
+    names = [f"_split{i}" for i in range(len(marks))]
+    if not names:
+        names, tagged = ["_split"], tagged.withColumn("_split", F.shiftright("_id", 33))
+    sizes = tagged.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    # One row for each split of the input.
+    upto = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*names, "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    placed = tagged.join(starts, names).withColumn("source_row", F.col("_id") - F.col("_first") + F.col("_before") + 1)
+    return placed.drop("_id", "_first", "_before", *names)
+
+
+#: The split of a file scan that a row is from.
+FILE_SPLIT = ("_metadata.file_path", "_metadata.file_block_start")
 
 
 def normalize_suppliers(raw: DataFrame) -> DataFrame:
@@ -66,7 +72,8 @@ def normalize_suppliers(raw: DataFrame) -> DataFrame:
 
 def read_suppliers(spark: SparkSession, path: str) -> DataFrame:
     """Valid supplier rows; fails when the file is empty or a row has a bad coordinate."""
-    rows = normalize_suppliers(spark.read.csv(path, header=True, schema=None))
+    raw = spark.read.csv(path, header=True, schema=None)
+    rows = normalize_suppliers(numbered(raw, [F.col(c) for c in FILE_SPLIT]))
     state = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct("source_row", "error"), F.when(F.col("error").isNotNull(), F.col("source_row"))).alias("bad"),

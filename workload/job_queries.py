@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ from terrapulse.plans import reports as RE
 from terrapulse.plans import siting as SI
 from terrapulse.plans import supplier_risk as SR
 from terrapulse.plans import vacancy as VA
+from terrapulse.session import checkpoint_root
 from terrapulse.sources import store as ST
 from workload import spatial_queries as SQ
 from workload import standins as D
@@ -44,7 +45,7 @@ def staged_parcels(spark, sf):
 def intersects_join(spark, sf):
     right = D.buildings(spark, sf).select("id_batiment", F.col("geom").alias("bgeom"))
     left = D.parcels(spark, sf).select("id_parcelle", "geom")
-    pairs = SP.intersecting_pairs(left, right, "geom", "bgeom", 100.0)
+    pairs = SP.intersecting_pairs(left, right, "geom", "bgeom", 100.0, ("id_parcelle", "id_batiment"))
     return pairs.select("id_parcelle", "id_batiment")
 
 
@@ -198,9 +199,8 @@ def exclusion_anti_join(spark, sf):
         FROM parcels p""",
 )
 def membership_flag(spark, sf):
-    zones = D.woods(spark, sf).select(F.col("geom").alias("zgeom"))
     parcels = D.parcels(spark, sf).select("id_parcelle", "geom")
-    met = SP.intersecting_pairs(parcels, zones, "geom", "zgeom", 100.0)
+    met = SP.touching(parcels, D.woods(spark, sf), "id_parcelle", "geom", "geom", 100.0)
     return SP.flag_matched(parcels, met, "id_parcelle", "dans_ebc").select("id_parcelle", "dans_ebc")
 
 
@@ -531,26 +531,46 @@ def some_eligible(spark, sf):
     ),
 )
 def ranked_export(spark, sf):
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = f"{checkpoint_root(spark)}/ranked-{uuid.uuid4().hex}"
     out = ST.export_ranked(funnel(spark, sf).eligible, folder, "score_total", "id_parcelle")
     top = spark.read.csv(out["top.csv"], header=True, schema=None)
-    return top.select(
+    ids = {
+        "ranked.parquet": spark.read.parquet(out["ranked.parquet"]).select("id_parcelle"),
+        "ranked.csv": spark.read.csv(out["ranked.csv"], header=True).select("id_parcelle"),
+        "features.json": spark.read.json(out["features.json"]).select("properties.id_parcelle"),
+    }
+    # The other outputs hold every eligible row, each once.
+    whole = ids["ranked.parquet"].agg(F.count("*").alias("n"), F.sum("id_parcelle").alias("s"))
+    for other in ("ranked.csv", "features.json"):
+        same = ids[other].agg(F.count("*").alias("n"), F.sum(F.col("id_parcelle").cast("bigint")).alias("s"))
+        whole = whole.join(same, ["n", "s"], "left_semi")
+    shown = top.select(
         F.col("id_parcelle").cast("bigint").alias("id_parcelle"),
         F.col("score_total").cast("double").alias("score_total"),
         "classe",
     )
+    held = whole.agg(F.count("*").alias("held")).scalar()
+    return shown.where(held == 1)
 
 
-@query("src21_control_layers")
+@query(
+    "src21_control_layers",
+    siting_sql(
+        """SELECT 'parcelles_qa' AS layer, (SELECT count(*) FROM parcels) AS n
+        UNION ALL SELECT 'contrainte_abf_500m', count(*) FROM monuments UNION ALL SELECT 'contrainte_ppri', count(*) FROM flood
+        UNION ALL SELECT 'contrainte_ebc', count(*) FROM woods UNION ALL SELECT 'reseau_fibre', count(*) FROM fibre
+        UNION ALL SELECT 'reseau_energie', count(*) FROM energy UNION ALL SELECT 'reseau_voirie', count(*) FROM roads
+        UNION ALL SELECT 'batiments', count(*) FROM buildings"""
+    ),
+)
 def control_layers(spark, sf):
     run = funnel(spark, sf)
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = f"{checkpoint_root(spark)}/control-{uuid.uuid4().hex}"
     layers = {
         "parcelles_qa": run.audit, "contrainte_abf_500m": D.monuments(spark, sf),
         "contrainte_ppri": D.flood_zones(spark, sf), "contrainte_ebc": D.woods(spark, sf),
         "reseau_fibre": D.fibre(spark, sf), "reseau_energie": D.energy(spark, sf),
         "reseau_voirie": D.roads(spark, sf), "batiments": D.buildings(spark, sf),
-        "heatmap_quartiers": run.heatmap,
     }
     out = None
     for name, path in ST.export_layers(layers, folder).items():
@@ -896,13 +916,27 @@ def supplier_risk(spark, sf):
     return out.select("source_row", "supplier_id", "raw_material", "risk_band")
 
 
+#: The corners of the parcels in degrees: inverse conic formulas with the published constants, the latitude by iteration.
+_LAT = "2 * atan(exp(l) * pow((1 + 0.0818191910428158 * sin({0})) / (1 - 0.0818191910428158 * sin({0})), 0.0818191910428158 / 2)) - pi() / 2"
+DEGREES = {
+    "corner": """SELECT id_parcelle, 700000 - x AS dx, 12655612.049876::DOUBLE - y AS dy FROM (SELECT id_parcelle, minx AS x, miny AS y FROM parcels
+        UNION ALL SELECT id_parcelle, minx, maxy FROM parcels UNION ALL SELECT id_parcelle, maxx, miny FROM parcels
+        UNION ALL SELECT id_parcelle, maxx, maxy FROM parcels)""",
+    "l0": """SELECT id_parcelle, 3 + degrees(atan2(-dx, dy)) / 0.7256077650532670::DOUBLE AS lon,
+        -ln(sqrt(dx * dx + dy * dy) / 11754255.426096::DOUBLE) / 0.7256077650532670::DOUBLE AS l FROM corner""",
+    "l1": "SELECT *, 2 * atan(exp(l)) - pi() / 2 AS p0 FROM l0",
+    **{f"l{k + 2}": f"SELECT *, {_LAT.format(f'p{k}')} AS p{k + 1} FROM l{k + 1}" for k in range(7)},
+    "deg": "SELECT id_parcelle, min(lon) AS west, degrees(max(p7)) AS north FROM l8 GROUP BY 1",
+}
+
+
 @query(
     "job11_area_registry",
-    with_("parcels")
+    with_("parcels", **DEGREES)
     + """SELECT CASE id_parcelle % 3 WHEN 0 THEN 'bbox-' || printf('%.4f_%.4f_%.4f_%.4f', minx, miny, maxx, maxy)
         WHEN 1 THEN 'insee-' || lpad(id_parcelle::VARCHAR, 5, '0') ELSE 'dept-' || lpad(id_parcelle::VARCHAR, 5, '0')
         END AS aoi_id, CASE id_parcelle % 3 WHEN 0 THEN 'bbox' WHEN 1 THEN 'insee' ELSE 'dept' END AS kind,
-        round(minx, 6) AS minx, round(maxy, 6) AS maxy FROM parcels""",
+        round(west, 6) AS minx, round(north, 6) AS maxy FROM parcels JOIN deg USING (id_parcelle)""",
 )
 def area_registry(spark, sf):
     k = F.col("id_parcelle")
@@ -911,20 +945,92 @@ def area_registry(spark, sf):
         F.lpad(k.cast("string"), 5, "0").alias("name"),
         "geom",
     )
-    rows = AR.register(areas)
+    rows = AR.register(areas, projected=True)
     return rows.select(
         "aoi_id", "kind", F.get("bbox_wgs84", F.lit(0)).alias("minx"), F.get("bbox_wgs84", F.lit(3)).alias("maxy")
     )
 
 
+#: A slanted outline with a hole and, for every third feature, a second part; its area by the corners.
+SLANTED = """SELECT *, w * h * 0.9 - 4 + CASE WHEN id % 3 = 0 THEN 8 ELSE 0 END AS area, CASE WHEN id % 3 = 0 THEN 11 ELSE 8 END AS n_edges
+    FROM (SELECT id_batiment AS id, minx AS x, miny AS y, maxx - minx + 10 AS w, maxy - miny + 10 AS h FROM buildings)"""
+
+
+def slanted(spark, sf):
+    """Buildings as text geometry: a sheared quadrilateral with a square hole, some with a triangle beside it."""
+    b = D.buildings(spark, sf).selectExpr("id_batiment", "minx AS x", "miny AS y", "maxx - minx + 10 AS w", "maxy - miny + 10 AS h")
+    at = lambda *spots: ", ".join(f"' || ({x}) || ' ' || ({y}) || ' 7" for x, y in spots)
+    outer = at(("x", "y"), ("x + w", "y + 0.1D * h"), ("x + w", "y + h"), ("x", "y + 0.9D * h"), ("x", "y"))
+    hole = at(("x + 3", "y + 4"), ("x + 5", "y + 4"), ("x + 5", "y + 6"), ("x + 3", "y + 6"), ("x + 3", "y + 4"))
+    beside = at(("x - 9", "y"), ("x - 5", "y"), ("x - 5", "y + 4"), ("x - 9", "y"))
+    one, two = f"'POLYGON Z (({outer}), ({hole}))'", f"'MULTIPOLYGON Z ((({outer}), ({hole})), (({beside})))'"
+    return b.selectExpr("id_batiment AS id", f"CASE WHEN id_batiment % 3 = 0 THEN {two} ELSE {one} END AS geometry")
+
+
+def _layer_path(spark, name: str) -> str:
+    return f"{checkpoint_root(spark)}/layer-{uuid.uuid4().hex}/{name}.parquet"
+
+
+def _round_trip(spark, sf, encoding):
+    from terrapulse.sources.vectors import read_vector, with_edges, write_vector
+
+    path = _layer_path(spark, "slanted")
+    write_vector(with_edges(slanted(spark, sf)), path, encoding)
+    read = read_vector(spark, path)
+    return read.select("id", r(G.area("geom")).alias("area"), F.size("geom").cast("long").alias("n_edges"))
+
+
 @query(
     "src01_vector_round_trip",
-    with_("buildings") + "SELECT id_batiment, round((maxx - minx) * (maxy - miny), 6) AS area FROM buildings",
+    with_("buildings", slanted=SLANTED) + "SELECT id, round(area, 6) AS area, n_edges::BIGINT AS n_edges FROM slanted",
 )
 def vector_round_trip(spark, sf):
-    from terrapulse.sources.vectors import read_vector
+    return _round_trip(spark, sf, "wkb")
+
+
+@query(
+    "src02_text_geometry",
+    with_("buildings", slanted=SLANTED) + "SELECT id, round(area, 6) AS area, n_edges::BIGINT AS n_edges FROM slanted",
+)
+def text_geometry(spark, sf):
+    return _round_trip(spark, sf, "wkt")
 
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{root}/buildings.parquet"
-    D.buildings(spark, sf).select("id_batiment", "geom").write.parquet(path, compression="zstd")
-    return read_vector(spark, path).select("id_batiment", r(G.area("geom")).alias("area"))
+
+#: Rows with faults in known places: each check has to find its own.
+FAULTY = {
+    "f": """SELECT id_parcelle, id_parcelle % 130 - 10 AS s, CASE WHEN id_parcelle % 9 = 0 THEN 'Premium' WHEN id_parcelle % 130 - 10 >= 90 THEN 'Premium'
+        WHEN id_parcelle % 130 - 10 >= 70 THEN 'Bon' ELSE 'Moyen' END AS classe FROM parcels""",
+}
+
+
+@query(
+    "dq10_faults_are_found",
+    with_("parcels", "flood", **FAULTY)
+    + f"""SELECT 'duplicates' AS fault, count(*) AS violations FROM f WHERE id_parcelle % 10 = 0
+        UNION ALL SELECT 'geometry', count(*) FROM f WHERE id_parcelle % 7 = 0
+        UNION ALL SELECT 'range', count(*) FROM f WHERE s < 0 OR s > 100
+        UNION ALL SELECT 'class', count(*) FROM f WHERE id_parcelle % 9 = 0 AND s < 90
+        UNION ALL SELECT 'zone', count(*) FROM parcels p WHERE EXISTS (SELECT 1 FROM flood f WHERE {meets('p', 'f')})""",
+)
+def faults_are_found(spark, sf):
+    p = D.parcels(spark, sf)
+    k = F.col("id_parcelle")
+    score = (k % 130 - 10).cast("double")
+    named = F.when(k % 9 == 0, "Premium").when(score >= 90, "Premium").when(score >= 70, "Bon").otherwise("Moyen")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    bow = F.array(corner("minx", "miny"), corner("maxx", "maxy"), corner("maxx", "miny"), corner("minx", "maxy"), corner("minx", "miny"))
+    rows = p.select(k, score.alias("s"), named.alias("classe"), F.when(k % 7 == 0, bow).otherwise(F.col("ring")).alias("ring"), "geom")
+    none = D.monuments(spark, sf).where(F.lit(False))
+    zone = SI.regulatory_violations(rows, none, D.flood_zones(spark, sf), D.woods(spark, sf).where(F.lit(False)))
+    found = {
+        "duplicates": Q.duplicate_ids(rows.unionByName(rows.where(k % 10 == 0)), "id_parcelle"),
+        "geometry": Q.violations(rows, ~G.is_valid("ring")),
+        "range": Q.violations(rows, Q.score_out_of_range(F.col("s"))),
+        "class": Q.violations(rows, Q.class_mismatch(F.col("classe"), F.col("s"))),
+        "zone": zone.agg(F.count(F.lit(1)).alias("violations")),
+    }
+    parts = [df.select(F.lit(name).alias("fault"), F.col(df.columns[0]).alias("violations")) for name, df in found.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

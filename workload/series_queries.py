@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrapulse.functions import geometry as G
 from terrapulse.functions import indices as I
 from terrapulse.operators import breaks as B
 from terrapulse.operators import composite as C
@@ -118,7 +119,7 @@ def deseasonalize(spark, sf):
     with_("deseason") + "SELECT pixel_id, month, round(v, 6) AS v FROM deseason",
 )
 def series_for_trend(spark, sf):
-    return SE.series_for_trend(monthly(spark, sf)).select("pixel_id", "month", r("v").alias("v"))
+    return SE.series_for_trend(monthly(spark, sf), obs=D.observations(spark, sf)).select("pixel_id", "month", r("v").alias("v"))
 
 
 @query(
@@ -474,6 +475,45 @@ def vegetation_zones(spark, sf):
     return rounded_stats(job_vegetation(spark, sf).zone_stats)
 
 
+#: The pixels' places on the grid and zones that are polygons over it: one row of cells for each zone.
+GRID_ZONES = {
+    "pixel_zone": """SELECT s_suppkey AS pixel_id, z.zone FROM supplier JOIN (SELECT n_nationkey AS zone FROM nation) z
+        ON floor(s_suppkey / 40) % 25 = z.zone""",
+    "zones": "SELECT n_nationkey AS zone, n_name AS nom FROM nation",
+    "obs": """SELECT pixel_id, day AS ts, arg_min(v, (ts, scene)) FILTER (v IS NOT NULL) AS v FROM (
+        SELECT l_suppkey AS pixel_id, l_orderkey * 10 + l_linenumber AS scene, l_shipdate AS ts,
+        (l_shipdate + to_seconds(((l_suppkey % 360 - 180)::DOUBLE / 15 * 3600)::BIGINT))::DATE AS day,
+        CASE WHEN l_linenumber IN (4, 5, 6, 7) THEN (nir - red) / nullif(nir + red, 0) END AS v FROM (
+        SELECT *, (l_partkey % 3000 + 900 - 1000) * (1.0::DOUBLE / 10000) AS red,
+        (l_quantity * 100 + 1500 - 1000) * (1.0::DOUBLE / 10000) AS nir FROM lineitem)) GROUP BY 1, 2""",
+    "axis": """SELECT m::DATE AS month, row_number() OVER (ORDER BY m) - 1 AS mi FROM (
+        SELECT unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), INTERVAL 1 MONTH)) AS m FROM obs)""",
+    "monthly": D.CTE["monthly"], "deseason": D.CTE["deseason"], "drought": D.CTE["drought"], **STATS,
+}
+
+
+@query("job01_from_bands", with_(**GRID_ZONES) + f"SELECT zone, nom, {STAT_SQL} FROM stats")
+def vegetation_from_bands(spark, sf):
+    line = D.read(spark, sf, "lineitem")
+    scenes = line.select(
+        F.col("l_suppkey").alias("pixel_id"),
+        F.col("l_shipdate").alias("ts"),
+        (F.col("l_suppkey") % 360 - 180).cast("double").alias("lon"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("scene"),
+        (F.col("l_partkey") % 3000 + 900).cast("double").alias("red"),
+        (F.col("l_quantity") * 100 + 1500).alias("nir"),
+        F.col("l_linenumber").alias("scl"),
+    )
+    pixels = D.read(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("pixel_id"), (F.col("s_suppkey") % 40).alias("col"),
+        (F.floor(F.col("s_suppkey") / 40) % 25).alias("row"),
+    )
+    # Slanted strips within their row of cells.
+    strip = "transform(array(struct(0.5D AS x, zone * 10 + 2D AS y), struct(399D AS x, zone * 10 + 3D AS y), struct(398D AS x, zone * 10 + 9D AS y), struct(1D AS x, zone * 10 + 8D AS y), struct(0.5D AS x, zone * 10 + 2D AS y)), p -> p)"
+    zones = D.zones(spark, sf).withColumn("geom", G.ring_edges(strip))
+    return rounded_stats(V.run_scenes(scenes, pixels, zones, 10.0).zone_stats)
+
+
 @query(
     "geo28_solar_day_fusion",
     """SELECT pixel_id, day, arg_min(v, (ts, scene)) AS v FROM (
