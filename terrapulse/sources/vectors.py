@@ -51,6 +51,8 @@ def write_vector(layer: DataFrame, path: str, encoding: str = "wkb") -> None:
         raise ValueError(f"unknown geometry encoding {encoding!r}")
     ship(layer.sparkSession)
     geometry = (I.edges_wkb if encoding == "wkb" else I.edges_wkt)(F.col("geom"))
+    # Behind a generator the outline is a column: Python functions can't take an expression with lambdas.
+    layer = layer.withColumn("geom", F.explode_outer(F.array("geom")))
     layer.select(*[geometry.alias("geometry") if c == "geom" else c for c in layer.columns]).write.mode("overwrite").parquet(path, compression="zstd")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
 from terrapulse.functions import interchange as I
-from terrapulse.session import checkpoint_root
+from terrapulse.session import checkpoint_root, checkpointed
 from terrapulse.sources import establishments as ES
 from terrapulse.sources import store as ST
 from terrapulse.sources import suppliers as SU
@@ -351,6 +351,7 @@ def shuffled_edges(spark, sf):
     """Edges in another order make the same rings again."""
     layer = VE.with_edges(slanted(spark, sf))
     mixed = layer.withColumn("geom", F.expr("transform(array_sort(transform(geom, e -> struct(xxhash64(e) AS h, e AS e))), s -> s.e)"))
-    text = mixed.select("id", I.edges_wkt(F.col("geom")).alias("wkt"))
+    mixed = mixed.withColumn("geom", F.explode_outer(F.array("geom")))
+    text = checkpointed(mixed.select("id", I.edges_wkt(F.col("geom")).alias("wkt")))
     back = text.select("id", F.regexp_extract("wkt", "^[A-Z]+", 0).alias("kind"), I.wkt_edges("wkt").alias("geom"))
     return back.select("id", r(G.area("geom")).alias("area"), "kind")
