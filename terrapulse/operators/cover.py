@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
 from terrapulse.operators.unnest import unnest
-from terrapulse.session import checkpointed
+from terrapulse.session import checkpointed, shuffled
 
 #: Spans are cut into blocks of 1, 8, 64, ... cells, up to this power.
 RADIX, POWERS = 8, 7
@@ -128,9 +128,9 @@ def points_in(points: DataFrame, polygons: DataFrame, point_key: str, key: str,
     held = unnest(rows.select(key, "cy", "inside"), F.expr(f"flatten(transform(inside, s -> {_blocks('s')}))"), "_block").select(key, "cy", "_block.power", "_block.at")
     powers = F.array(*[F.struct(F.lit(p).alias("power"), F.floor(F.col("cx") / RADIX**p).alias("at")) for p in range(POWERS)])
     keyed = spots.withColumn("_block", F.explode(powers)).select(point_key, "cy", "_block.power", "_block.at")
-    whole = keyed.join(held, ["cy", "power", "at"]).select(point_key, key)
+    whole = keyed.join(shuffled(held), ["cy", "power", "at"]).select(point_key, key)
     border = unnest(rows.select(key, "cy", "borders"), F.expr("flatten(transform(borders, r -> sequence(r.x0, r.x1)))"), "cx").select(key, "cy", "cx")
-    near = spots.join(border, ["cx", "cy"]).join(rows.select(key, "cy", "edges"), [key, "cy"])
+    near = spots.join(shuffled(border), ["cx", "cy"]).join(shuffled(rows.select(key, "cy", "edges")), [key, "cy"])
     judged = near.where(G.contains_point("edges", "px", "py")).select(point_key, key)
     return whole.unionByName(judged)
 
@@ -152,7 +152,7 @@ def outline_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     """Distinct ``left_key, right_key`` of features that share a point: outlines meet, or a part lies inside the other."""
     one, other = edge_cells(left, left_key, left_geom, cell), edge_cells(right, right_key, right_geom, cell).withColumnRenamed("e", "f")
     one, other = _dealt(checkpointed(one), checkpointed(other))
-    met = one.join(other, ["cx", "cy", "deal"]).where(F.expr(G._meet("e", "f"))).select(left_key, right_key)
+    met = one.join(shuffled(other), ["cx", "cy", "deal"]).where(F.expr(G._meet("e", "f"))).select(left_key, right_key)
     inner = points_in(parts_starts(left, left_key, left_geom), right, left_key, right_key, "x", "y", right_geom, cell)
     outer = points_in(parts_starts(right, right_key, right_geom), left, right_key, left_key, "x", "y", left_geom, cell)
     return met.unionByName(inner).unionByName(outer.select(left_key, right_key)).distinct()
@@ -165,5 +165,5 @@ def points_near_edges(points: DataFrame, polygons: DataFrame, point_key: str, x:
     near = F.array(*[F.lit(v).cast("bigint") for v in (-1, 0, 1)])
     spots = points.select(point_key, F.col(x).alias("px"), F.col(y).alias("py"), F.expr(_at(x, size)).alias("qx"), F.expr(_at(y, size)).alias("qy"))
     spots = spots.withColumn("cx", F.explode(F.transform(near, lambda d: F.col("qx") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: F.col("qy") + d)))
-    met = spots.join(along, ["cx", "cy"])
+    met = spots.join(shuffled(along), ["cx", "cy"])
     return met.where(F.expr(f"{G._point_segment('e', 'px', 'py')} <= {G.num(radius)}")).select(point_key)

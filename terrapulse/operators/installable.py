@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrapulse.functions import geometry as G
 from terrapulse.operators.unnest import unnest
-from terrapulse.session import checkpointed
+from terrapulse.session import checkpointed, shuffled
 
 
 def _line_y(step: float) -> str:
@@ -92,7 +92,7 @@ def installable_zone(
     free = checkpointed(setback_spans(parcels, key, geom, setback, step))
     built = footprint_spans(footprints, key, footprint_geom, step)
     taken = (
-        free.join(built.withColumnsRenamed({"a": "_a", "b": "_b"}), [key, "row"])
+        free.join(shuffled(built.withColumnsRenamed({"a": "_a", "b": "_b"})), [key, "row"])
         .select(key, "row", F.greatest("a", "_a").alias("a"), F.least("b", "_b").alias("b"))
         .where(F.col("b") > F.col("a"))
     )
@@ -101,7 +101,7 @@ def installable_zone(
         F.sum("m").alias("m"), F.sum("mx").alias("mx"), F.sum("my").alias("my")
     )
     some = F.when(F.col("m") > 1e-9, F.col("m"))
-    return parcels.select(key).join(summed, key, "left").select(
+    return parcels.select(key).join(shuffled(summed), key, "left").select(
         key,
         F.coalesce(some, F.lit(0.0)).alias("install_m2"),
         (F.col("mx") / some).alias("install_x"),

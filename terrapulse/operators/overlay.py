@@ -9,6 +9,7 @@ from terrapulse.functions import geometry as G
 from terrapulse.operators import raster as R
 from terrapulse.operators.spatial import cell_join, geom_box
 from terrapulse.operators.unnest import unnest
+from terrapulse.session import shuffled
 
 
 def edge_table(features: DataFrame, fid: str, geom: str = "geom") -> DataFrame:
@@ -159,7 +160,7 @@ def interface_band_ha(
     wooded = R.burn_centers(forest, geom, step).select("col", "row").distinct()
     if aoi is not None:
         kept = R.burn_centers(aoi, geom, step).select("col", "row").distinct()
-        wooded = wooded.join(kept, ["col", "row"], "left_semi")
+        wooded = wooded.join(shuffled(kept), ["col", "row"], "left_semi")
     reached = R.cells_within(built, geom, contact_m, step).select("col", "row").distinct()
-    both = wooded.join(reached, ["col", "row"], "left_semi")
+    both = wooded.join(shuffled(reached), ["col", "row"], "left_semi")
     return both.agg((F.count(F.lit(1)) * F.lit(step * step / 10_000.0)).alias("interface_zone_ha"))

@@ -13,7 +13,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from terrapulse.session import checkpointed
+from terrapulse.session import checkpointed, shuffled
 
 #: Cells of a level along each axis of a cell of the next one.
 STEP = 8
@@ -100,11 +100,11 @@ def candidates(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box,
     rows = _narrowed(start.withColumn("bound", F.lit(float("inf"))), key)
     for children in reversed(levels[1:]):
         asked = rows.select(key, "lbox", "bound", F.explode("found").alias("c")).select(key, "lbox", "bound", "c.cx", "c.cy")
-        met = asked.join(children.select("cx", "cy", F.col("children").alias("found")), ["cx", "cy"])
+        met = asked.join(shuffled(children.select("cx", "cy", F.col("children").alias("found"))), ["cx", "cy"])
         # Each row keeps what its own bound leaves; the cells of one feature then share the best bound.
         part = _narrowed(met, key)
         gathered = part.groupBy(key).agg(F.first("lbox").alias("lbox"), F.min("bound").alias("bound"), F.flatten(F.collect_list("found")).alias("found"))
         rows = gathered.withColumn("found", F.filter("found", lambda c: c["gap"] <= F.col("bound")))
     asked = rows.select(key, "lbox", "bound", F.explode("found").alias("c")).select(key, "lbox", "bound", "c.cx", "c.cy")
     members = features.select(*_cell(bottom), other, "rbox")
-    return asked.join(members, ["cx", "cy"]).where(_gap(F.col("lbox"), F.col("rbox")) <= F.col("bound")).select(key, other)
+    return asked.join(shuffled(members), ["cx", "cy"]).where(_gap(F.col("lbox"), F.col("rbox")) <= F.col("bound")).select(key, other)

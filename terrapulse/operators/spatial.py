@@ -17,7 +17,7 @@ from terrapulse.functions import hexgrid as H
 from terrapulse.operators.cover import outline_pairs, points_in
 from terrapulse.operators.pyramid import candidates
 from terrapulse.operators.unnest import unnest
-from terrapulse.session import checkpointed
+from terrapulse.session import checkpointed, shuffled
 
 Box = tuple[Column, Column, Column, Column]
 
@@ -72,7 +72,7 @@ def cell_join(
         & (F.col("_l1") <= F.col("_r3"))
         & (F.col("_r1") <= F.col("_l3"))
     )
-    joined = low.join(high, ["_cx", "_cy"]).where(owner[0] & owner[1] & overlap)
+    joined = low.join(shuffled(high), ["_cx", "_cy"]).where(owner[0] & owner[1] & overlap)
     return joined.drop("_cx", "_cy", *[f"_{s}{i}" for s in "lr" for i in range(4)])
 
 
@@ -96,18 +96,18 @@ def within_pairs(
 
 def keep_matched(left: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` with at least one pair."""
-    return left.join(pairs.select(key).distinct(), key, "left_semi")
+    return left.join(shuffled(pairs.select(key).distinct()), key, "left_semi")
 
 
 def drop_matched(left: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` without a pair."""
-    return left.join(pairs.select(key).distinct(), key, "left_anti")
+    return left.join(shuffled(pairs.select(key).distinct()), key, "left_anti")
 
 
 def flag_matched(left: DataFrame, pairs: DataFrame, key: str, name: str) -> DataFrame:
     """``left`` with a boolean telling whether a pair exists."""
     hit = pairs.select(key).distinct().withColumn(name, F.lit(True))
-    return left.join(hit, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return left.join(shuffled(hit), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def best_pair(pairs: DataFrame, key: str, other: str, attributes: Sequence[str]) -> DataFrame:
@@ -143,7 +143,7 @@ def hex_disk_pairs(
         )
         .drop("_dq", "_dr")
     )
-    joined = low.join(high, ["_bq", "_br"]).drop("_bq", "_br")
+    joined = low.join(shuffled(high), ["_bq", "_br"]).drop("_bq", "_br")
     return joined.where(H.cell_distance(F.col(left_cell), F.col(right_cell)) <= k)
 
 
@@ -174,7 +174,7 @@ def nearest_in_disk(
     close = within_pairs(slim, points, box, point_box("px", "py"), d, radius)
     certain = close.where(F.col("d") + F.col("_reach") <= F.lit(H.inner_radius(k, edge)))
     settled = checkpointed(best_pair(certain, key, other, attributes))
-    rest = slim.join(settled.select(key), key, "left_anti")
+    rest = slim.join(shuffled(settled.select(key)), key, "left_anti")
     wide = hex_disk_pairs(rest, points, "cell", "pcell", k).withColumn("d", d)
     return settled.unionByName(best_pair(wide, key, other, attributes))
 
@@ -201,9 +201,9 @@ def nearest(
     if max_radius is None:
         pairs = within_pairs(left, right, left_box, right_box, distance, float(first_radius))
         close = checkpointed(best_pair(pairs, key, other, []))
-        apart = left.join(close.select(key), key, "left_anti")
+        apart = left.join(shuffled(close.select(key)), key, "left_anti")
         few = candidates(apart, right, left_box, right_box, key, other, float(first_radius))
-        far = few.join(apart, key).join(right, other).withColumn("d", distance)
+        far = few.join(shuffled(apart), key).join(shuffled(right), other).withColumn("d", distance)
         return close.unionByName(best_pair(far, key, other, []))
     radius, found, open_rows = float(first_radius), [], left
     while True:
@@ -215,7 +215,7 @@ def nearest(
             break
         best = checkpointed(best)
         found.append(best)
-        open_rows = checkpointed(open_rows.join(best.select(key), key, "left_anti"))
+        open_rows = checkpointed(open_rows.join(shuffled(best.select(key)), key, "left_anti"))
         if open_rows.isEmpty():
             break
         radius *= growth
@@ -257,7 +257,7 @@ def containing_pairs(
     if keys is None or polygons.where(_wide(geom, cell)).isEmpty():
         return by_box(polygons)
     wide = polygons.where(_wide(geom, cell))
-    found = points_in(points, wide, keys[0], keys[1], x, y, geom, cell).join(points, keys[0]).join(wide, keys[1])
+    found = points_in(points, wide, keys[0], keys[1], x, y, geom, cell).join(shuffled(points), keys[0]).join(shuffled(wide), keys[1])
     return by_box(polygons.where(~_wide(geom, cell))).unionByName(found)
 
 
@@ -286,7 +286,7 @@ def intersecting_pairs(
         return by_box(left, right)
     ends = (*keys, left_geom, right_geom, cell)
     pairs = outline_pairs(left.where(one), right, *ends).unionByName(outline_pairs(left.where(~one), right.where(other), *ends))
-    found = pairs.join(left, keys[0]).join(right, keys[1])
+    found = pairs.join(shuffled(left), keys[0]).join(shuffled(right), keys[1])
     return by_box(left.where(~one), right.where(~other)).unionByName(found)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrapulse.functions import scoring as S
 from terrapulse.operators.spatial import flag_matched, nearest_in_disk, touching
 from terrapulse.plans import siting as SI
-from terrapulse.session import checkpointed
+from terrapulse.session import checkpointed, shuffled
 
 AXES = ("foncier", "nuisances", "fibre", "energie", "reglement")
 LABELS = ("1-Foncier", "2-Nuisances", "3-Fibre", "4-Energie (HTA)", "5-EBC")
@@ -123,10 +123,10 @@ def base_table(
     grid = SI.line_distance(parcels, power_lines, "id_hta", S.GRID_MAX_M)
     touched = touching(parcels, woods, "id_parcelle", "geom", "geom", SI.PAIR_CELL_M)
     joined = (
-        parcels.join(counts, "id_parcelle", "left")
-        .join(measured, "id_parcelle", "left")
-        .join(near, "id_parcelle", "left")
-        .join(grid.withColumnRenamed("d", "dist_hta_m"), "id_parcelle", "left")
+        parcels.join(shuffled(counts), "id_parcelle", "left")
+        .join(shuffled(measured), "id_parcelle", "left")
+        .join(shuffled(near), "id_parcelle", "left")
+        .join(shuffled(grid.withColumnRenamed("d", "dist_hta_m")), "id_parcelle", "left")
     )
     flagged = flag_matched(joined, touched, "id_parcelle", "dans_ebc")
     built = F.coalesce("emprise_m2", F.lit(0.0))
@@ -148,7 +148,7 @@ def run(parcels, buildings, fibre, power_lines, woods, aoi=None, step: float = 1
     staged = SI.stage_polygons(parcels)
     if aoi is not None:
         met = touching(staged, aoi, "id_parcelle", "geom", "geom", 1_000.0)
-        staged = staged.join(met, "id_parcelle", "left_semi")
+        staged = staged.join(shuffled(met), "id_parcelle", "left_semi")
     rows = base_table(
         staged, SI.stage_polygons(buildings), fibre, power_lines,
         SI.stage_polygons(woods), step,

@@ -23,7 +23,7 @@ from terrapulse.operators.spatial import (
     within_pairs,
 )
 from terrapulse.operators.unnest import unnest
-from terrapulse.session import checkpointed
+from terrapulse.session import checkpointed, shuffled
 
 # Search rings per layer, in hexagons of the join grain.
 DISK_K = {"fibre": 6, "energie": 12}
@@ -108,7 +108,7 @@ def free_surface(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
     built = F.coalesce("emprise_m2", F.lit(0.0))
     zero = F.lit(0).cast("bigint")
     return (
-        parcels.join(counts, "id_parcelle", "left")
+        parcels.join(shuffled(counts), "id_parcelle", "left")
         .withColumn("surface_libre_m2", F.col("surface_m2") - built)
         .withColumns(
             {
@@ -129,10 +129,10 @@ def install_measures(parcels: DataFrame, pairs: DataFrame, step: float) -> DataF
     """
     slim = parcels.select("id_parcelle", "geom")
     solid = pairs.where(F.size("footprint") > 0).select("id_parcelle", "footprint")
-    kept = solid.join(slim.select("id_parcelle"), "id_parcelle", "left_semi")
+    kept = solid.join(shuffled(slim.select("id_parcelle")), "id_parcelle", "left_semi")
     zone = installable_zone(slim, kept, "id_parcelle", step=step, setback=S.SETBACK_M)
     to_built = (
-        zone.join(kept, "id_parcelle")
+        zone.join(shuffled(kept), "id_parcelle")
         .groupBy("id_parcelle")
         .agg(
             F.min(G.point_distance("footprint", "install_x", "install_y")).alias(
@@ -143,8 +143,8 @@ def install_measures(parcels: DataFrame, pairs: DataFrame, step: float) -> DataF
     )
     to_parcel = G.point_distance("geom", "install_x", "install_y")
     return (
-        slim.join(zone, "id_parcelle")
-        .join(to_built, "id_parcelle", "left")
+        slim.join(shuffled(zone), "id_parcelle")
+        .join(shuffled(to_built), "id_parcelle", "left")
         .select(
             "id_parcelle",
             "install_m2",
@@ -238,9 +238,10 @@ def audit_layer(base: DataFrame, filters: list[DataFrame], eligible: DataFrame)
     names = [f"pass_0{i + 1}" for i in range(len(filters))]
     for name, kept in zip(names, filters):
         out = out.join(
-            kept.select("id_parcelle", F.lit(True).alias(name)), "id_parcelle", "left"
+            shuffled(kept.select("id_parcelle", F.lit(True).alias(name))), "id_parcelle", "left"
         ).withColumn(name, F.coalesce(name, F.lit(False)))
-    out = out.join(eligible.select("id_parcelle", "classe", "score_total"), "id_parcelle", "left")
+    scored = eligible.select("id_parcelle", "classe", "score_total")
+    out = out.join(shuffled(scored), "id_parcelle", "left")
     failed = F.when(~F.col(names[0]), STEPS[0])
     for name, step in zip(names[1:], STEPS[1:]):
         failed = failed.when(~F.col(name), step)
@@ -260,12 +261,12 @@ def run(layers: Layers, step: float = 1.0) -> Funnel:
     f1 = checkpointed(
         base.where(gate).withColumn("score_foncier", S.land_score(F.col("surface_libre_m2")))
     )
-    solid = checkpointed(pairs.join(f1.select("id_parcelle"), "id_parcelle", "left_semi"))
-    measured = f1.join(install_measures(f1, solid, step), "id_parcelle")
+    solid = checkpointed(pairs.join(shuffled(f1.select("id_parcelle")), "id_parcelle", "left_semi"))
+    measured = f1.join(shuffled(install_measures(f1, solid, step)), "id_parcelle")
     gated = checkpointed(measured.where(S.nuisance_gate(F.col("install_m2"), F.col("dist_bati_m"))))
     roads = line_distance(gated, layers.voirie, "id_troncon", S.ROAD_ACCESS_M / 3.0)
     f2 = checkpointed(
-        gated.join(roads.withColumnRenamed("d", "dist_voirie_m"), "id_parcelle", "left").withColumn(
+        gated.join(shuffled(roads.withColumnRenamed("d", "dist_voirie_m")), "id_parcelle", "left").withColumn(
             "score_nuisances",
             S.nuisance_score(F.col("install_m2"), F.col("dist_bati_m"), F.col("dist_voirie_m")),
         )
@@ -276,10 +277,12 @@ def run(layers: Layers, step: float = 1.0) -> Funnel:
     )
     f3 = (
         f2.join(
-            fibre.select(
-                "id_parcelle",
-                F.col("statut_deploiement").alias("fibre_statut"),
-                F.col("d").alias("dist_fibre_m"),
+            shuffled(
+                fibre.select(
+                    "id_parcelle",
+                    F.col("statut_deploiement").alias("fibre_statut"),
+                    F.col("d").alias("dist_fibre_m"),
+                )
             ),
             "id_parcelle",
         )
@@ -293,10 +296,12 @@ def run(layers: Layers, step: float = 1.0) -> Funnel:
     )
     f4 = checkpointed(
         f3.join(
-            energy.select(
-                "id_parcelle",
-                F.col("puissance_disponible_kva").alias("puissance_dispo_kva"),
-                F.col("d").alias("dist_poste_m"),
+            shuffled(
+                energy.select(
+                    "id_parcelle",
+                    F.col("puissance_disponible_kva").alias("puissance_dispo_kva"),
+                    F.col("d").alias("dist_poste_m"),
+                )
             ),
             "id_parcelle",
         )
