@@ -33,7 +33,9 @@ def setback_spans(parcels: DataFrame, key: str, geom: str, setback: float, step:
     lined = unnest(framed, _rows(b["miny"], b["maxy"], step), "row")
     y = _line_y(step)
     ruled = lined.withColumn("_line", G.segment("_lo", y, "_hi", y))
-    spans = f"transform({geom}, e_sb -> {G.near_span.sql('_line', 'e_sb', setback)})"
+    # Of an outline few edges are near a line; the margin leaves the rim to the exact test.
+    beside = f"filter({geom}, e_sb -> {y} BETWEEN least(e_sb.y1, e_sb.y2) - {setback + 1.0}D AND greatest(e_sb.y1, e_sb.y2) + {setback + 1.0}D)"
+    spans = f"transform({beside}, e_sb -> {G.near_span.sql('_line', 'e_sb', setback)})"
     near = (
         f"transform(filter({spans}, s_sb -> s_sb IS NOT NULL), s_sb -> named_struct("
         "'a', _lo + s_sb.t0 * (_hi - _lo), 'b', _lo + s_sb.t1 * (_hi - _lo)))"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from terrapulse.session import checkpointed, shuffled
@@ -19,6 +19,8 @@ from terrapulse.session import checkpointed, shuffled
 STEP = 8
 #: Cells along an axis at the top, whose bounds go into the plan as constants.
 TOP = 16
+#: Left rows under one key of a join at most; a more crowded key is dealt over copies of the right rows.
+DEALT = 5_000
 #: Features under a bottom cell at most, as far as ``FINER`` further levels can tell them apart.
 CROWD, FINER = 64, 6
 
@@ -74,6 +76,21 @@ def _narrowed(rows: DataFrame, key: str) -> DataFrame:
     return own.withColumn("found", F.transform(left, lambda c: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), _gap(F.col("lbox"), c["rbox"]).alias("gap"))))
 
 
+def dealt_join(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Inner join where any number of rows of ``many`` may share a key: crowded ones are dealt over copies of ``few``.
+
+    Rows far from everything all ask for the same few cells and features.
+    """
+    many = checkpointed(many)
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DEALT)
+    # One row for every DEALT rows of the left side at most.
+    crowded = F.broadcast(checkpointed(counts.select(*on, F.ceil(F.col("_n") / DEALT).cast("int").alias("_parts"))))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(crowded, on, "left").withColumn("_deal", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    right = few.join(crowded, on, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(shuffled(right), [*on, "_deal"]).drop("_deal")
+
+
 def candidates(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box, key: str, other: str, bottom: float) -> DataFrame:
     """``key, other`` of pairs among which are the nearest ones of every ``key`` (all of equal distance)."""
     features = checkpointed(right.select(other, _boxed("rbox", right_box)).where(F.col("rbox.x0").isNotNull()))
@@ -100,11 +117,32 @@ def candidates(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box,
     rows = _narrowed(start.withColumn("bound", F.lit(float("inf"))), key)
     for children in reversed(levels[1:]):
         asked = rows.select(key, "lbox", "bound", F.explode("found").alias("c")).select(key, "lbox", "bound", "c.cx", "c.cy")
-        met = asked.join(shuffled(children.select("cx", "cy", F.col("children").alias("found"))), ["cx", "cy"])
+        met = dealt_join(asked, children.select("cx", "cy", F.col("children").alias("found")), ["cx", "cy"], key)
         # Each row keeps what its own bound leaves; the cells of one feature then share the best bound.
         part = _narrowed(met, key)
         gathered = part.groupBy(key).agg(F.first("lbox").alias("lbox"), F.min("bound").alias("bound"), F.flatten(F.collect_list("found")).alias("found"))
         rows = gathered.withColumn("found", F.filter("found", lambda c: c["gap"] <= F.col("bound")))
     asked = rows.select(key, "lbox", "bound", F.explode("found").alias("c")).select(key, "lbox", "bound", "c.cx", "c.cy")
     members = features.select(*_cell(bottom), other, "rbox")
-    return asked.join(shuffled(members), ["cx", "cy"]).where(_gap(F.col("lbox"), F.col("rbox")) <= F.col("bound")).select(key, other)
+    met = dealt_join(asked, members, ["cx", "cy"], key).where(_gap(F.col("lbox"), F.col("rbox")) <= F.col("bound"))
+    # The features met bound the distance closer than the witnesses of their cells.
+    return closest(met, key, "rbox", "rbox").select(key, other)
+
+
+def closest(pairs: DataFrame, key: str, sure: str, box: str) -> DataFrame:
+    """The pairs of each key whose ``box`` may be as near as the box ``sure`` of some pair certainly is."""
+    best = F.min(_reach(F.col("lbox"), F.col(sure))).over(Window.partitionBy(key))
+    bounded = pairs.withColumns({"_gap": _gap(F.col("lbox"), F.col(box)), "_best": best})
+    return bounded.where(F.col("_gap") <= F.col("_best")).drop("_gap", "_best")
+
+
+def candidates_in_disk(asked: DataFrame, points: DataFrame, key: str, other: str, pairs) -> DataFrame:
+    """``key, other`` among which are the nearest points of every key's disk of hexagons.
+
+    ``asked`` carries ``key, cell, lbox``, ``points`` ``other, px, py, pcell``; ``pairs`` joins rows and hexagons of a
+    disk. A row meets the hexagons of its disk as a box and a witness, and points only in those that these leave.
+    """
+    placed = points.select(other, "pcell", _boxed("rbox", (F.col("px"), F.col("py"), F.col("px"), F.col("py"))))
+    hexagons = checkpointed(placed.groupBy("pcell").agg(_around(), F.min("rbox").alias("witness")))
+    left = closest(pairs(asked, hexagons), key, "witness", "rbox").select(key, "lbox", "pcell")
+    return closest(dealt_join(left, placed, ["pcell"], key), key, "rbox", "rbox").select(key, other)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrapulse.functions import geometry as G
 from terrapulse.functions import hexgrid as H
 from terrapulse.operators.cover import outline_pairs, points_in
-from terrapulse.operators.pyramid import candidates
+from terrapulse.operators.pyramid import _boxed, candidates, candidates_in_disk, dealt_join
 from terrapulse.operators.unnest import unnest
 from terrapulse.session import checkpointed, shuffled
 
@@ -163,7 +163,7 @@ def nearest_in_disk(
     ``left`` carries ``key``, ``geom`` and its cell ``cell``; ``right`` carries ``other``, ``px``,
     ``py``, ``pcell`` and the attributes. Rows without any candidate are absent. A short-radius
     join settles every feature with a close point: any point that near is certainly in the disk.
-    Only the features left over meet their whole disk.
+    The features left over meet the hexagons of their disk, and the points of those that can hold the nearest.
     """
     d = G.point_distance(geom, "px", "py")
     box = geom_box(geom)
@@ -174,8 +174,10 @@ def nearest_in_disk(
     close = within_pairs(slim, points, box, point_box("px", "py"), d, radius)
     certain = close.where(F.col("d") + F.col("_reach") <= F.lit(H.inner_radius(k, edge)))
     settled = checkpointed(best_pair(certain, key, other, attributes))
-    rest = slim.join(shuffled(settled.select(key)), key, "left_anti")
-    wide = hex_disk_pairs(rest, points, "cell", "pcell", k).withColumn("d", d)
+    rest = checkpointed(slim.join(shuffled(settled.select(key)), key, "left_anti"))
+    asked = rest.select(key, "cell", _boxed("lbox", box))
+    few = candidates_in_disk(asked, points, key, other, lambda rows, cells: hex_disk_pairs(rows, cells, "cell", "pcell", k))
+    wide = dealt_join(few.join(shuffled(rest), key), points, [other], key).withColumn("d", d)
     return settled.unionByName(best_pair(wide, key, other, attributes))
 
 
@@ -203,7 +205,7 @@ def nearest(
         close = checkpointed(best_pair(pairs, key, other, []))
         apart = left.join(shuffled(close.select(key)), key, "left_anti")
         few = candidates(apart, right, left_box, right_box, key, other, float(first_radius))
-        far = few.join(shuffled(apart), key).join(shuffled(right), other).withColumn("d", distance)
+        far = dealt_join(few.join(shuffled(apart), key), right, [other], key).withColumn("d", distance)
         return close.unionByName(best_pair(far, key, other, []))
     radius, found, open_rows = float(first_radius), [], left
     while True:
