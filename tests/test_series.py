@@ -178,3 +178,17 @@ def test_vegetation_job_single_year_has_no_breaks(spark):
     cube = spark.createDataFrame([(1, dt.datetime(2020, 1, 1), 1200, 5200, 4)], "pixel_id long, ts timestamp_ntz, red int, nir int, scl int")
     assert abs(V.scene_values(cube).first().v - 0.4 / 0.44) < 1e-12
     assert I.VALID_SCENE_CLASSES == (4, 5, 6, 7)
+
+
+def test_equal_seasonal_differences_tie(spark):
+    """Two calendar months with the same difference between the years, told apart by rounding alone."""
+    import datetime
+
+    from terrapulse.operators import seasonal, trend
+
+    values = {(2001, 1): 43693.48, (2001, 2): 84020.21, (2002, 1): 20683.47, (2002, 2): 61010.2}
+    rows = [(1, datetime.date(y, m, 1), 12 * (y - 2001) + m - 1, v) for (y, m), v in values.items()]
+    monthly = spark.createDataFrame(rows, "pixel_id long, month date, mi int, v double")
+    series = seasonal.series_for_trend(monthly)
+    assert series.select("v").distinct().count() == 2
+    assert abs(trend.trend_table(series, min_valid=4).first().mk_s) == 4.0
