@@ -1,6 +1,7 @@
 import random
 
-from corpus_pipeline import STAGES, packing, run
+from corpus_pipeline import STAGES, near_dedup, packing, run
+from terrapulse.llm.simhash import near_duplicates
 
 
 def tables(spark, folder):
@@ -62,3 +63,18 @@ def test_run_and_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert run(spark, str(empty)).count() == 0
+
+
+def test_near_dedup_follows_prints_and_shingles(spark):
+    """What op5 links goes, and so do near copies whose prints are further apart."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    one, other = (" ".join(rng.sample(words, 30)) for _ in range(2))
+    line = "again "
+    long = rng.sample(words, 200)
+    changed = ["x" if at in (20, 60, 110, 160) else w for at, w in enumerate(long)]
+    rows = [(1, line * 200 + one), (2, line * 200 + other), (3, " ".join(long)), (4, " ".join(changed)), (None, one), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    linked = {r.doc_id: r.component_id for r in near_duplicates(docs).collect() if r.doc_id}
+    assert linked[2] == 1 and linked[4] == 4
+    assert sorted(r.doc_id or 0 for r in near_dedup(spark, docs, "").collect()) == [0, 1, 3, 7]
