@@ -1,5 +1,10 @@
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from corpus_pipeline import STAGES, near_dedup, packing, run
 from terrapulse.llm.simhash import near_duplicates
 
@@ -78,3 +83,23 @@ def test_near_dedup_follows_prints_and_shingles(spark):
     linked = {r.doc_id: r.component_id for r in near_duplicates(docs).collect() if r.doc_id}
     assert linked[2] == 1 and linked[4] == 4
     assert sorted(r.doc_id or 0 for r in near_dedup(spark, docs, "").collect()) == [0, 1, 3, 7]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A batch of whole texts is held three times over; a stage is written after its function has returned."""
+    from pyspark.sql.functions import arrow_udf
+
+    def rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 1000).alias("text"))
+    before = spark.conf.get(corpus_pipeline.BATCH_BYTES)
+    try:
+        docs = corpus_pipeline.secret_scans(spark, docs, "")
+        assert docs.select(arrow_udf("long")(rows)("text").alias("n")).agg(F.max("n")).first()[0] < 6 << 20
+        spark.conf.set(corpus_pipeline.BATCH_BYTES, "1m")
+        corpus_pipeline.secret_scans(spark, docs, "")
+        assert spark.conf.get(corpus_pipeline.BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_BYTES, before)
