@@ -192,3 +192,12 @@ def test_equal_seasonal_differences_tie(spark):
     series = seasonal.series_for_trend(monthly)
     assert series.select("v").distinct().count() == 2
     assert abs(trend.trend_table(series, min_valid=4).first().mk_s) == 4.0
+
+
+def test_dense_series_keep_their_partitions(spark):
+    """A few packed kilobytes are many dense rows: they are not put together in one task."""
+    obs = spark.createDataFrame([(p, f"20{y}-01-01", 1.0) for p in range(200) for y in (10, 24)], "pixel_id long, ts string, v double")
+    dense = C.monthly_median(obs.withColumn("ts", F.to_timestamp("ts")))
+    assert dense.count() == 200 * 169
+    rows = dense.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 200 * 169 / 2
