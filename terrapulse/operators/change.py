@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrapulse.operators import trees as T
 from terrapulse.operators.quantiles import column_quantiles
 from terrapulse.session import checkpointed
 
@@ -84,6 +85,13 @@ def _forest(trees: int, depth: int) -> RandomForestClassifier:
     )
 
 
+def _fit(ready: DataFrame, rows: int, width: int, order: str, trees: int, depth: int):
+    """Few rows go to tasks that grow a tree each; of more, Spark's trainer adds up statistics of their parts."""
+    if T.fits(rows, width):
+        return T.train(ready, "_label", order, trees, depth)
+    return _forest(trees, depth).fit(ready)
+
+
 def stratified_fold(df: DataFrame, label: str, order: str, folds: int) -> DataFrame:
     """Adds ``_fold``: rows of a label are counted off in the order of a digest of ``order``.
 
@@ -118,8 +126,8 @@ def train_forest(
     indexer = StringIndexer(inputCol="_name", outputCol="_label", stringOrderType="alphabetAsc")
     indexed = indexer.fit(named)
     ready = indexed.transform(named)
-    sizes = ready.groupBy("_name").agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.sum("n").alias("total"), F.min("n").alias("smallest")).first()
+    sizes = ready.groupBy("_name").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("width"))
+    row = sizes.agg(F.sum("n").alias("total"), F.min("n").alias("smallest"), F.max("width").alias("width")).first()
     accuracy = None
     if folds and row["total"] >= 4 and row["smallest"] >= 2:
         k = max(2, min(folds, row["smallest"]))
@@ -128,10 +136,10 @@ def train_forest(
         metric = MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy")
         scores = []
         for i in range(k):
-            fitted = _forest(trees, depth).fit(folded.where(F.col("_fold") != i))
+            fitted = _fit(folded.where(F.col("_fold") != i), row["total"], row["width"], order, trees, depth)
             scores.append(metric.evaluate(fitted.transform(folded.where(F.col("_fold") == i))))
         accuracy = sum(scores) / k
-    model = _forest(trees, depth).fit(ready)
+    model = _fit(ready, row["total"], row["width"], order, trees, depth)
     return TrainedForest(model, list(indexed.labels), accuracy, row["total"])
 
 

@@ -1,5 +1,7 @@
 import json
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,32 @@ def test_forest(spark):
     assert CH.train_forest(df.limit(3), trees=2).cv_accuracy is None
 
 
+def test_forest_of_many_nodes(spark):
+    """Labels that nothing tells: trees grow to the last row, which took Spark's trainer minutes for 2000 rows."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=64).tolist(), str(int(rng.integers(10)))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "pixel_id long, embedding array<double>, label string")
+    start = time.monotonic()
+    trained = CH.train_forest(df, folds=0)
+    out = CH.classify_pixels(trained, df)
+    assert out.where("predicted_class = label and confidence between 0 and 1").count() > 1980
+    assert time.monotonic() - start < 90 and trained.model.getNumTrees == 100
+
+
+def test_trees():
+    from terrapulse.operators import trees as T
+
+    x = np.array([[0.0, 5.0], [1.0, 5.0], [2.0, 5.0], [3.0, 5.0]])
+    column, at = T.best_split(x, np.array([0, 0, 1, 1]), np.ones(4), 2)
+    assert (column, at) == (0, 1.5)
+    assert T.best_split(x[:, 1:], np.array([0, 0, 1, 1]), np.ones(4), 2) is None
+    y = (np.arange(300) // 7) % 3
+    values = np.stack([np.arange(300) * 1.0, np.arange(300) % 11 * 1.0], 1)
+    forest = [T.grow(values, y, 3, 30, [1, t]) for t in range(30)]
+    assert (T.shares(forest, values).argmax(axis=1) == y).mean() > 0.98
+    assert len(T.grow(values, y, 3, 1, [1, 1])[0]) == 3
+
+
 def test_activity(spark):
     ev = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), ("2024-01-02",), ("2024-01-16",)], "d string").select(F.to_timestamp("d").alias("ts"))
     weeks = A.weekly_series(ev, "ts", 4, F.to_date(F.lit("2024-01-24"))).orderBy("week").collect()
