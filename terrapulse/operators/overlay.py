@@ -9,7 +9,7 @@ from terrapulse.functions import geometry as G
 from terrapulse.operators import raster as R
 from terrapulse.operators.spatial import cell_join, geom_box
 from terrapulse.operators.unnest import unnest
-from terrapulse.session import shuffled
+from terrapulse.session import checkpointed, shuffled
 
 
 def edge_table(features: DataFrame, fid: str, geom: str = "geom") -> DataFrame:
@@ -156,11 +156,15 @@ def interface_band_ha(
     aoi: DataFrame | None = None,
     geom: str = "geom",
 ) -> DataFrame:
-    """Forest area within ``contact_m`` of a building, sampled at cell centres every ``step`` m."""
+    """Forest area within ``contact_m`` of a building, sampled at cell centres every ``step`` m.
+
+    Buildings are unfolded into cells only where a block of cells holds forest.
+    """
     wooded = R.burn_centers(forest, geom, step).select("col", "row").distinct()
     if aoi is not None:
         kept = R.burn_centers(aoi, geom, step).select("col", "row").distinct()
         wooded = wooded.join(shuffled(kept), ["col", "row"], "left_semi")
-    reached = R.cells_within(built, geom, contact_m, step).select("col", "row").distinct()
+    wooded = checkpointed(wooded)
+    reached = R.cells_within_of(built.select(geom), geom, contact_m, step, wooded).select("col", "row").distinct()
     both = wooded.join(shuffled(reached), ["col", "row"], "left_semi")
     return both.agg((F.count(F.lit(1)) * F.lit(step * step / 10_000.0)).alias("interface_zone_ha"))

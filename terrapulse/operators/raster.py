@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terrapulse.functions import geometry as G
 from terrapulse.functions.scoring import clip01
 from terrapulse.operators.unnest import unnest
+from terrapulse.session import shuffled
 
 
 #: Columns of a tile of the distance transform.
@@ -135,6 +136,37 @@ def cells_within(df: DataFrame, geom: str, radius: float, step: float) -> DataFr
     return near.where(d <= r).drop(geom)
 
 
+#: Cells along a side of the blocks by which features are kept from cells that nobody asks for.
+BLOCK_CELLS = 32
+
+
+def cells_within_of(df: DataFrame, geom: str, radius: float, step: float, wanted: DataFrame) -> DataFrame:
+    """``cells_within`` for the blocks that hold ``wanted`` cells (``col, row``), each feature cut into its blocks.
+
+    A feature far from all of them is never unfolded into cells.
+    """
+    b = G.bounds(geom)
+    r, side = F.lit(float(radius)), F.lit(BLOCK_CELLS)
+    blocks = wanted.select(F.floor(F.col("col") / side).alias("_bc"), F.floor(F.col("row") / side).alias("_br")).distinct()
+
+    def ends(lo: Column, hi: Column) -> tuple[Column, Column]:
+        return _first_center(lo - r, step), _first_center(hi + r, step)
+
+    rows, cols = ends(b["miny"], b["maxy"]), ends(b["minx"], b["maxx"])
+
+    def within_block(ends: tuple[Column, Column], block: str) -> Column:
+        low = F.greatest(ends[0], F.col(block) * side)
+        high = F.least(ends[1], (F.col(block) + 1) * side - 1)
+        return F.sequence(low, high)
+
+    cut = unnest(df, F.sequence(*[F.floor(e / side) for e in rows]), "_br")
+    cut = unnest(cut, F.sequence(*[F.floor(e / side) for e in cols]), "_bc")
+    kept = cut.join(shuffled(blocks), ["_bc", "_br"], "left_semi")
+    near = unnest(unnest(kept, within_block(rows, "_br"), "row"), within_block(cols, "_bc"), "col")
+    d = G.point_distance(geom, _center("col", step), _center("row", step))
+    return near.where(d <= r).drop(geom, "_bc", "_br")
+
+
 def slope_percent(elevation: DataFrame, step: float) -> DataFrame:
     """``(col, row, slope)`` of a dense elevation table ``(col, row, z)``.
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +267,16 @@ def test_a_busy_building_keeps_all_its_establishments(spark):
     run = VA.run(building, points, 15.0)
     assert run.result.first().nb_etab_actifs == 10_001
     assert run.attachments.select("siret").distinct().count() == 10_001
+
+
+def test_band_ignores_far_buildings(spark):
+    """A building of 400 million cells that no forest is near adds nothing, neither area nor rows; the rest stays as it was."""
+    forest = polygons(spark, {"f": box(0, 0, 100, 100), "g": box(-90, -200, -30, -140)}).select("fid", "geom")
+    near = {"a": box(105, 20, 140, 60), "b": box(-20, -150, -10, -120), "c": box(20, 40, 30, 70)}
+    built = polygons(spark, near).select("geom")
+    cells = R.cells_within(built, "geom", 20.0, 1.0).select("col", "row").distinct()
+    expected = R.burn_centers(forest, "geom", 1.0).select("col", "row").distinct().join(cells, ["col", "row"]).count()
+    far = polygons(spark, {**near, "d": box(100_000, 0, 120_000, 20_000)}).select("geom")
+    start = time.monotonic()
+    assert abs(OV.interface_band_ha(forest, far, 20.0, 1.0).first()[0] - expected / 10_000) < 1e-9
+    assert expected > 1000 and time.monotonic() - start < 60
