@@ -16,7 +16,8 @@ _TAIL = b",.!?;:%&*#$"
 class WordEncoder:
     """Encodes texts as the tokenizers library does, each distinct word once while it stays in the cache.
 
-    The cache is emptied when it holds ``capacity`` words, which bounds the memory of a task.
+    The cache holds at most ``capacity`` words, which bounds the memory of a task: two generations of half of them, the
+    older one going when the younger is full. Words that return move to the younger one.
     """
 
     def __init__(self, path: str, capacity: int = 500_000):
@@ -25,7 +26,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
-        self.capacity, self.known = capacity, {}
+        self.capacity, self.known, self.older = capacity, {}, {}
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -34,33 +35,41 @@ class WordEncoder:
         pieces = raw.split() if _MARK.search(low) else low.split()
         found = list(map(self.known.get, pieces))
         if None in found:
-            if len(self.known) > self.capacity:
-                self.known.clear()
-            self._learn({p for p in pieces if p not in self.known})
+            if len(self.known) > self.capacity // 2:
+                self.known, self.older = {}, self.known
+            missing = {p for p in pieces if p not in self.known}
+            again = missing & self.older.keys()
+            self.known.update((p, self.older[p]) for p in again)
+            self._learn(missing - again)
             found = list(map(self.known.__getitem__, pieces))
         return b"".join(found)
 
     def _learn(self, pieces: set[bytes]) -> None:
         """Encode new pieces; a word followed by marks is put together from the word and the marks."""
-        split, words, others = {}, set(), set()
+        split, words, others, known, older = [], set(), set(), self.known, self.older
         for piece in pieces:
             core = piece.rstrip(_TAIL)
-            word = core.decode("utf-8")
-            # A letter that lower-cases to a letter and a mark would be joined by the marks after it.
-            if word.isalpha() and len(word.lower()) == len(word):
-                if core not in self.known:
+            whole = core.isalpha()
+            if not whole:
+                word = core.decode("utf-8")
+                # A letter that lower-cases to a letter and a mark would be joined by the marks after it.
+                whole = word.isalpha() and len(word.lower()) == len(word)
+            if whole:
+                if core in older:
+                    known[core] = older[core]
+                elif core not in known:
                     words.add(core)
                 if core != piece:
                     tail = piece[len(core) :]
-                    split[piece] = (core, tail)
-                    if tail not in self.known:
+                    split.append((piece, core, tail))
+                    if tail not in known:
                         others.add(tail)
             else:
                 others.add(piece)
         self._encode_words(sorted(words))
         self._encode_each(sorted(others))
-        for piece, (core, tail) in split.items():
-            self.known[piece] = self.known[core] + self.known[tail]
+        for piece, core, tail in split:
+            known[piece] = known[core] + known[tail]
 
     def _encode_words(self, words: list[bytes]) -> None:
         """Words of letters end at a token that closes a word, so many of them share one call."""
@@ -81,7 +90,8 @@ class WordEncoder:
             self.known[piece] = array("I", self._call(piece.decode("utf-8"))).tobytes()
 
     def _call(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        # Without the places of the tokens in the text, which the plain call keeps.
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -1,3 +1,5 @@
+import array
+
 import public_tokenizers
 import pytest
 from hypothesis import example, given, settings
@@ -53,3 +55,14 @@ def test_other_versions_are_not_reused(spark, tmp_path):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_words_that_return_stay_in_the_cache():
+    words, asked = WordEncoder(PATH, capacity=20), []
+    call = words._call
+    words._call = lambda text: asked.extend(text.split()) or call(text)
+    for n in range(60):
+        text = f"house w{n}x"
+        assert words.ids(text) == array.array("I", PLAIN.encode(text, add_special_tokens=False).ids).tobytes()
+        assert len(words.known) + len(words.older) <= 20 + 4
+    assert asked.count("house") == 1
