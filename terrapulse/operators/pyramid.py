@@ -3,7 +3,8 @@
 The right side is put into cells of a bottom size, these into cells eight times as wide, and so on up to a handful. A
 cell has the box around its features and the box of one of them, its witness: a feature on the left is no nearer to the
 cell's features than to the cell's box, and no farther from the nearest than from the witness. The left side goes down
-the pyramid with the few cells that these bounds leave, so it meets near features only, however far they are.
+the pyramid with the few cells that these bounds leave, so it meets near features only, however far they are. Boxes are
+those of the features themselves: each has a point on every side of its own.
 """
 
 from __future__ import annotations
@@ -39,9 +40,18 @@ def _gap(a: Column, b: Column) -> Column:
 
 
 def _reach(a: Column, b: Column) -> Column:
-    """The largest distance of two points in two boxes, a little widened for rounding."""
-    across = F.greatest(b["x1"] - a["x0"], a["x1"] - b["x0"])
-    return F.hypot(across, F.greatest(b["y1"] - a["y0"], a["y1"] - b["y0"])) * (1 + 1e-12) + 1e-9
+    """A distance that two features with these boxes don't exceed, a little widened for rounding.
+
+    Both have a point on each side of their box: those on two parallel sides are as far apart as the sides, and along the
+    sides at most as far as the boxes reach.
+    """
+
+    def apart(low: str, high: str) -> tuple[Column, Column]:
+        sides = [F.abs(a[s] - b[t]) for s in (low, high) for t in (low, high)]
+        return F.least(*sides), F.greatest(b[high] - a[low], a[high] - b[low])
+
+    (near_x, far_x), (near_y, far_y) = apart("x0", "x1"), apart("y0", "y1")
+    return F.least(F.hypot(far_x, near_y), F.hypot(near_x, far_y)) * (1 + 1e-12) + 1e-9
 
 
 def _cell(size: float, box: str = "rbox") -> list[Column]:

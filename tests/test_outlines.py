@@ -182,3 +182,22 @@ def test_no_features_and_no_geometry(spark):
     some = points(spark, [(7, 500.0, 3.0), (8, None, None)], ("r", "px", "py"))
     got = SP.nearest(left, some, SP.point_box("lx", "ly"), SP.point_box("px", "py"), distance, "l", "r", 5.0)
     assert [(r.l, r.r, r.d) for r in got.collect()] == [(1, 7, 498.0)]
+
+
+def test_bound_of_far_boxes_is_close(spark):
+    """Two features in these boxes are no farther apart, and far boxes give no more than their gap and the way aside."""
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    rng = random.Random(4)
+
+    def feature(x, y):
+        return [(x + rng.uniform(0, 40), y + rng.uniform(0, 40)) for _ in range(3)]
+
+    def around(spots):
+        return tuple(f(s[i] for s in spots) for f in (min, max) for i in (0, 1))
+
+    pairs = [(feature(0, 0), feature(rng.uniform(-90, 90), rng.uniform(-90, 90))) for _ in range(300)]
+    rows = [(around(a), around(b), min(math.dist(p, q) for p in a for q in b)) for a, b in pairs]
+    rows.append(((0.0, 100_000.0, 40.0, 100_040.0), (0.0, 0.0, 10.0, 14.0), 99_986.0))
+    got = spark.createDataFrame(rows, f"a {box}, b {box}, d double").select("d", P._reach(F.col("a"), F.col("b")).alias("reach")).collect()
+    assert all(r.d <= r.reach for r in got)
+    assert got[-1].reach < got[-1].d + 0.1
