@@ -434,6 +434,36 @@ def representative_point(edges: str) -> tuple[Column, Column]:
     return F.expr(x), center(edges).getField("y")
 
 
+@expression
+def near_reach(y: str, obstacle: str, radius: float) -> str:
+    """``a, b``: the one interval of the horizontal line at ``y`` within ``radius`` of the segment ``obstacle`` (NULLs if none).
+
+    As ``near_span``, for lines parallel to the axis, where the parts in the end discs and in the slab are short terms.
+    """
+    r, e = num(radius), obstacle
+    fx, fy = f"({e}.x2 - {e}.x1)", f"({e}.y2 - {e}.y1)"
+
+    def disc(end: int, sign: str) -> str:
+        off = f"({y} - {e}.y{end})"
+        return f"CASE WHEN abs({off}) <= {r} THEN {e}.x{end} {sign} sqrt({r} * {r} - {off} * {off}) END"
+
+    upright = f"{y} BETWEEN least({e}.y1, {e}.y2) AND greatest({e}.y1, {e}.y2)"
+    # Where the line is beside the segment, and where it is in the strip along it.
+    begin = f"({e}.x1 - ({y} - {e}.y1) * {fy} / {fx})"
+    end = f"({begin} + ({fx} + {fy} * {fy} / {fx}))"
+    middle, half = f"({e}.x1 + {fx} * ({y} - {e}.y1) / {fy})", f"({r} * sqrt({fx} * {fx} + {fy} * {fy}) / abs({fy}))"
+    low, high = f"greatest({middle} - {half}, least({begin}, {end}))", f"least({middle} + {half}, greatest({begin}, {end}))"
+
+    def slab(own: str, upright_end: str) -> str:
+        # Of a segment parallel to the line the discs give the ends of the interval.
+        return f"CASE WHEN {fy} = 0 THEN NULL WHEN {fx} = 0 THEN CASE WHEN {upright} THEN {upright_end} END WHEN {low} <= {high} THEN {own} END"
+
+    return (
+        f"named_struct('a', least({disc(1, '-')}, {disc(2, '-')}, {slab(low, f'{e}.x1 - {r}')}), "
+        f"'b', greatest({disc(1, '+')}, {disc(2, '+')}, {slab(high, f'{e}.x1 + {r}')}))"
+    )
+
+
 @expression
 def near_span(edge: str, obstacle: str, radius: float) -> str:
     """The one interval of ``edge`` within ``radius`` of the segment ``obstacle`` (NULL if none).

@@ -32,14 +32,9 @@ def setback_spans(parcels: DataFrame, key: str, geom: str, setback: float, step:
     )
     lined = unnest(framed, _rows(b["miny"], b["maxy"], step), "row")
     y = _line_y(step)
-    ruled = lined.withColumn("_line", G.segment("_lo", y, "_hi", y))
     # Of an outline few edges are near a line; the margin leaves the rim to the exact test.
     beside = f"filter({geom}, e_sb -> {y} BETWEEN least(e_sb.y1, e_sb.y2) - {setback + 1.0}D AND greatest(e_sb.y1, e_sb.y2) + {setback + 1.0}D)"
-    spans = f"transform({beside}, e_sb -> {G.near_span.sql('_line', 'e_sb', setback)})"
-    near = (
-        f"transform(filter({spans}, s_sb -> s_sb IS NOT NULL), s_sb -> named_struct("
-        "'a', _lo + s_sb.t0 * (_hi - _lo), 'b', _lo + s_sb.t1 * (_hi - _lo)))"
-    )
+    near = f"filter(transform({beside}, e_sb -> {G.near_reach.sql(y, 'e_sb', setback)}), s_sb -> s_sb.a IS NOT NULL)"
     outside = G.span_pairs.sql(f"concat(array(_lo), {G.scan_hits.sql(geom, y)}, array(_hi))")
     # Running end of the blocked stretches; a gap before the next one is free.
     step_on = (
@@ -54,7 +49,7 @@ def setback_spans(parcels: DataFrame, key: str, geom: str, setback: float, step:
         f"aggregate(array_sort(concat({near}, {outside})), {start}, "
         f"(acc_sb, s_sb) -> {step_on}, acc_sb -> acc_sb.free)"
     )
-    return unnest(ruled, free, "s").select(key, "row", "s.a", "s.b")
+    return unnest(lined, free, "s").select(key, "row", "s.a", "s.b")
 
 
 def footprint_spans(footprints: DataFrame, key: str, geom: str, step: float) -> DataFrame:

@@ -280,3 +280,18 @@ def test_band_ignores_far_buildings(spark):
     start = time.monotonic()
     assert abs(OV.interface_band_ha(forest, far, 20.0, 1.0).first()[0] - expected / 10_000) < 1e-9
     assert expected > 1000 and time.monotonic() - start < 60
+
+
+def test_near_reach_is_near_span_along_a_line(spark):
+    rng = random.Random(5)
+    rows = [tuple(rng.uniform(0, 10) for _ in range(5)) for _ in range(400)]
+    rows += [(4.0, 1.0, 4.0, 9.0, 4.0), (4.0, 2.0, 4.0, 9.0, 2.0), (4.0, 2.0, 4.0, 2.0, 4.5), (5.0, 3.0, 3.0, 3.0, 7.0), (9.0, 3.0, 3.0, 3.0, 7.0), (4.0, 3.0, 3.0, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "y double, a double, b double, c double, d double").withColumn("o", G.segment("a", "b", "c", "d"))
+    df = df.withColumn("line", G.segment("-100D", "y", "100D", "y"))
+    got = df.select(G.near_span("line", "o", 1.5).alias("n"), F.expr(G.near_reach.sql("y", "o", 1.5)).alias("own")).collect()
+    assert any(r.n is None for r in got) and any(r.n is not None for r in got)
+    for r in got:
+        if r.n is None:
+            assert r.own.a is None and r.own.b is None
+        else:
+            assert abs(200 * r.n.t0 - 100 - r.own.a) < 1e-6 and abs(200 * r.n.t1 - 100 - r.own.b) < 1e-6
