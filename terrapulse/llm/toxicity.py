@@ -102,7 +102,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     for char, run in groupby(token):
         n = len(list(run))
         if char.isalpha():
-            choices = {1: [(char, 0.0)], 2: [(2 * char, 0.0), (char, DOUBLE_COST)]}.get(n, [(char, STRETCH_COST), (2 * char, STRETCH_COST)])
+            if n == 1:
+                choices = [(char, 0.0)]
+            elif n == 2:
+                choices = [(2 * char, 0.0), (char, DOUBLE_COST)]
+            else:
+                choices = [(char, STRETCH_COST), (2 * char, STRETCH_COST)]
         elif char in SIGNS:
             choices = [(letter * k, SIGN_COST * k) for letter in SIGNS[char] for k in range(1, min(n, 2) + 1)]
             # At the end of a word an exclamation mark is one.
@@ -163,6 +168,15 @@ def decode(token: str, model: np.ndarray) -> str:
         return "".join(reversed(parts))
 
     for choices in lattice(token):
+        if len(states) == 1 and len(choices) == 1:
+            # One way to go on: its probability is a part of every reading, only the last two letters count.
+            a, b = next(iter(states))
+            letters = choices[0][0]
+            for letter in letters:
+                a, b = b, _code(letter)
+            done.append(letters)
+            states = {(a, b): (0.0, None)}
+            continue
         reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             for letters, cost in choices:
@@ -182,6 +196,8 @@ def decode(token: str, model: np.ndarray) -> str:
             done.append(spelled(path))
             reached = {state: (score, None)}
         states = reached
+    if len(states) == 1:
+        return "".join(done)
     best = max(states, key=lambda s: states[s][0] + float(model[(*s, 0)]))
     return "".join(done) + spelled(states[best][1])
 
@@ -229,16 +245,26 @@ class Restorer:
         whole = decode(_SEPARATOR.sub("", spaced), self.model)
         return " ".join([decode(spaced, self.model), whole, *(w for w in self.telling if w in whole)])
 
+    def read(self, token: str) -> tuple[str, ...]:
+        word = token.rstrip(".,;:?")
+        # Letters without a double and the marks that end a sentence have one reading.
+        if word.isalpha() and not _DOUBLED.search(word):
+            return (word,)
+        return tuple(_WORD.findall(readings(token, self.model)))
+
     def words(self, text: str) -> set[str]:
-        text = _SPACED.sub(lambda m: self.phrase(m[0]), _UNSEEN.sub("", text.lower()))
+        text = _SPACED.sub(lambda m: self.phrase(m[0]), text.lower() if text.isascii() else _UNSEEN.sub("", text.lower()))
         if len(self.known) > self.capacity:
             self.known.clear()
         out, known, tokens = set(), self.known, text.split()
-        for token in set(tokens):
-            words = known.get(token)
-            if words is None:
-                words = known[token] = tuple(_WORD.findall(readings(token, self.model)))
-            out.update(words)
+        distinct = set(tokens)
+        found = list(map(known.get, distinct))
+        if None in found:
+            for token in distinct:
+                if token not in known:
+                    known[token] = self.read(token)
+            found = list(map(known.__getitem__, distinct))
+        out.update(*found)
         if self.whole:
             joined = self.whole.intersection(map(str.__add__, tokens, tokens[1:]))
             if joined - out:
@@ -262,9 +288,10 @@ class Model:
         self.restorer = Restorer(self.letters, [f for f in self.weights if len(f) > 3 and not f.startswith("^")])
 
     def score(self, text: str) -> float:
-        weight, total = self.weights.get, self.bias
+        weights, weight, total = self.weights, self.weights.get, self.bias
+        weighed = [w for w in self.restorer.words(text) if w in weights or "^" + w[:4] in weights]
         # In a fixed order, so that the sum doesn't depend on the process.
-        for word in sorted(self.restorer.words(text)):
+        for word in sorted(weighed):
             one, other = features(word)
             total += weight(one, 0.0) + weight(other, 0.0)
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))

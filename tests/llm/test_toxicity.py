@@ -182,3 +182,16 @@ def test_settled_beginnings_change_nothing(token):
 def test_a_long_undecided_token():
     token = "1|" * 30_000  # i and l all the way
     assert set(decode(token, MODEL)) <= set("il")
+
+
+def test_the_decoder_asks_the_model_only_where_there_is_a_choice():
+    class Counted:
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return -1.0
+
+    model = Counted()
+    assert decode("planet", model) == "planet" and model.asked == 0
+    assert decode("plannetarium", model) == "plannetarium" and model.asked <= 6
