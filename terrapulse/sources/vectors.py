@@ -14,7 +14,7 @@ from terrapulse.functions.text import find_column
 from terrapulse.operators.cover import points_in
 from terrapulse.operators.spatial import in_box, intersecting_pairs
 from terrapulse.operators.unnest import unnest
-from terrapulse.session import checkpointed, ship
+from terrapulse.session import checkpointed, ship, shuffled
 from terrapulse.sources.elements import read_elements
 
 Box = tuple[float, float, float, float]
@@ -105,8 +105,12 @@ def cut_at(features: DataFrame, area: DataFrame) -> DataFrame:
     zones = checkpointed(area.select(F.monotonically_increasing_id().alias("_zid"), F.col("geom").alias("_zone")))
     met = intersecting_pairs(named.select("_fid", "geom"), zones, "geom", "_zone", 1_000.0, ("_fid", "_zid"))
     parts = unnest(met.select("_fid", "geom", "_zone"), F.array(G.clipped("geom", "_zone")), "_cut").where(F.size("_cut") > 0)
-    cut = parts.select("_fid", I.ordered_edges(F.col("_cut")).alias("_cut"))
-    joined = named.join(cut, "_fid")
+    # Walking the outlines is the dear step and their bytes are few: dealt anew, it keeps the session's shuffle partitions.
+    count = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walked = parts.select("_fid", "_cut").repartition(count, "_fid").select("_fid", I.ordered_edges(F.col("_cut")).alias("_walk"))
+    # Behind a generator: a filter on the outline would be pushed below and walk it a second time.
+    cut = unnest(walked, F.array("_walk"), "_cut").drop("_walk")
+    joined = named.join(shuffled(cut), "_fid")
     return joined.select(*[F.col("_cut").alias("geom") if c == "geom" else c for c in features.columns])
 
 

@@ -230,3 +230,14 @@ def test_distances_by_tiles(spark):
             assert abs(x.access - max(0.0, 1 - d / (reach * 10.0))) < 1e-12
     none = R.access_from_cells(spark.createDataFrame(cells, "col long, row long"), spark.createDataFrame([], "col long, row long"), 10.0, 300.0)
     assert none.agg(F.max("access")).first()[0] == 0.0
+
+
+def test_cut_outlines_are_walked_once_by_many_tasks(spark):
+    boxes = spark.createDataFrame([(i, float(i)) for i in range(1200)], "id long, x double")
+    layer = boxes.select("id", G.box_edges("x", "0D", "x + 0.5D", "2D").alias("geom"))
+    area = spark.createDataFrame([(0,)], "n int").select(G.box_edges("10D", "1D", "2000D", "9D").alias("geom"))
+    cut = VE.cut_at(layer, area).select("id", G.area("geom").alias("area")).where("area > 0.1")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan
+    got = {r.id: r.area for r in cut.collect()}
+    assert got.keys() == set(range(10, 1200)) and all(abs(a - 0.5) < 1e-9 for a in got.values())
