@@ -201,3 +201,13 @@ def test_dense_series_keep_their_partitions(spark):
     assert dense.count() == 200 * 169
     rows = dense.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(rows) == 4 and max(r["count"] for r in rows) < 200 * 169 / 2
+
+
+def test_vegetation_job_ties_equal_seasonal_differences(spark):
+    """The job's own series states the same rule as the trend queries."""
+    values = {(2001, 1): 43693.48, (2001, 2): 84020.21, (2002, 1): 20683.47, (2002, 2): 61010.2}
+    rows = [(1, dt.datetime(y, m, 5), v) for (y, m), v in values.items()]
+    cube = spark.createDataFrame(rows, "pixel_id long, ts timestamp_ntz, v double")
+    found = V.run(cube, min_valid=4).trend.first()
+    # Two pairs of ties: the variance is (4 * 3 * 13 - 2 * 18) / 18.
+    assert found.mk_s == -4.0 and abs(found.mk_z + 3 / (120 / 18) ** 0.5) < 1e-12
