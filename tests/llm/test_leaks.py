@@ -2,6 +2,7 @@ import math
 import pickle
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -165,3 +166,29 @@ def test_columns_remember_no_words():
     held = len(pickle.dumps(vars(columns)))
     columns.of(" ".join(f"word{i}" for i in range(100_000)))
     assert len(pickle.dumps(vars(columns))) == held
+
+
+def test_all_passages_are_fitted(spark):
+    """Words that change places between two passages change the latent space, wherever these stand in a long text."""
+    words = [f"w{k % 400}" for k in range(64 * 16)]
+    moved = list(words)
+    moved[64:74], moved[192:202] = words[192:202], words[64:74]
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60, 90)))], "item_id long, text string")
+    found = [next(leaks.indexes(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string"), bench)) for w in (words, words, moved)]
+    spaces = [i.weighted[:-1] @ i.weighted[:-1].T for i in found]
+    assert abs(spaces[0] - spaces[1]).max() < 1e-6 * abs(spaces[0]).max() and abs(spaces[0] - spaces[2]).max() > 1e-3 * abs(spaces[0]).max()
+
+
+def test_sums_of_passages():
+    rng = np.random.default_rng(3)
+    count, width = 50, 7
+    ids, idf, thin = rng.integers(0, count, (20, 64)), rng.random(count) + 0.1, rng.standard_normal((count, width)).astype("f4")
+    ids[3, 40:], ids[11, 1:] = count, count
+    gram, back = np.zeros((width, width)), np.zeros((count + 1, width))
+    leaks.add_passages(ids.astype("i4"), np.append(idf, 0.0), np.vstack([thin * idf[:, None], np.zeros((1, width))]).astype("f4"), gram, back)
+    rows = np.zeros((20, count + 1))
+    for row, passage in zip(rows, ids, strict=True):
+        np.add.at(row, passage, np.append(idf, 0.0)[passage])
+    rows = rows[:, :-1] / np.linalg.norm(rows, axis=1, keepdims=True)
+    y = rows @ thin
+    assert abs(gram - y.T @ y).max() < 1e-4 and abs(back[:-1] - rows.T @ y).max() < 1e-4
