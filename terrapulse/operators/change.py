@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -79,17 +78,11 @@ class TrainedForest:
 MAX_DEPTH = 30
 
 
-def _forest(trees: int, depth: int) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol="features", labelCol="_label", numTrees=trees, seed=42, maxDepth=depth
-    )
-
-
 def _fit(ready: DataFrame, rows: int, width: int, order: str, trees: int, depth: int):
-    """Few rows go to tasks that grow a tree each; of more, Spark's trainer adds up statistics of their parts."""
+    """Few rows go whole to tasks that grow a tree each; more are shuffled to tasks that grow trees or parts of them."""
     if T.fits(rows, width):
         return T.train(ready, "_label", order, trees, depth)
-    return _forest(trees, depth).fit(ready)
+    return T.train_stored(ready, "_label", order, trees, depth, width)
 
 
 def stratified_fold(df: DataFrame, label: str, order: str, folds: int) -> DataFrame:

@@ -193,6 +193,40 @@ def test_trees():
     assert len(T.grow(values, y, 3, 1, [1, 1])[0]) == 3
 
 
+def test_forest_of_more_rows_than_a_task_holds(spark, monkeypatch):
+    """Upper nodes are split by counts over all rows, what is below them by tasks; neither rows nor trees reach the driver."""
+    from terrapulse.operators import trees as T
+
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(3000, 6)).round(3)
+    rows = [(i, v.tolist(), f"{int(v[0] > 0.2) + 2 * int(v[3] > -0.1)}") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "pixel_id long, embedding array<double>, label string").repartition(3)
+    monkeypatch.setattr(T, "LOCAL_ROWS", 100)
+    for most in (6000, 1 << 23):
+        monkeypatch.setattr(T, "TASK_VALUES", most)
+        trained = CH.train_forest(df.where("pixel_id % 3 > 0"), trees=10, folds=0)
+        model = trained.model
+        assert model.getNumTrees == 10 and model.parts.select("tree").distinct().count() == 10
+        assert (min(len(u[0]) for u in model.uppers) > 1) == (most == 6000)
+        out = CH.classify_pixels(trained, df)
+        assert out.columns == [*df.columns, "predicted_class", "confidence"] and out.count() == 3000
+        assert out.where("predicted_class = label and confidence between 0.25 and 1 and pixel_id % 3 = 0").count() > 950
+    assert CH.train_forest(df, trees=5, folds=2).cv_accuracy > 0.95
+
+
+def test_levels_are_split_as_single_nodes():
+    from terrapulse.operators import trees as T
+
+    rng = np.random.default_rng(8)
+    x, y, w = rng.normal(size=(300, 4)).round(1), rng.integers(0, 3, 300), rng.integers(1, 4, 300).astype("f8")
+    node = rng.integers(0, 5, 300)
+    totals = np.bincount(node * 3 + y, w, 15).reshape(5, 3)
+    columns, at = T.best_splits(x, T.ranks(x), y, w, np.arange(300), node, np.tile(np.arange(4), (5, 1)), totals)
+    for n in range(5):
+        rows = node == n
+        assert T.best_split(x[rows], y[rows], w[rows], 3) == (columns[n], at[n])
+
+
 def test_activity(spark):
     ev = spark.createDataFrame([("2024-01-01",), ("2024-01-02",), ("2024-01-02",), ("2024-01-16",)], "d string").select(F.to_timestamp("d").alias("ts"))
     weeks = A.weekly_series(ev, "ts", 4, F.to_date(F.lit("2024-01-24"))).orderBy("week").collect()
