@@ -282,6 +282,24 @@ def test_band_ignores_far_buildings(spark):
     assert expected > 1000 and time.monotonic() - start < 60
 
 
+def test_cells_in_reach_are_intervals_of_rows(spark):
+    """The same cells as by the distance of each, slanted and hollow outlines too."""
+    rng = random.Random(9)
+    shapes = {"t": [(3, 4), (61, 22), (17, 70), (3, 4)], "u": [(100, 0), (190, 0), (190, 90), (160, 90), (160, 30), (130, 30), (130, 90), (100, 90), (100, 0)]}
+    for k in range(30):
+        x, y = rng.uniform(-200, 200), rng.uniform(-200, 200)
+        corners = sorted((rng.uniform(0, 6.28), rng.uniform(2, 9)) for _ in range(5))
+        ring = [(x + r * math.cos(a), y + r * math.sin(a)) for a, r in corners]
+        shapes[f"r{k}"] = [*ring, ring[0]]
+    shapes["s"] = box(40, -60, 50, -50)  # with cells exactly at the radius
+    built = polygons(spark, shapes).select("fid", "geom").cache()
+    wanted = spark.range(-400, 400).selectExpr("id AS col").crossJoin(spark.range(-400, 400).selectExpr("id AS row"))
+    for radius, step in ((0.0, 1.0), (2.5, 1.0), (7.5, 3.0), (80.0, 1.0)):
+        plain, told = R.cells_within(built, "geom", radius, step), R.cells_within_of(built, "geom", radius, step, wanted)
+        found = [{tuple(r) for r in cells.groupBy("fid", "row").agg(F.count("*"), F.sum("col"), F.min("col"), F.max("col")).collect()} for cells in (plain, told)]
+        assert found[0] == found[1], (radius, step)
+
+
 def test_near_reach_is_near_span_along_a_line(spark):
     rng = random.Random(5)
     rows = [tuple(rng.uniform(0, 10) for _ in range(5)) for _ in range(400)]
